@@ -1,0 +1 @@
+"""The feature set covered here has no unbounded source, so there is no streaming operator."""
