@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaygrid.session import cut
+
 BUCKETS = 128
 # Families with fewer distinct values than this stay in one bucket.
 SPLIT_FROM = 200_000
@@ -102,8 +104,12 @@ ADJUSTMENTS = ("none", "bonferroni", "BH", "fdr", "BY", "holm", "hochberg")
 
 
 def adjust_p(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "adj_p_value",
-             method: str = "BH", few: bool = False) -> DataFrame:
-    """Adjusted p-values per family; NULL p stays NULL and is not counted."""
+             method: str = "BH", few: bool = False, written: bool = False) -> DataFrame:
+    """Adjusted p-values per family; NULL p stays NULL and is not counted.
+
+    The adjustment reads its input several times, so the table of p-values is written once first
+    unless `written` says that it already is one.
+    """
     if method not in ADJUSTMENTS:
         raise ValueError(f"unknown adjustment {method!r}; one of {ADJUSTMENTS}")
     df = df.drop(out)
@@ -112,6 +118,8 @@ def adjust_p(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "adj
     if method == "bonferroni":
         n = df.groupBy(*keys).agg(F.count(p).alias("n_family"))
         return with_key_table(df, n, keys, few).withColumn(out, F.least(F.col(p) * F.col("n_family"), F.lit(1.0))).drop("n_family")
+    if not written:
+        df = cut(df, "p-values")
     v = cumulative(df, keys, p, few)
     upto = F.col("below") + F.col("ties")
     n = F.col("total")

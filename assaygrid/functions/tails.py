@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Lanczos coefficients (g = 7, n = 9); fixed values.
 _LANCZOS = (
@@ -216,28 +217,28 @@ def hyper_upper_np(k, drawn, marked, total):
 
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student t tail."""
     v = t_two_sided_np(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
     return pd.Series(v).astype("Float64").where(~np.isnan(v), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper F tail."""
     v = f_upper_np(*(s.to_numpy(float, na_value=np.nan) for s in (f, d1, d2)))
     return pd.Series(v).astype("Float64").where(~np.isnan(v), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chisq_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper chi-square tail."""
     v = gamma_upper(df.to_numpy(float, na_value=np.nan) / 2, x.to_numpy(float, na_value=np.nan) / 2)
     return pd.Series(v).astype("Float64").where(~np.isnan(v), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided standard normal tail."""
     a = z.to_numpy(float, na_value=np.nan)
@@ -245,7 +246,7 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(v).astype("Float64").where(~np.isnan(v), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hyper_upper(k: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
     """Upper hypergeometric tail."""
     return pd.Series(hyper_upper_np(*(s.to_numpy(float) for s in (k, drawn, marked, total))))
