@@ -160,8 +160,8 @@ def _depth(df):
 
 query("a3_depth", f"WITH {K}, {_DEPTH} {_DEPTHQ}")(lambda s, d: _depth(Q.depth(TT.counts(s, d))))
 query("q2_depth_events", f"WITH {E}, {_DEPTH} {_DEPTHQ}")(lambda s, d: _depth(Q.depth(TT.event_counts(s, d))))
-query("p8_depth_outliers", f"WITH {E}, {_DEPTH} SELECT * FROM ({_DEPTHQ}) WHERE library_size_ratio < 0.7")(
-    lambda s, d: _depth(Q.depth_outliers(Q.depth(TT.event_counts(s, d)), 0.7)))
+query("p8_depth_outliers", f"WITH {E}, {_DEPTH} SELECT * FROM ({_DEPTHQ}) WHERE library_size_ratio < 0.95")(
+    lambda s, d: _depth(Q.depth_outliers(Q.depth(TT.event_counts(s, d)), 0.95)))
 query("a4_library_sizes", f"WITH {K} SELECT sample_id, {r('sum(value)', 2)} AS lib FROM cells GROUP BY 1", 2)(lambda s, d: N.library_sizes(TT.counts(s, d)))
 query("a5_row_moments", f"WITH {LOGP}, {_RV} SELECT feature_id, {r('row_mean')} AS row_mean, {r('row_var')} AS row_var FROM rv")(
     lambda s, d: C.row_moments(N.analysis_scale(TT.prices(s, d))))
@@ -189,7 +189,7 @@ SELECT c AS column_name, n_levels, smallest, CASE c WHEN 'grp' THEN 0 WHEN 'batc
     lambda s, d: C.candidate_groups(TT.prices(s, d).samples, ["grp", "nation", "year", "batch"], ("grp", "group"), ("batch",)))
 query("a26_pairing_candidates", f"""WITH {TT.FLAGGED_SQL}, b AS (SELECT donor, count(*) n, count(DISTINCT grp) g FROM samples GROUP BY 1)
 SELECT 'donor' AS column_name, count(*) AS n_blocks, sum(n)::BIGINT AS n_rows, min(n) AS smallest, {r('avg((g >= 2)::INT)')} AS spanning FROM b HAVING min(n) >= 2 AND count(*) < sum(n) AND avg((g >= 2)::INT) >= 0.5""")(
-    lambda s, d: C.candidate_pairs(TT.flagged(s, d).samples, ["donor", "sample_id"], "grp"))
+    lambda s, d: C.candidate_pairs(TT.flagged(s, d).samples, ["donor"], "grp"))
 
 # ---- scalar functions ----------------------------------------------------------------------
 
@@ -349,9 +349,22 @@ query("q12_winsorize", f"WITH {K}, {_WIN} SELECT feature_id, sample_id, {r('CASE
 query("q12_winsorize_stats", f"""WITH {K}, {_WIN} SELECT feature_id, round(any_value(q1), 2) AS q1, round(any_value(q3), 2) AS q3, round(any_value(iqr), 2) AS iqr, round(any_value(t), 2) AS threshold, max(value) AS max_original,
 count(*) FILTER (value > t) AS n_clipped, any_value(n) AS n_nonzero, any_value(ok) AS winsorized FROM cells LEFT JOIN th USING (feature_id) GROUP BY 1""")(
     lambda s, d: N.winsorize(TT.counts(s, d), 1.0)[1])
-query("d18_size_factors", f"""WITH {TT.brands_sql('l_quantity')}, lg AS (SELECT feature_id, sample_id, ln(value) lv FROM cells WHERE value > 0), fu AS (SELECT feature_id, avg(lv) g FROM lg GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM samples))
+
+
+def _by_nation(s, d):
+    """The dense count layer summed to one sample per nation."""
+    from dataclasses import replace
+
+    y = TT.brands(s, d, "l_quantity")
+    nation = F.regexp_replace("sample_id", "Y.*$", "")
+    cells = y.cells.groupBy("feature_id", nation.alias("sample_id")).agg(F.sum("value").alias("value"))
+    return replace(y, cells=cells, samples=y.samples.select(nation.alias("sample_id"), "grp").distinct(), _counted={})
+
+
+query("d18_size_factors", f"""WITH {TT.brands_sql('l_quantity')}, nc AS (SELECT feature_id, regexp_replace(sample_id, 'Y.*$', '') AS sample_id, sum(value) AS value FROM cells GROUP BY 1, 2),
+lg AS (SELECT feature_id, sample_id, ln(value) lv FROM nc WHERE value > 0), fu AS (SELECT feature_id, avg(lv) g FROM lg GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM nc))
 SELECT sample_id, {r('exp(median(lv - g))')} AS size_factor FROM lg JOIN fu USING (feature_id) GROUP BY 1""")(
-    lambda s, d: N.size_factors(TT.brands(s, d, "l_quantity")))
+    lambda s, d: N.size_factors(_by_nation(s, d)))
 query("q28_tmm", f"""WITH {TT.brands_sql('l_quantity')}, live AS (SELECT * FROM cells WHERE value > 0), libs AS (SELECT sample_id, sum(value) lib, sum(sqrt(value)) root FROM live GROUP BY 1),
 grid AS (SELECT s.sample_id, f.feature_id, coalesce(value, 0) v FROM samples s CROSS JOIN (SELECT DISTINCT feature_id FROM live) f LEFT JOIN live c ON c.sample_id = s.sample_id AND c.feature_id = f.feature_id),
 f75 AS (SELECT sample_id, lib, root, quantile_cont(v, 0.75::DOUBLE) / lib AS f FROM grid JOIN libs USING (sample_id) GROUP BY 1, 2, 3), ce AS (SELECT avg(f) av, median(f) md FROM f75),

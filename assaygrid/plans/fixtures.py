@@ -72,8 +72,8 @@ def welch_sql(cells: str, out: str, prefix: str) -> str:
               CASE WHEN nx >= 2 AND ny >= 2 AND sx + sy > 0 THEN (sx + sy) * (sx + sy) / (sx * sx / (nx - 1) + sy * sy / (ny - 1)) END AS df FROM {prefix}st),
 {prefix}pp AS (SELECT *, {t_tail('statistic', 'df')} AS p_value FROM {prefix}tt),
 {prefix}adj AS ({bh('p_value', 'comparison', prefix + 'pp')}),
-{out} AS (SELECT feature_id, feature_symbol, feature_type, comparison, round(effect, 9) AS effect, round(statistic, 9) AS statistic,
-     round(statistic, 9) AS signed_stat, round(p_value, 9) AS p_value, round(adj_p_value, 9) AS adj_p_value, round(base_mean, 9) AS base_mean,
+{out} AS (SELECT feature_id, feature_symbol, feature_type, comparison, round(effect, 8) AS effect, round(statistic, 8) AS statistic,
+     round(statistic, 8) AS signed_stat, round(p_value, 8) AS p_value, round(adj_p_value, 8) AS adj_p_value, round(base_mean, 8) AS base_mean,
      CASE WHEN effect > 0 THEN 'up' WHEN effect < 0 THEN 'down' ELSE 'ns' END AS direction FROM {prefix}adj)"""
 
 
@@ -84,7 +84,7 @@ DIFF_B_SQL = PLANTED_COUNTS_SQL + "," + welch_sql("ccells", "diff_b", "b_").repl
 
 def _steady(df: DataFrame) -> DataFrame:
     cols = ("effect", "statistic", "signed_stat", "p_value", "adj_p_value", "base_mean")
-    return df.withColumns({c: F.round(c, 9) for c in cols})
+    return df.withColumns({c: F.round(c, 8) for c in cols})
 
 
 def diff(spark, sf) -> DataFrame:
@@ -116,7 +116,7 @@ def enriched(spark, sf) -> DataFrame:
 
     def build():
         out = run_ora(diff(spark, sf), TT.gene_sets(spark, sf), preference="raw", output_cutoff=None, max_size=100_000)
-        return out.withColumns({c: F.round(c, 9) for c in ("p_value", "adj_p_value")})
+        return out.withColumns({c: F.round(c, 8) for c in ("p_value", "adj_p_value")})
 
     return shared(spark, sf, "enriched", build)
 
@@ -139,5 +139,5 @@ op AS (SELECT ov.*, m, n, big_n, list_sum(list_transform(range(k, least(m, n) +
               - lgamma(big_n + 1.0) + lgamma(n + 1.0) + lgamma(big_n - n + 1.0)) END)) AS p_value
        FROM ov JOIN sz USING (database, comparison, term) JOIN nh USING (database, comparison, list) JOIN nn USING (database, comparison)),
 oadj AS (""" + bh("p_value", "database, comparison, list", "op") + """),
-ora AS (SELECT database, comparison, term AS pathway_id, list AS direction, round(p_value, 9) AS p_value, round(adj_p_value, 9) AS adj_p_value,
+ora AS (SELECT database, comparison, term AS pathway_id, list AS direction, round(p_value, 8) AS p_value, round(adj_p_value, 8) AS adj_p_value,
         m::DOUBLE AS gene_set_size, k::DOUBLE AS overlap_size, genes AS overlap_features FROM oadj)"""

@@ -42,27 +42,33 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
-# SQL expressions for distribution tails, by Simpson's rule on smooth integrands.
+# SQL expressions for distribution tails: Gauss-Legendre quadrature after a substitution that keeps
+# the integrand smooth at the far end, and the finite series where degrees of freedom are whole.
 
-def t_tail(t: str, df: str, steps: int = 200) -> str:
-    """Two-sided t tail: 2c * integral of cos^(df-1) from atan(|t|/sqrt(df)) to pi/2."""
-    lo = f"atan(abs({t}) / sqrt({df}))"
+def _nodes(n: int = 48) -> str:
+    """Gauss-Legendre nodes and weights on (0, 1) as a SQL list of structs."""
+    import numpy as np
+
+    x, w = np.polynomial.legendre.leggauss(n)
+    return "[" + ", ".join(f"{{'u': {(a + 1) / 2!r}::DOUBLE, 'w': {b / 2!r}::DOUBLE}}" for a, b in zip(x.tolist(), w.tolist())) + "]"
+
+
+def t_tail(t: str, df: str) -> str:
+    """Two-sided t tail: 2c * integral of sin^(df-1) from 0 to S = pi/2 - atan(|t|/sqrt(df)), with s = S u^4."""
+    s = f"(pi() / 2 - atan(abs({t}) / sqrt({df})))"
     return f"""(CASE WHEN {t} IS NULL OR {df} IS NULL THEN NULL ELSE
-      2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi())
-      * (pi() / 2 - {lo}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i:
-          (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-          * pow(greatest(cos({lo} + (pi() / 2 - {lo}) * i / {steps}), 0.0::DOUBLE), {df} - 1))) END)"""
-
-
-def f_tail(f: str, d1: str, d2: str, steps: int = 400) -> str:
-    """Upper F tail with x = sin^2: 2/B(d1/2, d2/2) * integral of sin^(d1-1) cos^(d2-1) from atan(sqrt(d1 f/d2))."""
-    lo = f"atan(sqrt({d1} * {f} / {d2}))"
-    return f"""(CASE WHEN {f} IS NULL OR {d2} IS NULL THEN NULL ELSE
-      2 * exp(lgamma(({d1} + {d2}) / 2) - lgamma({d1} / 2) - lgamma({d2} / 2))
-      * (pi() / 2 - {lo}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i:
-          (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-          * pow(sin({lo} + (pi() / 2 - {lo}) * i / {steps}), {d1} - 1)
-          * pow(greatest(cos({lo} + (pi() / 2 - {lo}) * i / {steps}), 0.0::DOUBLE), {d2} - 1))) END)"""
+      8 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {s}
+      * list_sum(list_transform({_nodes()}, lambda k: k.w * pow(k.u, 3) * pow(sin({s} * pow(k.u, 4)), {df} - 1))) END)"""
+
+
+def t_tail_whole(t: str, df: str) -> str:
+    """Two-sided t tail for whole degrees of freedom by its finite trigonometric series."""
+    th = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"""1 - 2 / pi() * ({th} + sin({th}) * coalesce(list_sum(list_transform(range(0, (({df} - 1) // 2)::BIGINT), lambda j:
+        exp(j * ln(2.0::DOUBLE) + lgamma(j + 1.0::DOUBLE) - (lgamma(2 * j + 2.0::DOUBLE) - j * ln(2.0::DOUBLE) - lgamma(j + 1.0::DOUBLE))) * pow(cos({th}), 2 * j + 1))), 0))"""
+    even = f"""1 - sin({th}) * coalesce(list_sum(list_transform(range(0, ({df} // 2)::BIGINT), lambda j:
+        exp(lgamma(2 * j + 1.0::DOUBLE) - 2 * j * ln(2.0::DOUBLE) - 2 * lgamma(j + 1.0::DOUBLE)) * pow(cos({th}), 2 * j))), 0)"""
+    return f"(CASE WHEN {t} IS NULL OR {df} IS NULL OR {df} < 1 THEN NULL WHEN {df}::BIGINT % 2 = 1 THEN {odd} ELSE {even} END)"
 
 
 def bh(p: str, family: str, src: str, cols: str = "*") -> str:
