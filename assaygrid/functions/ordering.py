@@ -117,7 +117,8 @@ def adjust_p(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "adj
         return df.withColumn(out, F.col(p))
     if method == "bonferroni":
         n = df.groupBy(*keys).agg(F.count(p).alias("n_family"))
-        return with_key_table(df, n, keys, few).withColumn(out, F.least(F.col(p) * F.col("n_family"), F.lit(1.0))).drop("n_family")
+        return with_key_table(df, n, keys, few).withColumn(
+            out, F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("n_family"), F.lit(1.0)))).drop("n_family")
     if not written:
         df = cut(df, "p-values")
     v = cumulative(df, keys, p, few)

@@ -98,7 +98,7 @@ def quadrant(a: Column, b: Column) -> Column:
 
 def neg_log10(p: Column) -> Column:
     """F13."""
-    return -F.log10(F.greatest(p, F.lit(SMALLEST_DOUBLE)))
+    return F.when(p.isNotNull(), -F.log10(F.greatest(p, F.lit(SMALLEST_DOUBLE))))
 
 
 def pretty_set_name(c: Column) -> Column:

@@ -30,7 +30,8 @@ def pair_correlations(cells: DataFrame, method: str = "spearman") -> DataFrame:
                                  F.covar_pop("x", "y").alias("cxy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     r = F.when((F.col("n") >= MIN_SAMPLES) & (F.col("vx") > 1e-14 * F.col("mx") * F.col("mx")) & (F.col("vy") > 1e-14 * F.col("my") * F.col("my")),
                F.greatest(F.least(F.col("cxy") / F.sqrt(F.col("vx") * F.col("vy")), F.lit(1.0)), F.lit(-1.0)))
-    m = m.select(*keys, "n", r.alias("r"))
+    # Correlations within rounding of zero are zero, so that the sign is not noise.
+    m = m.select(*keys, "n", (F.round(r, 12) + 0.0).alias("r"))
     gap = 1 - F.col("r") * F.col("r")
     t = F.when(gap <= 1e-14, F.signum("r") * float("inf")).otherwise(F.col("r") * F.sqrt((F.col("n") - 2) / gap))
     return m.withColumn("t", t)
@@ -69,7 +70,7 @@ def run_concordance(res_a: DataFrame, res_b: DataFrame, feature_pairs: DataFrame
         F.col("feature_id").alias(f"feature_{s}"), F.col("effect").alias(f"effect_{s}"), F.col("p_value").alias(f"p_value_{s}"),
         F.col("adj_p_value").alias(f"adj_p_value_{s}"), direction_sign(F.col("direction"), F.col("effect")).alias(f"dir_{s}"))
     j = pair_ids(feature_pairs).join(side(res_a, "a"), "feature_a").join(side(res_b, "b"), "feature_b")
-    clamp = lambda c: F.log(F.greatest(F.col(c), F.lit(SMALLEST_DOUBLE)))
+    clamp = lambda c: F.when(F.col(c).isNotNull(), F.log(F.greatest(F.col(c), F.lit(SMALLEST_DOUBLE))))
     x = -2 * (clamp("p_value_a") + clamp("p_value_b"))
     q = quadrant(F.col("dir_a"), F.col("dir_b"))
     d = F.when(q.isin("up_up", "down_down"), "concordant").when(q.isNotNull(), "discordant")

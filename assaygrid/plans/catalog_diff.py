@@ -95,7 +95,7 @@ _STD = ["feature_id", "comparison", "effect", "statistic", "p_value", "adj_p_val
 query("d7_moderated_group")(lambda s, d: linear.run_moderated(_planted(s, d), [("ASIA_vs_AFRICA", {"ASIA": 1, "AFRICA": -1}), ("EUROPE_vs_AFRICA", {"EUROPE": 1, "AFRICA": -1})]).select(*_STD))
 query("d7_moderated_covariate")(lambda s, d: linear.run_moderated(_planted(s, d), [("ASIA_vs_AFRICA", {"ASIA": 1, "AFRICA": -1})], covariates=["year", "batch"]).select(*_STD))
 _CM = "cmn AS (SELECT feature_id, grp, avg(value) m FROM lcells JOIN samples USING (sample_id) GROUP BY 1, 2)"
-query("d20_contrast_effects", f"""WITH {FX.PLANTED_SQL}, {_CM} SELECT f.feature_id, 'mix' AS comparison, {r("0.5::DOUBLE * max(m) FILTER (grp = 'ASIA') + 0.5::DOUBLE * max(m) FILTER (grp = 'EUROPE') - max(m) FILTER (grp = 'AFRICA')")} AS effect FROM features f LEFT JOIN cmn USING (feature_id) GROUP BY 1""", 6)(
+query("d20_contrast_effects", f"""WITH {FX.PLANTED_SQL}, {_CM} SELECT f.feature_id, 'mix' AS comparison, {r("0.5::DOUBLE * max(m) FILTER (grp = 'ASIA') + 0.5::DOUBLE * max(m) FILTER (grp = 'EUROPE') - max(m) FILTER (grp = 'AFRICA')")} AS effect FROM features f LEFT JOIN cmn USING (feature_id) GROUP BY 1""")(
     lambda s, d: linear.run_moderated(_planted(s, d), [("mix", {"ASIA": 0.5, "EUROPE": 0.5, "AFRICA": -1})]).select("feature_id", "comparison", "effect"))
 query("j19_contrast_of_means", f"""WITH {FX.PLANTED_SQL}, {_CM}, w AS (SELECT * FROM (VALUES ('mix', 'ASIA', 0.5::DOUBLE), ('mix', 'EUROPE', 0.5::DOUBLE), ('mix', 'AFRICA', -1.0::DOUBLE), ('ASIA_vs_EUROPE', 'ASIA', 1.0::DOUBLE), ('ASIA_vs_EUROPE', 'EUROPE', -1.0::DOUBLE)) t(comparison, grp, wt))
 SELECT feature_id, comparison, {r('sum(m * wt)')} AS effect FROM cmn JOIN w USING (grp) GROUP BY 1, 2 HAVING count(*) = (CASE comparison WHEN 'mix' THEN 3 ELSE 2 END)""")(
@@ -113,15 +113,15 @@ query("j14_untested_kept", f"WITH {D} SELECT feature_id, comparison FROM diff WH
 
 # ---- p adjustment --------------------------------------------------------------------------
 
-query("w1_bh", f"WITH {D} SELECT feature_id, comparison, {r('adj_p_value')} AS adj_p_value FROM diff")(
+query("w1_bh", f"WITH {D}, x AS (SELECT feature_id, comparison, p_value FROM diff), y AS ({bh('p_value', 'comparison', 'x')}) SELECT feature_id, comparison, {r('adj_p_value', 6)} AS adj_p_value FROM y", 6)(
     lambda s, d: O.adjust_p(FX.diff(s, d), ["comparison"], few=True, written=True).select("feature_id", "comparison", "adj_p_value"))
-query("w1_bh_global", f"WITH {D}, x AS (SELECT feature_id, comparison, p_value FROM diff), y AS ({bh('p_value', '', 'x')}) SELECT feature_id, comparison, {r('adj_p_value')} AS adj_p_value FROM y")(
+query("w1_bh_global", f"WITH {D}, x AS (SELECT feature_id, comparison, p_value FROM diff), y AS ({bh('p_value', '', 'x')}) SELECT feature_id, comparison, {r('adj_p_value', 6)} AS adj_p_value FROM y", 6)(
     lambda s, d: O.adjust_p(FX.diff(s, d), [], written=True).select("feature_id", "comparison", "adj_p_value"))
 _RK = "x AS (SELECT feature_id, comparison, p_value AS p, row_number() OVER (PARTITION BY comparison ORDER BY p_value) AS i, count(*) OVER (PARTITION BY comparison) AS n FROM diff WHERE p_value IS NOT NULL)"
 
 
 def _adj(name, sql):
-    query(f"w2_{name.lower()}", f"WITH {D}, {_RK}, y AS ({sql}) SELECT d.feature_id, d.comparison, {r('a')} AS adj_p_value FROM diff d LEFT JOIN y ON y.feature_id = d.feature_id AND y.comparison = d.comparison")(
+    query(f"w2_{name.lower()}", f"WITH {D}, {_RK}, y AS ({sql}) SELECT d.feature_id, d.comparison, {r('a', 6)} AS adj_p_value FROM diff d LEFT JOIN y ON y.feature_id = d.feature_id AND y.comparison = d.comparison", 6)(
         lambda s, d: O.adjust_p(FX.diff(s, d), ["comparison"], method=name, few=True, written=True).select("feature_id", "comparison", "adj_p_value"))
 
 

@@ -48,12 +48,12 @@ def _ora(s, d, **kw):
     return EN.run_ora(FX.diff(s, d), TT.gene_sets(s, d), preference="raw", **kw)
 
 
-query("e2_over_representation", f"WITH {ORA} SELECT {_EQ}, overlap_features FROM ora")(lambda s, d: _ora(s, d, output_cutoff=None).select(*_EC, "overlap_features"))
-query("e2_bounded_output", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE ora.p_value <= 0.05 AND ora.adj_p_value <= 0.05")(lambda s, d: _ora(s, d, output_cutoff=0.05).select(*_EC))
-query("e3_up_list", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE direction = 'up'")(lambda s, d: _ora(s, d, output_cutoff=None, direction="up").select(*_EC))
-query("e3_pooled_list", f"""WITH {D}, {FX.ORA_SQL.replace("CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS list", "'both' AS list").replace("p_value < 0.05 AND effect <> 0", "p_value < 0.05")} SELECT database, comparison, pathway_id, NULL::VARCHAR AS direction, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, gene_set_size, overlap_size FROM ora""")(
+query("e2_over_representation", f"WITH {ORA} SELECT {_EQ}, overlap_features FROM ora", 6)(lambda s, d: _ora(s, d, output_cutoff=None).select(*_EC, "overlap_features"))
+query("e2_bounded_output", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE ora.p_value <= 0.05 AND ora.adj_p_value <= 0.05", 6)(lambda s, d: _ora(s, d, output_cutoff=0.05).select(*_EC))
+query("e3_up_list", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE direction = 'up'", 6)(lambda s, d: _ora(s, d, output_cutoff=None, direction="up").select(*_EC))
+query("e3_pooled_list", f"""WITH {D}, {FX.ORA_SQL.replace("CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS list", "'both' AS list").replace("p_value < 0.05 AND effect <> 0", "p_value < 0.05")} SELECT database, comparison, pathway_id, NULL::VARCHAR AS direction, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, gene_set_size, overlap_size FROM ora""", 6)(
     lambda s, d: _ora(s, d, output_cutoff=None, direction="both").select(*_EC))
-query("e1_run_ora_one_comparison", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE comparison = 'ASIA_vs_AFRICA'")(
+query("e1_run_ora_one_comparison", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE comparison = 'ASIA_vs_AFRICA'", 6)(
     lambda s, d: EN.run_ora(FX.one_comparison(FX.diff(s, d)), TT.gene_sets(s, d), preference="raw", output_cutoff=None, max_size=100_000).select(*_EC))
 query("e6_standard_columns", f"""WITH {ORA} SELECT database, 'ora' AS result_type, comparison, pathway_id, trim(replace(regexp_replace(pathway_id, '^(KEGG_|REACTOME_|GOBP_)', ''), '_', ' ')) AS pathway_name, NULL::DOUBLE AS effect, NULL::VARCHAR AS effect_type, direction,
 {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, NULL::DOUBLE AS q_value, gene_set_size, overlap_size, overlap_features, overlap_features AS leading_features, 'ora_'||direction||'_'||database AS source_label FROM ora""")(
@@ -109,7 +109,7 @@ def _rescued(s, d):
     return EN.restore(out, m).select(*_EC, "overlap_features")
 
 
-query("j20_case_rescue", f"WITH {ORA} SELECT {_EQ}, lower(overlap_features) AS overlap_features FROM ora")(_rescued)
+query("j20_case_rescue", f"WITH {ORA} SELECT {_EQ}, lower(overlap_features) AS overlap_features FROM ora", 6)(_rescued)
 
 # ---- rank-based enrichment and scores ------------------------------------------------------
 
@@ -148,9 +148,9 @@ query("e9_gsva")(lambda s, d: EN.gsva(TT.vectors(s, d), _vector_sets(s, d)))
 _SSG = f"""{TT.VECTORS_SQL}, rk AS (SELECT feature_symbol AS gene, sample_id, rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY sample_id)::DOUBLE AS n FROM cells JOIN features USING (feature_id)),
 st AS (SELECT 'label' AS database, 'L'||label AS term, 'S'||vec_id AS gene FROM embeddings), sz AS (SELECT term, count(*)::DOUBLE k FROM st GROUP BY 1 HAVING count(*) BETWEEN 10 AND 500),
 sc AS (SELECT database, term, sample_id, sum(pow(rk, 0.25::DOUBLE) * rk) / sum(pow(rk, 0.25::DOUBLE)) - (any_value(n) * (any_value(n) + 1) / 2 - sum(rk)) / (any_value(n) - any_value(k)) AS score FROM rk JOIN st USING (gene) JOIN sz USING (term) GROUP BY 1, 2, 3)"""
-query("e10_ssgsea", f"WITH {_SSG} SELECT database, term, sample_id, {r('score / (SELECT max(score) - min(score) FROM sc)')} AS score FROM sc")(lambda s, d: EN.ssgsea(TT.vectors(s, d), _vector_sets(s, d)))
+query("e10_ssgsea", f"WITH {_SSG} SELECT database, term, sample_id, {r('score / (SELECT max(score) - min(score) FROM sc)', 6)} AS score FROM sc", 6)(lambda s, d: EN.ssgsea(TT.vectors(s, d), _vector_sets(s, d)))
 query("v10_score_heatmap", f"""WITH {_SSG}, nz AS (SELECT database, term, sample_id, score / (SELECT max(score) - min(score) FROM sc) AS score FROM sc), tp AS (SELECT database, term FROM nz GROUP BY 1, 2 ORDER BY var_samp(score) DESC, database, term LIMIT 5)
-SELECT database, term, sample_id, {r('(score - avg(score) OVER w) / stddev_samp(score) OVER w')} AS z FROM nz JOIN tp USING (database, term) WINDOW w AS (PARTITION BY database, term)""")(
+SELECT database, term, sample_id, {r('(score - avg(score) OVER w) / stddev_samp(score) OVER w', 6)} AS z FROM nz JOIN tp USING (database, term) WINDOW w AS (PARTITION BY database, term)""", 6)(
     lambda s, d: VW.score_heatmap(EN.ssgsea(TT.vectors(s, d), _vector_sets(s, d)), 5))
 
 # ---- feature and sample links --------------------------------------------------------------
@@ -265,9 +265,9 @@ def _genes(s, d):
     return L.to_genes(_transcripts(s, d), TT.part_features(s, d).select(F.concat("feature_id", F.lit(".1")).alias("tx_id"), F.col("feature_symbol").alias("gene_id")))
 
 
-query("j5_transcripts_to_genes", f"WITH {_TX} SELECT gene AS feature_id, sample_id, {r('c')} AS value, {r('tpm')} AS tpm, {r('coalesce(w, geo, ml)')} AS eff_length FROM g JOIN b USING (gene)")(_genes)
-query("a8_sum_by_gene", f"WITH {_TX} SELECT gene AS feature_id, {r('sum(c)')} AS value FROM g GROUP BY 1")(lambda s, d: _genes(s, d).groupBy("feature_id").agg(F.sum("value").alias("value")))
-query("a9_weighted_length", f"WITH {_TX} SELECT gene AS feature_id, {r('avg(coalesce(w, geo, ml))')} AS eff_length FROM g JOIN b USING (gene) GROUP BY 1")(lambda s, d: _genes(s, d).groupBy("feature_id").agg(F.avg("eff_length").alias("eff_length")))
+query("j5_transcripts_to_genes", f"WITH {_TX} SELECT gene AS feature_id, sample_id, {r('c', 6)} AS value, {r('tpm', 6)} AS tpm, {r('coalesce(w, geo, ml)', 6)} AS eff_length FROM g JOIN b USING (gene)", 6)(_genes)
+query("a8_sum_by_gene", f"WITH {_TX} SELECT gene AS feature_id, {r('sum(c)', 6)} AS value FROM g GROUP BY 1", 6)(lambda s, d: _genes(s, d).groupBy("feature_id").agg(F.sum("value").alias("value")))
+query("a9_weighted_length", f"WITH {_TX} SELECT gene AS feature_id, {r('avg(coalesce(w, geo, ml))', 6)} AS eff_length FROM g JOIN b USING (gene) GROUP BY 1", 6)(lambda s, d: _genes(s, d).groupBy("feature_id").agg(F.avg("eff_length").alias("eff_length")))
 
 # ---- integration ---------------------------------------------------------------------------
 
@@ -286,11 +286,11 @@ def _layers(s, d):
     return a, b, L.pair_by_id(a.samples, b.samples)
 
 
-query("j12_paired_cells", f"WITH {_TWO} SELECT feature_a, feature_b, donor, {r('x')} AS x, {r('y')} AS y FROM pc")(
+query("j12_paired_cells", f"WITH {_TWO} SELECT feature_a, feature_b, donor, {r('x', 6)} AS x, {r('y', 6)} AS y FROM pc", 6)(
     lambda s, d: (lambda t: L.paired_cells(N.display_scale(t[0]), N.display_scale(t[1]), _pairs(s, d), t[2]))(_layers(s, d)))
 _CORR = """, pr AS (SELECT feature_a, feature_b, rank() OVER (PARTITION BY feature_a, feature_b ORDER BY x) + (count(*) OVER (PARTITION BY feature_a, feature_b, x) - 1) / 2.0::DOUBLE rx,
  rank() OVER (PARTITION BY feature_a, feature_b ORDER BY y) + (count(*) OVER (PARTITION BY feature_a, feature_b, y) - 1) / 2.0::DOUBLE ry, x, y FROM pc),
-cs AS (SELECT feature_a, feature_b, count(*) n, CASE WHEN count(*) >= 4 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN corr({x}, {y}) END rr FROM pr GROUP BY 1, 2),
+cs AS (SELECT feature_a, feature_b, count(*) n, CASE WHEN count(*) >= 4 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN round(corr({x}, {y}), 12) + 0.0::DOUBLE END rr FROM pr GROUP BY 1, 2),
 ct AS (SELECT *, CASE WHEN 1 - rr * rr > 1e-14 THEN rr * sqrt((n - 2) / (1 - rr * rr)) END AS t, (n - 2)::DOUBLE AS df FROM cs),
 cp AS (SELECT fp.*, rr, n, t, CASE WHEN rr IS NULL THEN NULL ELSE {p} END AS p_value FROM fp LEFT JOIN ct USING (feature_a, feature_b)), ca AS ("""
 
@@ -300,16 +300,16 @@ def _corr_sql(x, y, p):
 
 
 _TW = f"coalesce({t_tail_whole('t', 'df')}, 0)"
-query("i1_spearman", f"""WITH {_corr_sql('rx', 'ry', f"greatest({_TW}, CASE WHEN n <= 18 THEN 2 / exp(lgamma(n + 1.0::DOUBLE)) ELSE 0 END)")} SELECT feature_a AS feature_id_a, feature_b AS feature_id_b, {r('rr')} AS effect, {r('(n::DOUBLE * n * n - n) / 6 * (1 - rr)', 4)} AS statistic, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value,
-CASE WHEN rr >= 0 THEN 'positive' WHEN rr < 0 THEN 'negative' END AS direction, coalesce(adj_p_value < 0.05, false) AS is_significant FROM ca""")(
+query("i1_spearman", f"""WITH {_corr_sql('rx', 'ry', f"greatest({_TW}, CASE WHEN n <= 18 THEN 2 / exp(lgamma(n + 1.0::DOUBLE)) ELSE 0 END)")} SELECT feature_a AS feature_id_a, feature_b AS feature_id_b, {r('rr', 6)} AS effect, {r('(n::DOUBLE * n * n - n) / 6 * (1 - rr)', 4)} AS statistic, {r('p_value', 6)} AS p_value, {r('adj_p_value', 6)} AS adj_p_value,
+CASE WHEN rr >= 0 THEN 'positive' WHEN rr < 0 THEN 'negative' END AS direction, coalesce(adj_p_value < 0.05, false) AS is_significant FROM ca""", 6)(
     lambda s, d: (lambda t: IN.run_correlation(t[0], t[1], _pairs(s, d), t[2]))(_layers(s, d)).select("feature_id_a", "feature_id_b", "effect", F.round("statistic", 4).alias("statistic"), "p_value", "adj_p_value", "direction", "is_significant"))
-query("i1_pearson", f"WITH {_corr_sql('x', 'y', _TW)} SELECT feature_a AS feature_id_a, feature_b AS feature_id_b, {r('rr')} AS effect, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value FROM ca")(
+query("i1_pearson", f"WITH {_corr_sql('x', 'y', _TW)} SELECT feature_a AS feature_id_a, feature_b AS feature_id_b, {r('rr', 6)} AS effect, {r('p_value', 6)} AS p_value, {r('adj_p_value', 6)} AS adj_p_value FROM ca", 6)(
     lambda s, d: (lambda t: IN.run_correlation(t[0], t[1], _pairs(s, d), t[2], "pearson"))(_layers(s, d)).select("feature_id_a", "feature_id_b", "effect", "p_value", "adj_p_value"))
 _CONC = f"""{D}, {DB}, fp AS (SELECT f.feature_id AS feature_a, replace(g.feature_id, 'P', 'R') AS feature_b, f.feature_symbol AS label FROM features f JOIN features g USING (feature_symbol)),
 jn AS (SELECT fp.*, a.effect ea, b.effect eb, a.p_value pa, b.p_value pb, CASE WHEN a.direction <> 'ns' THEN a.direction END da, CASE WHEN b.direction <> 'ns' THEN b.direction END db FROM fp
    JOIN diff a ON a.feature_id = feature_a AND a.comparison = 'ASIA_vs_AFRICA' JOIN diff_b b ON b.feature_id = feature_b AND b.comparison = 'ASIA_vs_AFRICA'),
 q AS (SELECT *, da||'_'||db AS quadrant, CASE WHEN da = db THEN 'concordant' WHEN da IS NOT NULL AND db IS NOT NULL THEN 'discordant' END AS direction, coalesce(pa < 0.05, false) sa, coalesce(pb < 0.05, false) sb,
-   -2 * (ln(greatest(pa, 2.2250738585072014e-308::DOUBLE)) + ln(greatest(pb, 2.2250738585072014e-308::DOUBLE))) AS statistic FROM jn),
+   CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN -2 * (ln(greatest(pa, 2.2250738585072014e-308::DOUBLE)) + ln(greatest(pb, 2.2250738585072014e-308::DOUBLE))) END AS statistic FROM jn),
 qp AS (SELECT *, exp(-statistic / 2) * (1 + statistic / 2) AS p_value FROM q), conc AS ({bh('p_value', '', 'qp')})"""
 
 

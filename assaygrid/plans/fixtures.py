@@ -116,7 +116,7 @@ def enriched(spark, sf) -> DataFrame:
 
     def build():
         out = run_ora(diff(spark, sf), TT.gene_sets(spark, sf), preference="raw", output_cutoff=None, max_size=100_000)
-        return out.withColumns({c: F.round(c, 8) for c in ("p_value", "adj_p_value")})
+        return out.withColumns({c: F.round(c, 6) for c in ("p_value", "adj_p_value")})
 
     return shared(spark, sf, "enriched", build)
 
@@ -139,5 +139,5 @@ op AS (SELECT ov.*, m, n, big_n, list_sum(list_transform(range(k, least(m, n) +
               - lgamma(big_n + 1.0) + lgamma(n + 1.0) + lgamma(big_n - n + 1.0)) END)) AS p_value
        FROM ov JOIN sz USING (database, comparison, term) JOIN nh USING (database, comparison, list) JOIN nn USING (database, comparison)),
 oadj AS (""" + bh("p_value", "database, comparison, list", "op") + """),
-ora AS (SELECT database, comparison, term AS pathway_id, list AS direction, round(p_value, 8) AS p_value, round(adj_p_value, 8) AS adj_p_value,
+ora AS (SELECT database, comparison, term AS pathway_id, list AS direction, round(p_value, 6) AS p_value, round(adj_p_value, 6) AS adj_p_value,
         m::DOUBLE AS gene_set_size, k::DOUBLE AS overlap_size, genes AS overlap_features FROM oadj)"""

@@ -76,5 +76,5 @@ def bh(p: str, family: str, src: str, cols: str = "*") -> str:
     part = f"PARTITION BY {family}" if family else ""
     part2 = f"PARTITION BY {family}, ({p} IS NULL)" if family else f"PARTITION BY ({p} IS NULL)"
     return f"""
-  SELECT {cols}, CASE WHEN {p} IS NULL THEN NULL ELSE least(1.0::DOUBLE, min(_v) OVER ({part2} ORDER BY {p} DESC ROWS UNBOUNDED PRECEDING)) END AS adj_p_value
+  SELECT {cols}, CASE WHEN {p} IS NULL THEN NULL ELSE least(1.0::DOUBLE, min(_v) OVER ({part2} ORDER BY {p} DESC RANGE UNBOUNDED PRECEDING)) END AS adj_p_value
   FROM (SELECT *, {p} * (count({p}) OVER ({part})) / (row_number() OVER ({part2} ORDER BY {p})) AS _v FROM {src})"""
