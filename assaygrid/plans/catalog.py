@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assaygrid.operators import cells as C
 from assaygrid.operators.diff import ttest
 from assaygrid.operators.normalize import analysis_scale
-from assaygrid.plans import catalog_core, catalog_diff, catalog_sets  # noqa: F401
+from assaygrid.plans import catalog_core, catalog_diff, catalog_io, catalog_sets  # noqa: F401
 from assaygrid.plans import testtables as TT
 from assaygrid.plans.registry import ORACLES, QUERIES
 

@@ -10,7 +10,7 @@ from assaygrid.operators import cells as C
 from assaygrid.operators import gram as G
 from assaygrid.operators import normalize as N
 from assaygrid.operators import views as VW
-from assaygrid.operators.diff import linear, results, ttest
+from assaygrid.operators.diff import counts, linear, results, ttest
 from assaygrid.plans import fixtures as FX
 from assaygrid.plans import testtables as TT
 from assaygrid.plans import registry
@@ -205,3 +205,14 @@ query("v7_contrast_bars", f"WITH {D} SELECT comparison, direction, count(*) AS n
     lambda s, d: FX.diff(s, d).where(mask() & (F.col("direction") != "ns")).groupBy("comparison", "direction").agg(F.count("*").alias("n")))
 query("u1_stacked_results", f"WITH {D}, {FX.DIFF_B_SQL} SELECT 'protein' AS tag, feature_id, comparison, {r('effect')} AS effect FROM diff UNION ALL SELECT 'rna', feature_id, comparison, {r('effect')} FROM diff_b")(
     lambda s, d: FX.diff(s, d).select(F.lit("protein").alias("tag"), "feature_id", "comparison", "effect").unionByName(FX.diff_b(s, d).select(F.lit("rna").alias("tag"), "feature_id", "comparison", "effect"), allowMissingColumns=True))
+
+# ---- count models --------------------------------------------------------------------------
+
+_CT = [("ASIA_vs_AFRICA", {"ASIA": 1, "AFRICA": -1}), ("mix", {"ASIA": 0.5, "EUROPE": 0.5, "AFRICA": -1})]
+_GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+query("d12_nb_wald")(lambda s, d: counts.run_nb_wald(TT.counts(s, d), _CT).select(*_STD))
+query("d12_nb_wald_covariate")(lambda s, d: counts.run_nb_wald(TT.brands(s, d, "l_quantity"), _CT[:1], covariates=["year"]).select(*_STD))
+query("d13_nb_continuous")(lambda s, d: counts.run_nb_continuous(TT.brands(s, d, "l_quantity"), "year").select(*_STD))
+query("d14_nb_anova")(lambda s, d: counts.run_nb_anova(TT.brands(s, d, "l_quantity"), _GROUPS).select(*_STD))
+query("d16_ql_group")(lambda s, d: counts.run_ql(TT.counts(s, d), _CT).select(*_STD))
+query("d17_ql_anova")(lambda s, d: counts.run_ql_anova(TT.brands(s, d, "l_quantity"), _GROUPS).select(*_STD))

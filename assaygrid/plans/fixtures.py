@@ -14,22 +14,9 @@ from assaygrid.operators.diff import ttest
 from assaygrid.operators.normalize import analysis_scale
 from assaygrid.plans import testtables as TT
 from assaygrid.plans.registry import bh, t_tail
-from assaygrid.session import scratch_path
+from assaygrid.plans.testtables import shared
 
 COMPARISONS = [(g, "AFRICA") for g in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
-
-def shared(spark, sf: str, name: str, build) -> DataFrame:
-    """The table `name` for this application and folder, written on first use."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        path = scratch_path(spark, name)
-        build().write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
-
-
 SHIFT = """CASE WHEN grp = 'ASIA' AND p_brand = 'Brand#7' THEN 3.0 WHEN grp = 'ASIA' AND p_size = 5 THEN -3.0
       WHEN grp = 'EUROPE' AND p_brand = 'Brand#7' THEN 2.0 ELSE 0.0 END"""
 

@@ -6,12 +6,23 @@ year, so the sample axis keeps its size. Each Spark builder has a SQL twin used
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaygrid.model import Layer, make_layer
+from assaygrid.session import scratch_path
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def shared(spark, sf: str, name: str, build) -> DataFrame:
+    """The table `name` for this application and folder, written to the scratch folder on first use."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,7 +36,12 @@ def _lines(spark, sf, *cols):
 
 
 def sample_table(spark, sf) -> DataFrame:
-    """One row per (nation, year) with lines: grp, nation, year, batch, balance."""
+    """One row per (nation, year) with lines, as a written table like any study's sample sheet."""
+    return shared(spark, sf, "samples", lambda: _samples(spark, sf))
+
+
+def _samples(spark, sf) -> DataFrame:
+    """grp, nation, year, batch and balance of each (nation, year)."""
     seen = (
         table(spark, sf, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year")).distinct()
         .join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))

@@ -1 +1 @@
-"""Readers and writers: text tables, quantifier files, gene sets, projects."""
+"""Readers and writers: text tables, quantifier files, gene sets, assay folders, results."""
