@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.functions.ordering import exact_quantiles
-from assaygrid.functions.scalar import hashed_normal
+from assaygrid.functions.ordering import cumulative, exact_quantiles
+from assaygrid.functions.scalar import hashed_normal, hashed_uniform
 from assaygrid.model import Layer
 from assaygrid.operators.cells import absent_cells
+from assaygrid.operators.diff.kernel import feature_rows
+from assaygrid.operators.gram import TILE, _dense, sample_index
+from assaygrid.session import cut
 
 
 def row_min(layer: Layer) -> DataFrame:
@@ -62,8 +67,236 @@ def shifted_normal(layer: Layer, shift: float = 1.8, scale: float = 0.3, seed: i
         F.when(F.col("n") >= 2, draw).when(F.col("n") == 1, F.col("m")).otherwise(0.0).alias("value"))
 
 
-METHODS = {"min": row_min, "zero": constant, "MinDet": min_det, "MinProb": min_prob, "man": shifted_normal}
-_SEEDED = ("MinProb", "man")
+def censored_normal(layer: Layer, seed: int = 1234, tune: float = 1.0) -> DataFrame:
+    """Q18: draws from each sample's normal, truncated above at its missing share.
+
+    Mean and sd are the regression of the observed quantiles (0.1 % to 99.1 %) on normal quantiles
+    that start at the missing share. Draws invert the truncated distribution at hashed numbers.
+    """
+    from assaygrid.functions.ordering import spread_quantiles
+    from assaygrid.operators.cells import sample_missing
+    from assaygrid.operators.integrate import upper_z
+
+    few = layer.few_samples()
+    miss = layer.per_sample(sample_missing(layer))
+    grid = spread_quantiles(layer.cells, ["sample_id"], "value", 1001, few).where("i % 10 = 1 and i <= 991").join(miss, "sample_id")
+    place = F.col("missing_rate") + 0.001 + ((F.col("i") - 1) / 10) * (0.99 - F.col("missing_rate")) / 99
+    z = grid.withColumn("z", -upper_z(place))
+    fit = z.groupBy("sample_id").agg(F.regr_intercept("value", "z").alias("m"), F.regr_slope("value", "z").alias("s"),
+                                     F.first("missing_rate").alias("missing_rate"))
+    gaps = absent_cells(layer).join(layer.per_sample(cut(fit, "censored")), "sample_id", "left")
+    u = hashed_uniform(seed, "t", F.col("feature_id"), F.col("sample_id")) * (F.col("missing_rate") + 0.001)
+    return gaps.withColumn("q", -upper_z(u)).select(
+        "feature_id", "sample_id", F.coalesce(F.col("m") + F.col("s") * tune * F.col("q"), F.lit(0.0)).alias("value"))
+
+
+# Features compared with each other at a time when neighbours are sought.
+NEIGHBOUR_BLOCK = 1500
+
+
+def _fill(rows: DataFrame, ids: list[str], n: int, fill) -> DataFrame:
+    """Filled cells from a function of a dense block (ids, values) -> completed block."""
+    names = np.array(ids)
+
+    def kernel(batches):
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.iloc[lo:lo + 1024]
+                block = _dense(part, "k", "v", n)
+                full = fill(block)
+                i, j = np.nonzero(np.isnan(block))
+                yield pd.DataFrame({"feature_id": part["feature_id"].to_numpy()[i], "sample_id": names[j], "value": full[i, j]})
+
+    return rows.mapInPandas(kernel, "feature_id string, sample_id string, value double")
+
+
+def _all_rows(layer: Layer, index: DataFrame) -> DataFrame:
+    """Feature rows, features without any cell included (as empty arrays)."""
+    rows = feature_rows(layer.cells, index)
+    return layer.features.select("feature_id").join(rows, "feature_id", "left").select(
+        "feature_id", F.coalesce("k", F.array().cast("array<int>")).alias("k"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
+
+
+def nearest(layer: Layer, k: int = 10) -> DataFrame:
+    """Q19: mean of the k nearest features with a value in the sample.
+
+    Up to NEIGHBOUR_BLOCK features all are candidates; a longer feature axis is cut into blocks of
+    that many features with similar means, so no task compares more. Features with more than half
+    of their values missing, and cells without a neighbour, take the sample's mean.
+    """
+    ids, index = sample_index(layer)
+    n = len(ids)
+    means = layer.cells.groupBy("feature_id").agg(F.avg("value").alias("m"))
+    spot = cumulative(means, [], "m").select("m", F.floor(F.col("below") / NEIGHBOUR_BLOCK).cast("long").alias("block"), "ties")
+    # Equal means beyond one block's worth are spread over several blocks by id.
+    spread = F.pmod(F.xxhash64("feature_id"), F.ceil(F.col("ties") / NEIGHBOUR_BLOCK))
+    placed = means.join(spot, "m").select("feature_id", "block", spread.alias("part"))
+    rows = _all_rows(layer, index).join(placed, "feature_id", "left").fillna(0, ["block", "part"])
+    col = {r.sample_id: r.m for r in layer.cells.groupBy("sample_id").agg(F.avg("value").alias("m")).collect()}
+    center = np.array([col.get(i, 0.0) for i in ids])
+    names = np.array(ids)
+
+    def block_fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = _dense(pdf, "k", "v", n)
+        seen = ~np.isnan(a)
+        x, m = np.where(seen, a, 0.0), seen.astype(float)
+        both = m @ m.T
+        d = (x * x) @ m.T + m @ (x * x).T - 2 * x @ x.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(both > 0, np.maximum(d, 0) / both, np.inf)
+        np.fill_diagonal(d, np.inf)
+        out = a.copy()
+        good = seen.mean(axis=1) >= 0.5
+        for i in np.flatnonzero(~seen.all(axis=1)):
+            gaps = np.flatnonzero(~seen[i])
+            fill = center[gaps].copy()
+            if good[i]:
+                order = np.argsort(d[i], kind="stable")[:k]
+                order = order[np.isfinite(d[i][order])]
+                have = seen[np.ix_(order, gaps)]
+                cnt = have.sum(axis=0)
+                tot = np.where(have, x[np.ix_(order, gaps)], 0.0).sum(axis=0)
+                fill = np.where(cnt > 0, tot / np.maximum(cnt, 1), fill)
+            out[i, gaps] = fill
+        i, j = np.nonzero(~seen)
+        return pd.DataFrame({"feature_id": pdf["feature_id"].to_numpy()[i], "sample_id": names[j], "value": out[i, j]})
+
+    return rows.groupBy("block", "part").applyInPandas(block_fill, "feature_id string, sample_id string, value double")
+
+
+def _sum_rows(partials: DataFrame, cols: list[str]) -> dict:
+    """Sum array columns per row index `i` over the tasks' partial results; n rows reach the driver."""
+    schema = "i int, " + ", ".join(f"{c} array<double>" for c in cols)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [pdf["i"].iloc[0]], **{c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0)] for c in cols}})
+
+    rows = sorted(partials.groupBy("i").applyInPandas(add, schema).collect(), key=lambda r: r.i)
+    return {c: np.array([r[c] for r in rows]) for c in cols}
+
+
+def multivariate_normal(layer: Layer, rounds: int = 12) -> DataFrame:
+    """Q20: conditional means under a multivariate normal over the samples, fitted by EM.
+
+    Each round is one pass over the feature rows; only n x n sums come back.
+    """
+    ids, index = sample_index(layer)
+    n = len(ids)
+    if n > TILE:
+        raise ValueError("the covariance of this many samples is not held on the driver")
+    rows = cut(_all_rows(layer, index), "em-rows")
+    start = layer.cells.groupBy("sample_id").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).toPandas().set_index("sample_id").reindex(ids)
+    mu, sigma = start.m.fillna(0.0).to_numpy(), np.diag(np.maximum(start.v.fillna(1.0).to_numpy(), 1e-6))
+
+    def expect(block, mu, sigma):
+        """Completed block and the summed conditional covariances."""
+        full, extra = block.copy(), np.zeros((n, n))
+        for i in range(len(block)):
+            o = ~np.isnan(block[i])
+            h = ~o
+            if not o.any():
+                full[i] = mu
+                extra += sigma
+            elif h.any():
+                k = np.linalg.solve(sigma[np.ix_(o, o)], sigma[np.ix_(o, h)])
+                full[i, h] = mu[h] + (block[i, o] - mu[o]) @ k
+                extra[np.ix_(h, h)] += sigma[np.ix_(h, h)] - sigma[np.ix_(h, o)] @ k
+        return full, extra
+
+    for _ in range(rounds):
+        def step(batches, mu=mu, sigma=sigma):
+            s1, s2, c = np.zeros(n), np.zeros((n, n)), 0
+            for b in batches:
+                full, extra = expect(_dense(b, "k", "v", n), mu, sigma)
+                s1 += full.sum(axis=0)
+                s2 += full.T @ full + extra
+                c += len(full)
+            if c:
+                yield pd.DataFrame({"i": np.arange(n), "s": list(np.column_stack([s1, np.full(n, float(c))])), "q": list(s2)})
+
+        got = _sum_rows(rows.mapInPandas(step, "i int, s array<double>, q array<double>"), ["s", "q"])
+        total = got["s"][0, 1]
+        new = got["s"][:, 0] / total
+        cov = got["q"] / total - np.outer(new, new)
+        sigma = (cov + cov.T) / 2 + 1e-6 * np.trace(cov) / n * np.eye(n)
+        moved = np.max(np.abs(new - mu))
+        mu = new
+        if moved < 1e-5:
+            break
+    return _fill(rows, ids, n, lambda block: expect(block, mu, sigma)[0])
+
+
+def low_rank(layer: Layer, components: int = 3, rounds: int = 15) -> DataFrame:
+    """Q21: a Bayesian low-rank model: features regress on sample scores under a shrinking prior.
+
+    Loadings live with the features; per round only one small matrix per sample comes back.
+    """
+    ids, index = sample_index(layer)
+    n, k = len(ids), components
+    rows = cut(_all_rows(layer, index), "low-rank")
+    rng = np.random.default_rng(11)
+    z = np.linalg.qr(rng.standard_normal((n, k)))[0] * np.sqrt(n)
+    prior = np.ones(k) * 0.1
+
+    def loadings(block, z, prior):
+        """Row means and loadings under precision `prior`."""
+        m = ~np.isnan(block)
+        mf = m.astype(float)
+        x = np.column_stack([np.ones(n), z])
+        a = (mf @ (x[:, :, None] * x[:, None, :]).reshape(n, -1)).reshape(-1, k + 1, k + 1) + np.diag(np.concatenate([[1e-6], prior]))
+        return np.linalg.solve(a, (np.where(m, block, 0.0) @ x)[:, :, None])[:, :, 0], m
+
+    for _ in range(rounds):
+        def step(batches, z=z, prior=prior):
+            a, b, w2, c = np.zeros((n, k, k)), np.zeros((n, k)), np.zeros(k), 0
+            for batch in batches:
+                block = _dense(batch, "k", "v", n)
+                w, m = loadings(block, z, prior)
+                wk = w[:, 1:]
+                r = np.where(m, block - w[:, :1], 0.0)
+                a += np.einsum("bn,bi,bj->nij", m.astype(float), wk, wk)
+                b += r.T @ wk
+                w2 += (wk * wk).sum(axis=0)
+                c += len(block)
+            if c:
+                tail = np.broadcast_to(np.concatenate([w2, [float(c)]]), (n, k + 1))
+                yield pd.DataFrame({"i": np.arange(n), "s": list(np.column_stack([a.reshape(n, -1), b, tail]))})
+
+        s = _sum_rows(rows.mapInPandas(step, "i int, s array<double>"), ["s"])["s"]
+        a, b = s[:, :k * k].reshape(n, k, k), s[:, k * k:k * k + k]
+        w2, c = s[0, k * k + k:-1], s[0, -1]
+        prior = np.clip(c / np.maximum(w2, 1e-9), 1e-3, 1e6) * 0.1
+        new = np.linalg.solve(a + 1e-6 * np.eye(k), b[:, :, None])[:, :, 0]
+        new = (new - new.mean(axis=0)) / np.maximum(new.std(axis=0), 1e-9)
+        moved = np.max(np.abs(np.abs(new) - np.abs(z)))
+        z = new
+        if moved < 1e-4:
+            break
+
+    def fill(block):
+        w, m = loadings(block, z, prior)
+        return np.where(m, block, w[:, :1] + w[:, 1:] @ z.T)
+
+    return _fill(rows, ids, n, fill)
+
+
+def mixed(layer: Layer, seed: int = 1234) -> DataFrame:
+    """Q22: features with low means take MinProb, the others their nearest neighbours.
+
+    The dividing mean is the quantile of the feature means at the layer's missing share, where a
+    left-censored measurement would have been cut off. Features without values count as low.
+    """
+    means = cut(layer.cells.groupBy("feature_id").agg(F.avg("value").alias("m")), "means")
+    share = 1 - layer.cells.count() / max(layer.features.count() * layer.sample_count(), 1)
+    line = exact_quantiles(means, [], "m", [share], ["t"]).first()["t"]
+    high = means.where(F.col("m") > line).select("feature_id")
+    low_part = min_prob(layer, seed=seed).join(high, "feature_id", "left_anti")
+    return low_part.unionByName(nearest(layer).join(high, "feature_id", "left_semi"))
+
+
+METHODS = {"min": row_min, "zero": constant, "MinDet": min_det, "MinProb": min_prob, "man": shifted_normal,
+           "QRILC": censored_normal, "knn": nearest, "MLE": multivariate_normal, "bpca": low_rank, "mixed": mixed}
+_SEEDED = ("MinProb", "man", "QRILC", "mixed")
 
 
 def impute(layer: Layer, method: str, seed: int = 1234) -> DataFrame:

@@ -400,3 +400,5 @@ def _qc_replay(s, d):
 query("q11_replay", f"""WITH {B}, {_FM}, {_SM}, kf AS (SELECT feature_id FROM fm WHERE missing_rate <= 0.5), ks AS (SELECT sample_id FROM sm WHERE missing_rate <= 0.3)
 SELECT ks.sample_id, (SELECT count(*) FROM kf) AS n, round(sum(value), 2) AS total FROM ks LEFT JOIN (SELECT * FROM cells SEMI JOIN kf USING (feature_id)) c ON c.sample_id = ks.sample_id GROUP BY 1""", 2)(_qc_replay)
 query("q24_imputation_curves")(lambda s, d: (lambda y: Q.observed_imputed_curves(y.cells, I.impute(y, "MinProb")))(N.analysis_scale(TT.brands(s, d))))
+for _name, _method in (("q18_impute_qrilc", "QRILC"), ("q19_impute_knn", "knn"), ("q20_impute_mle", "MLE"), ("q21_impute_bpca", "bpca"), ("q22_impute_mixed", "mixed")):
+    query(_name)(lambda s, d, m=_method: I.impute(N.analysis_scale(TT.brands(s, d)), m))
