@@ -40,8 +40,14 @@ def sweep_fit(y: np.ndarray, x: np.ndarray):
     s[:, :k, k] = s[:, k, :k] = yc @ x
     tss = (yc * yc).sum(axis=1)
     s[:, k, k] = tss
+    inv, beta, rss, used = sweep(s, k)
+    return {"inv": inv, "beta": beta, "rss": rss, "tss": tss, "n": n, "used": used, "mean": mean, "xsum": mf @ x}
+
+
+def sweep(s: np.ndarray, k: int):
+    """Sweep the k design columns out of stacked cross products [X y]'[X y]; dependent columns stay out."""
     scale = s[:, np.arange(k), np.arange(k)].copy()
-    used = np.zeros((len(y), k), dtype=bool)
+    used = np.zeros((len(s), k), dtype=bool)
     for j in range(k):
         d = s[:, j, j].copy()
         ok = d > ALIAS_TOL * np.maximum(scale[:, j], 1e-300)
@@ -52,9 +58,53 @@ def sweep_fit(y: np.ndarray, x: np.ndarray):
         s[:, :, j] = col / dd[:, None]
         s[:, j, :] = s[:, :, j]
         s[:, j, j] = np.where(ok, -1.0 / dd, 0.0)
-    inv = -s[:, :k, :k]
-    return {"inv": inv, "beta": s[:, :k, k], "rss": np.maximum(s[:, k, k], 0.0), "tss": tss, "n": n,
-            "used": used, "mean": mean, "xsum": mf @ x}
+    return -s[:, :k, :k], s[:, :k, k], np.maximum(s[:, k, k], 0.0), used
+
+
+def block_correlation(y: np.ndarray, x: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Per row the correlation of residuals within blocks, from two unbiased quadratic forms.
+
+    `same` is 1 for two different samples of one block. With residual maker P the forms r'r and
+    r'Kr have expectations linear in the two variance components.
+    """
+    out = np.full(len(y), np.nan)
+    step = max(1, int(2e7 // (len(x) ** 2)))
+    for lo in range(0, len(y), step):
+        part = y[lo:lo + step]
+        m = (~np.isnan(part)).astype(float)
+        xm = x[None, :, :] * m[:, :, None]
+        inv = np.linalg.pinv(np.einsum("bni,bnj->bij", xm, xm), hermitian=True)
+        p = m[:, :, None] * np.eye(len(x)) - xm @ inv @ xm.transpose(0, 2, 1)
+        r = np.einsum("bij,bj->bi", p, np.where(m > 0, part, 0.0))
+        pk = p @ same
+        q0, q1 = (r * r).sum(axis=1), np.einsum("bi,ij,bj->b", r, same, r)
+        t0, t1, t2 = np.trace(p, axis1=1, axis2=2), np.trace(pk, axis1=1, axis2=2), np.einsum("bij,bji->b", pk, pk)
+        det = t0 * t2 - t1 * t1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            var, cov = (q0 * t2 - q1 * t1) / det, (q1 * t0 - q0 * t1) / det
+            out[lo:lo + step] = np.where((det > 1e-9) & (var > 0), cov / var, np.nan)
+    return out
+
+
+def gls_fit(y: np.ndarray, x: np.ndarray, same: np.ndarray, rho: float):
+    """Generalised least squares with correlation `rho` within blocks; absent samples drop out."""
+    k = x.shape[1]
+    v = np.eye(len(x)) + rho * same
+    parts = []
+    step = max(1, int(2e7 // (len(x) ** 2)))
+    for lo in range(0, len(y), step):
+        part = y[lo:lo + step]
+        m = (~np.isnan(part)).astype(float)
+        vm = v * m[:, :, None] * m[:, None, :] + (1 - m)[:, :, None] * np.eye(len(x))
+        a = np.concatenate([x[None, :, :] * m[:, :, None], np.where(m > 0, part, 0.0)[:, :, None]], axis=2)
+        parts.append(a.transpose(0, 2, 1) @ np.linalg.solve(vm, a))
+    inv, beta, rss, used = sweep(np.concatenate(parts), k)
+    m = ~np.isnan(y)
+    n = m.sum(axis=1).astype(float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(n > 0, np.where(m, y, 0.0).sum(axis=1) / n, 0.0)
+    return {"inv": inv, "beta": beta, "rss": rss, "tss": np.where(m, (y - mean[:, None]) ** 2, 0.0).sum(axis=1), "n": n,
+            "used": used, "mean": mean, "xsum": m.astype(float) @ x}
 
 
 def factor_ok(fit, factors, n_col: int = 0) -> np.ndarray:
@@ -113,17 +163,19 @@ class Model:
     rows: sample indices of the design rows; x: design; contrasts: [(label, weights)];
     joint: matrix whose rows are tested together (F numerator), or None;
     factors: see factor_ok; rank_with: values to correlate by Spearman, or None;
-    adjust: design whose residuals are correlated instead (complete features only), or None.
+    adjust: design whose residuals are correlated instead (complete features only), or None;
+    same, rho: samples of one block (off-diagonal ones) and their correlation, or None.
     """
 
-    def __init__(self, rows, x, contrasts, joint=None, factors=(), rank_with=None, adjust=None):
+    def __init__(self, rows, x, contrasts, joint=None, factors=(), rank_with=None, adjust=None, same=None, rho=0.0):
+        self.same, self.rho = same, rho
         self.rows, self.x, self.contrasts = np.asarray(rows), np.asarray(x, float), contrasts
         self.joint = None if joint is None else np.asarray(joint, float)
         self.factors, self.rank_with, self.adjust = list(factors), rank_with, adjust
 
     def report(self, ids: np.ndarray, block: np.ndarray):
         y = block[:, self.rows]
-        fit = sweep_fit(y, self.x)
+        fit = sweep_fit(y, self.x) if self.same is None else gls_fit(y, self.x, self.same, self.rho)
         rank = fit["used"].sum(axis=1).astype(float)
         ok = factor_ok(fit, self.factors) & (fit["n"] > 0)
         rho = np.full(len(y), np.nan)

@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.functions.ordering import adjust_p
+from assaygrid.functions.ordering import adjust_p, exact_quantiles
 from assaygrid.functions.scalar import contrast_label
 from assaygrid.functions.tails import digamma, f_upper, t_two_sided, trigamma, trigamma_inverse
 from assaygrid.model import Layer
-from assaygrid.operators.diff.kernel import Model, fit_features
+from assaygrid.operators.diff.kernel import Model, block_correlation, feature_rows, fit_features
 from assaygrid.operators.diff.results import pad_untested, standard
-from assaygrid.operators.gram import sample_index
+from assaygrid.operators.gram import _dense, sample_index
 from assaygrid.session import cut
 
 
@@ -207,6 +207,45 @@ def run_moderated(layer: Layer, contrasts: list[tuple[str, dict]], group_col=Non
     return standard(adjust_p(out, ["comparison"], method=adjust, few=True), layer, "limma", "group", "log2FC", "t", "group")
 
 
+def consensus_correlation(layer: Layer, index: DataFrame, n_samples: int, model: Model, same: np.ndarray) -> float:
+    """Back-transformed mean of the features' atanh block correlations, 15 % trimmed on either side."""
+    use, x = model.rows, model.x
+
+    def kernel(batches):
+        for b in batches:
+            rho = block_correlation(_dense(b, "k", "v", n_samples)[:, use], x, same)
+            yield pd.DataFrame({"z": np.arctanh(np.clip(rho[~np.isnan(rho)], -0.99, 0.99))})
+
+    z = cut(feature_rows(layer.cells, index).mapInPandas(kernel, "z double"), "block-correlations")
+    ends = exact_quantiles(z, [], "z", [0.15, 0.85], ["lo", "hi"]).first()
+    if ends is None:
+        return 0.0
+    mid = z.where(F.col("z").between(ends["lo"], ends["hi"])).agg(F.avg("z")).first()[0]
+    return float(np.tanh(mid)) if mid is not None else 0.0
+
+
+def run_moderated_random_block(layer: Layer, contrasts: list[tuple[str, dict]], block: str, group_col=None, covariates=None,
+                               adjust="BH") -> DataFrame:
+    """Blocks as a random effect with one consensus correlation, for designs a fixed block would absorb."""
+    group_col = group_col or layer.group_col
+    levels = []
+    for _, w in contrasts:
+        levels += [lv for lv in w if lv not in levels]
+    meta, index = sample_frame(layer)
+    model = _group_design(meta, group_col, levels, covariates, None, [(lab, [w.get(lv, 0.0) for lv in levels]) for lab, w in contrasts])
+    b = meta[block].astype(str).to_numpy()[model.rows]
+    same = ((b[:, None] == b[None, :]) & ~np.eye(len(b), dtype=bool)).astype(float)
+    rho = consensus_correlation(layer, index, len(meta), model, same)
+    size = max(same.sum(axis=1).max(), 1.0)
+    model.same, model.rho = same, float(np.clip(rho, -1 / size + 1e-3, 0.999))
+    m = moderate(cut(fit_features(layer, index, len(meta), [model]), "fits"), contrasts[0][0])
+    t = F.col("est") / F.nullif(F.col("unscaled") * F.sqrt("s2_post"), F.lit(0.0))
+    m = m.withColumns({"statistic": t, "signed_stat": t})
+    m = m.withColumn("p_value", t_two_sided(F.col("statistic"), F.col("df_total")))
+    out = pad_untested(layer, m.withColumnsRenamed({"est": "effect", "mean": "base_mean"}).drop("model_fit"), [c for c, _ in contrasts])
+    return standard(adjust_p(out, ["comparison"], method=adjust, few=True), layer, "limma", "group", "log2FC", "t", "group")
+
+
 def run_moderated_continuous(layer: Layer, column: str, covariates=None, adjust="BH") -> DataFrame:
     """D8."""
     meta, index = sample_frame(layer)

@@ -216,3 +216,4 @@ query("d13_nb_continuous")(lambda s, d: counts.run_nb_continuous(TT.brands(s, d,
 query("d14_nb_anova")(lambda s, d: counts.run_nb_anova(TT.brands(s, d, "l_quantity"), _GROUPS).select(*_STD))
 query("d16_ql_group")(lambda s, d: counts.run_ql(TT.counts(s, d), _CT).select(*_STD))
 query("d17_ql_anova")(lambda s, d: counts.run_ql_anova(TT.brands(s, d, "l_quantity"), _GROUPS).select(*_STD))
+query("d11_random_block")(lambda s, d: linear.run_moderated_random_block(N.analysis_scale(TT.flagged(s, d)), [("R_vs_A", {"R": 1, "A": -1})], "donor").select(*_STD))

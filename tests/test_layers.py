@@ -184,3 +184,17 @@ def test_median_centering(layer):
     got = N.median_center(y).cells.toPandas().pivot(index="feature_id", columns="sample_id", values="value")
     med = got.median()
     assert np.allclose(med, med.iloc[0])
+
+
+def test_random_block_recovers_correlation():
+    rng = np.random.default_rng(8)
+    blocks = np.repeat(np.arange(10), 3)
+    same = ((blocks[:, None] == blocks) & ~np.eye(30, dtype=bool)).astype(float)
+    x = np.column_stack([np.tile([1.0, 0, 0], 10), np.tile([0, 1.0, 1.0], 10)])
+    y = rng.normal(size=(400, 30)) * np.sqrt(0.6) + rng.normal(size=(400, 10))[:, blocks] * np.sqrt(0.4)
+    y[rng.random(y.shape) < 0.1] = np.nan
+    assert np.nanmean(kernel.block_correlation(y, x, same)) == pytest.approx(0.4, abs=0.05)
+    a, b = kernel.gls_fit(y, x, same, 0.0), kernel.sweep_fit(y, x)
+    c = np.array([1.0, -1.0])
+    assert np.allclose(a["beta"] @ c, b["beta"] @ c)
+    assert np.allclose(a["rss"], b["rss"])
