@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.functions.ordering import adjust_p, exact_quantiles
+from assaygrid.functions.ordering import adjust_p, exact_quantiles, spread_quantiles
 from assaygrid.functions.tails import chisq_upper, f_upper, log_gamma, normal_two_sided, trigamma
 from assaygrid.model import Layer
 from assaygrid.operators.cells import expressed_features, keep_features
@@ -197,10 +197,9 @@ def _wald(rows: DataFrame, disp: DataFrame, n: int, model, log_s, shrink, reduce
 
 def independent_filter(stats: DataFrame, alpha: float = 0.1, points: int = 20) -> DataFrame:
     """NULL adjusted p below the mean-count cutoff that gives most rejections; one family per cutoff."""
-    thetas = [i / points * 0.95 for i in range(points)]
-    names = [f"q{i}" for i in range(points)]
-    cuts = exact_quantiles(stats, ["comparison"], "base_mean", thetas, names, few=True)
-    j = stats.join(F.broadcast(cuts.select("comparison", F.array(*names).alias("cuts"))), "comparison")
+    grid = spread_quantiles(stats, ["comparison"], "base_mean", points + 1, few=True).where(F.col("i") < points)
+    cuts = grid.groupBy("comparison").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
+    j = stats.join(F.broadcast(cuts), "comparison")
     j = cut(j.withColumn("last", F.size(F.filter("cuts", lambda c: c <= F.col("base_mean")))), "filtering")
     tries = j.where("last > 0 and p_value is not null").select(
         "comparison", "feature_id", "p_value", F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("theta"))
