@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaygrid.llm import chat, exact_dedup, mixing, packing, topk
+from assaygrid.llm import chat, exact_dedup, html_main, mixing, ngram_join, packing, quality, topk, toxicity, warc
 from assaygrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -21,6 +21,20 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_ngram_jaccard", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def op1(spark, sf):
+    return ngram_join.jaccard_components(table(spark, sf, "documents"), words=3, num=9, den=10)
+
+
 @query("op2_exact_dedup", f"""
 WITH d AS (SELECT doc_id, {LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size, sha256(norm) AS text_sha256 FROM d GROUP BY norm)
@@ -48,6 +62,31 @@ def op3(spark, sf):
     return mixing.mixed(table(spark, sf, "documents"))
 
 
+@query("op4_warc_revisits", r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, ('0x' || substr(md5(coalesce(url, '')), 1, 2))::INT % 10 AS n,
+  regexp_replace(trim(url), '#.*$', '') AS rest FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?@]*@)?([^/?]*)', 1)), ':(?:80|443)?$', ''), '^www[0-9]*\.', '') AS host,
+  regexp_replace(regexp_extract(rest, '^(?:[^/?]*)//[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT
+    regexp_matches(lower(x), '^(?:utm_[a-z_]*|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(?:=|$)'))) AS q FROM p),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key,
+  to_timestamp(1700000000 + page_id * 600) AS t_full, to_timestamp(1700000000 + (page_id + CASE WHEN n = 3 THEN -100000000 ELSE length(url) END) * 600) AS t_visit FROM h),
+j AS (SELECT v.page_id, arg_max(f.page_id, (f.t_full, f.page_id)) AS rid FROM k v JOIN k f ON v.url_key = f.url_key AND f.t_full < v.t_visit GROUP BY 1),
+s AS (SELECT v.*, rid, f.html AS body, CASE WHEN v.url_key IS NULL OR v.t_visit IS NULL THEN 'no_key' WHEN rid IS NULL THEN 'no_response'
+  WHEN v.n = 0 THEN CASE WHEN v.page_id % 1000 = rid % 1000 THEN 'resolved' ELSE 'mismatch' END
+  WHEN v.n = 1 OR v.html <> f.html THEN 'mismatch' ELSE 'resolved' END AS state
+  FROM k v LEFT JOIN j ON v.page_id = j.page_id LEFT JOIN k f ON f.page_id = rid)
+SELECT page_id * 2 + 1 AS record_id, url_key, rid * 2 AS response_id, state, CASE WHEN state = 'resolved' THEN 200 END AS status,
+  CASE WHEN state = 'resolved' THEN 'cache-control: max-age=90' || chr(10) || 'content-length: ' || length(body) || chr(10) || 'content-type: text/html; charset=utf-8'
+    || chr(10) || 'etag: ' || CASE WHEN n = 2 THEN 'W/' ELSE '' END || '"' || md5(body) || '"' || chr(10) || 'last-modified: day ' || page_id % 1000
+    || chr(10) || 'set-cookie: a=1, b=2' END AS header_lines,
+  CASE WHEN state = 'resolved' THEN sha256(body) END AS body_sha256, CASE WHEN state = 'resolved' THEN length(body) END AS body_length FROM s""")
+def op4(spark, sf):
+    found = warc.resolve_revisits(warc.captures(table(spark, sf, "pages")), with_body=False)
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", "url_key", "response_id", "state", "status", lines.alias("header_lines"), "body_sha256", "body_length")
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -83,6 +122,16 @@ def op6(spark, sf):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op7_quality_qda")
+def op7(spark, sf):
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_toxicity_lexicon")
+def op8(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op9_exact_topk", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -91,3 +140,8 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def op9(spark, sf):
     return topk.search_table(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_main_text")
+def op10(spark, sf):
+    return html_main.main_text(table(spark, sf, "pages"))
