@@ -13,32 +13,58 @@ class Tokenizer:
     """Ids of whole texts, as bytes of little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its
-    blank-separated words; frequent words are remembered, up to `remember` of them.
+    blank-separated words; frequent words are remembered, up to `remember` of them. New words meet the
+    library once each: it lower-cases, composes and splits letters from signs, so words that differ
+    in case only, or by one comma or full stop at the end, share their letters' ids.
     """
 
     def __init__(self, path: str, end: int, remember: int = 500_000):
+        import re
+
         from tokenizers import Tokenizer as Library
 
-        self.library, self.known, self.remember = Library.from_file(path), {}, remember
+        self.library, self.bare, self.known, self.remember = Library.from_file(path), Library.from_file(path), {}, remember
+        # Latin-1 is composed, and lower-cases alike here and there; control strings hold signs that are left out.
+        self.bare.normalizer = None
+        self.simple = re.compile(r"[a-z]+").fullmatch
+        self.latin = re.compile(r"[^<|\u0100-\U0010ffff]+").fullmatch
         self.end = end.to_bytes(4, "little")
+        self.marks = {c: self.whole([c])[0] for c in ",."}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def whole(self, words: list[str], library=None) -> list[bytes]:
         import numpy as np
 
+        done = (library or self.library).encode_batch_fast(words, add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in done]
+
+    def fresh(self, words) -> dict:
+        """Ids of each of some new words."""
+        from array import array
+
+        parts, simple, latin, other = {}, set(), set(), []
+        for w in words:
+            if not self.latin(w):
+                other.append(w)
+                continue
+            core, mark = w.lower(), b""
+            if core[-1] in ",." and core[-2:-1].isalpha():
+                core, mark = core[:-1], self.marks[core[-1]]
+            parts[w] = core, mark
+            (simple if self.simple(core) else latin).add(core)
+        model = self.library.model
+        ids = {c: array("I", [t.id for t in model.tokenize(c)]).tobytes() for c in simple}
+        for these, library in ((list(latin), self.bare), (other, self.library)):
+            for i in range(0, len(these), 4096):
+                ids.update(zip(these[i:i + 4096], self.whole(these[i:i + 4096], library)))
+        return {w: ids[core] + mark for w, (core, mark) in parts.items()} | {w: ids[w] for w in other}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        fresh = {}
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        fresh = self.fresh(set().union(*words) - known.keys())
         if len(known) + len(fresh) <= self.remember:
             known.update(fresh)
             return [b"".join([known[w] for w in ws]) + self.end for ws in words]
-        both = known | fresh if len(fresh) > len(known) else None
-        if both is not None:
-            return [b"".join([both[w] for w in ws]) + self.end for ws in words]
         return [b"".join([known[w] if w in known else fresh[w] for w in ws]) + self.end for ws in words]
 
 
