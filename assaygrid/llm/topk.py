@@ -76,78 +76,61 @@ class Block:
         self.np, self.width = np, row["width"]
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         n = len(self.ids)
-        self.codes = np.frombuffer(row["codes"], dtype=np.int32).reshape(n, self.width)
-        self.order = np.frombuffer(row["postings"], dtype=np.uint16).reshape(self.width, n)
-        self.bounds = np.frombuffer(row["bounds"], dtype=np.int32).reshape(self.width, LEVELS + 1)
-        self.edges = np.frombuffer(row["edges"], dtype=np.int64).reshape(self.width, LEVELS + 1)
-
-    def top(self, q, own: int, k: int):
+        self.codes = np.frombuffer(row["codes"], dtype=np.int32).reshape(n, self.width).astype(np.int64)
+        self.postings = np.frombuffer(row["postings"], dtype=np.uint16).astype(np.int64)
+        bounds = np.frombuffer(row["bounds"], dtype=np.int32).reshape(self.width, LEVELS + 1)
+        self.counts = np.diff(bounds, axis=1)
+        edges = np.frombuffer(row["edges"], dtype=np.int64).reshape(self.width, LEVELS + 1)
+        self.low, self.high = edges[:, 0], edges[:, -1] - 1
+        self.left, self.right = edges[:, :-1], np.minimum(np.maximum(edges[:, 1:] - 1, edges[:, :-1]), self.high[:, None])
+
+    def top(self, q, own: int, k: int, known=None):
         """Exact top k of the block for query q: (scores, ids), best first, ties to the smaller id.
 
         A component's gain is what it adds above the least that any row of the block gets from its
-        dimension. A segment's impact is the least gain of its rows. Segments are taken by falling
-        impact; after each round every row lies between its sum `acc` and `acc` plus the largest
-        gains still open. Once the rows that can still reach the k-th best lower bound are few, or
-        all segments are done, those rows alone are scored exactly: no other row can be a member.
+        dimension. A segment's impact is the least gain of its rows, and segments are taken by falling
+        impact, in four rounds. A row's sum of impacts so far is a lower bound of its gains; the sum over
+        dimensions of the larger of a segment's spread and the best gain still open bounds what
+        it may miss. A row that cannot reach the k-th best lower bound, nor `known`, the k-th best score
+        that the caller already has, is no member. Rounds end early only when that leaves few rows;
+        those are scored exactly.
         """
         np = self.np
         n = len(self.ids)
         if not n:
             return np.zeros(0, np.int64), self.ids
         q = np.concatenate([q[:self.width], np.zeros(max(0, self.width - len(q)), np.int64)])
-        up = q > 0
-        live = np.flatnonzero(q)
-        size = np.abs(q)
-        low, high = self.edges[:, 0], self.edges[:, -1] - 1
-        # Gain of a segment's worst and best row, by dimension and segment.
-        left, right = self.edges[:, :-1], np.maximum(self.edges[:, 1:] - 1, self.edges[:, :-1])
-        least = size[:, None] * np.where(up[:, None], left - low[:, None], high[:, None] - np.minimum(right, high[:, None]))
-        best = size[:, None] * np.where(up[:, None], np.minimum(right, high[:, None]) - low[:, None], high[:, None] - left)
-        acc = np.zeros(n, np.int64)
-        slack = np.zeros(n, np.int64)
-        # Segments still open per dimension: below `stop` upwards queries, from `stop` downwards ones.
-        stop = np.where(up, LEVELS, 0)
-        open_gain = best[np.arange(self.width), np.where(up, LEVELS - 1, 0)] * (size > 0)
-        unknown = np.full(n, open_gain.sum(), np.int64)
-        top_impact = int(least[live].max()) if len(live) else 0
-        keep = np.arange(n)
-        for part in (0.6, 0.45, 0.3, 0.15, 0.0):
-            limit = top_impact * part
-            for d in live:
-                wanted = least[d] >= limit
-                if up[d]:
-                    first = int(np.argmax(wanted)) if wanted.any() else LEVELS
-                    first = min(first, stop[d])
-                    a, b, segments = self.bounds[d, first], self.bounds[d, stop[d]], range(first, stop[d])
-                    stop[d] = first
-                    rest = best[d, first - 1] if first else 0
-                else:
-                    last = LEVELS - int(np.argmax(wanted[::-1])) if wanted.any() else 0
-                    last = max(last, stop[d])
-                    a, b, segments = self.bounds[d, stop[d]], self.bounds[d, last], range(stop[d], last)
-                    stop[d] = last
-                    rest = best[d, last] if last < LEVELS else 0
-                if b > a:
-                    rows = self.order[d, a:b]
-                    counts = self.bounds[d, segments.start + 1:segments.stop + 1] - self.bounds[d, segments.start:segments.stop]
-                    gain = np.repeat(least[d, segments.start:segments.stop], counts)
-                    acc[rows] += gain
-                    slack[rows] += np.repeat(best[d, segments.start:segments.stop], counts) - gain
-                    unknown[rows] -= open_gain[d]
-                # Rows not met yet in this dimension now miss less.
-                unmet = self.order[d, :a] if up[d] else self.order[d, b:]
-                if open_gain[d] != rest and len(unmet):
-                    unknown[unmet] += rest - open_gain[d]
-                open_gain[d] = rest
-            ceiling = acc + slack + unknown
-            others = acc[self.ids != own]
+        up, size = (q > 0)[:, None], np.abs(q)[:, None]
+        impact = size * np.where(up, self.left - self.low[:, None], self.high[:, None] - self.right)
+        best = size * np.where(up, self.right - self.low[:, None], self.high[:, None] - self.left)
+        spread = (best - impact).max(axis=1, initial=0)
+        floor = None if known is None else known - int((q * np.where(up[:, 0], self.low, self.high)).sum())
+        live = np.broadcast_to(size > 0, impact.shape)
+        done = np.zeros(impact.shape, dtype=bool)
+        rank = np.argsort(-impact, axis=None, kind="stable")
+        filled = np.cumsum(self.counts.ravel()[rank])
+        mine = self.ids == own
+        acc, keep = np.zeros(n), np.arange(n)
+        for part in (0.6, 0.8, 0.92, 1.0):
+            limit = impact.ravel()[rank[min(np.searchsorted(filled, part * filled[-1]), len(rank) - 1)]] if len(rank) and part < 1 else 0
+            now = (impact >= limit) & ~done & live
+            done |= now
+            counts = self.counts[now]
+            if counts.sum():
+                rows = self.postings[np.repeat(now.ravel(), self.counts.ravel())]
+                # Sums of whole numbers in doubles; `slack` makes up for rounding beyond 2**53.
+                acc += np.bincount(rows, weights=np.repeat(impact[now], counts), minlength=n)
+            rest = np.where(done, 0, best).max(axis=1, initial=0)
+            slack = float(np.maximum(spread, rest).sum()) * (1 + 1e-9) + 1
+            others = acc[~mine]
+            reach = -np.inf if floor is None else floor
             if len(others) > k:
-                floor = np.partition(others, len(others) - k)[len(others) - k]
-                keep = np.flatnonzero(ceiling >= floor)
-            if len(keep) <= max(4 * k, n // 16):
+                reach = max(reach, np.partition(others, len(others) - k)[len(others) - k])
+            keep = np.flatnonzero(acc + slack >= reach * (1 - 1e-9) - 1)
+            if len(keep) <= n // 16:
                 break
-        keep = keep[self.ids[keep] != own]
-        score = self.codes[keep].astype(np.int64) @ q
+        keep = keep[~mine[keep]]
+        score = self.codes[keep] @ q
         pick = np.lexsort((self.ids[keep], -score))[:k]
         return score[pick], self.ids[keep[pick]]
 
@@ -198,7 +181,8 @@ def _search(sent, k):
             for row in batch.to_pylist():
                 block = Block(row)
                 for i, (o, q) in enumerate(zip(own, vectors)):
-                    score, ids = block.top(q.astype(np.int64), o, k)
+                    have = int(best[i][0][-1]) if i in best and len(best[i][0]) == k else None
+                    score, ids = block.top(q.astype(np.int64), o, k, have)
                     if i in best:
                         score, ids = np.concatenate([best[i][0], score]), np.concatenate([best[i][1], ids])
                         pick = np.lexsort((ids, -score))[:k]
