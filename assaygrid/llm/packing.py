@@ -61,7 +61,7 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        fresh = self.fresh(set().union(*words) - known.keys())
+        fresh = self.fresh(w for w in set().union(*words) if w not in known)
         if len(known) + len(fresh) <= self.remember:
             known.update(fresh)
             return [b"".join([known[w] for w in ws]) + self.end for ws in words]

@@ -17,6 +17,8 @@ ADDRESS = frozenset("you your you're youre u ur yourself".split())
 QUOTED, ADDRESSED, WINDOW = 0.3, 1.3, 6
 LEET = str.maketrans("013457@$!", "oieastasi")
 STEMS = range(4, 9)
+# Log likelihood ratios that a word's place in the lexicon takes.
+STRONG, WEAK = 14.0, 6.0
 
 
 def plain(token: str) -> str:
@@ -29,7 +31,7 @@ def plain(token: str) -> str:
 
 
 class Lexicon:
-    """Terms and stems with weights; finds terms within one edit (two from nine letters on, none below five).
+    """Terms and stems with weights; finds terms within one edit (two from ten letters on, none below five).
 
     The Levenshtein automata of all terms run at once over their trie: a state is the set of (trie
     node, edits) that the letters read so far can reach. States are made when first met and
@@ -62,7 +64,7 @@ class Lexicon:
 
     @staticmethod
     def edits(term: str) -> int:
-        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
     def forget(self):
         self.steps, self.sets, self.numbers = [{}], [{}], {}
@@ -142,8 +144,9 @@ def hits(lexicon: Lexicon, known: dict, texts: list):
     """
     for text in texts:
         tokens = (text or "").lower().split()
-        for t in set(tokens) - known.keys():
-            known[t] = lexicon.look(t)
+        for t in set(tokens):
+            if t not in known:
+                known[t] = lexicon.look(t)
         found = []
         for i, t in enumerate(tokens):
             hit = known[t]
@@ -208,10 +211,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
           per_class: int = 10_000, most_terms: int = 5_000, id_col: str = "doc_id", text_col: str = "text"):
     """(lexicon, weights, bias, sizes) from a sample of about `per_class` labelled documents of each class.
 
-    A word enters when toxic documents hold it far more often than chance allows (a likelihood ratio
-    over all words) and at least eight times as often as others; a word beginning enters when it
-    does and stands for more than its commonest word. A term whose misspellings meet clean
-    documents is matched exactly only. The evidence of exact and of misspelt hits is then weighed by a
+    A word enters when toxic documents hold it at least eight times as often as others and its log
+    likelihood ratio against chance is STRONG, or is WEAK and a STRONG beginning of it is known; a
+    strong beginning enters itself when it stands for more than its commonest word. Only strong
+    words may be misspelt, and only those whose misspellings are as telling in the sample. The evidence of exact and of misspelt hits is then weighed by a
     ridge logistic regression whose rows count as their classes do in the labels. The bounds
     `per_class` and `most_terms` limit what the driver reads: term counts and two numbers a document.
     """
@@ -228,18 +231,23 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     term = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
     surprise = term(bad, p) + term(other, 1 - p)
     picked = _counts(sample).where(bad >= 3).select("kind", "term", "bad", ratio.alias("ratio"), surprise.alias("surprise")).where(
-        (F.col("ratio") >= np.log(8.0)) & (F.col("surprise") >= 12.0))
+        ((F.col("ratio") >= np.log(8.0)) | (F.col("kind") == 1) & (F.col("ratio") > 0)) & (F.col("surprise") >= WEAK))
     rows = picked.orderBy(F.desc("surprise"), "kind", "term").limit(2 * most_terms).collect()
-    terms = {r["term"]: min(6.0, r["ratio"]) for r in rows if r["kind"] == 0}
-    word = {r["term"]: r["bad"] for r in rows if r["kind"] == 0}
-    begins = {r["term"]: r for r in rows if r["kind"] == 1}
-    stems = {}
+    begins = {r["term"]: r for r in rows if r["kind"] == 1 and r["surprise"] >= STRONG}
+    words = {r["term"]: r for r in rows if r["kind"] == 0}
+    terms = {w: min(6.0, r["ratio"]) for w, r in words.items()
+             if r["surprise"] >= STRONG or any(w[:n] in begins for n in STEMS if n < len(w))}
+    commonest: dict = {}
+    for w, r in words.items():
+        for n in STEMS:
+            commonest[w[:n]] = max(commonest.get(w[:n], 0), r["bad"])
+    longest: dict = {}
     for s, r in begins.items():
-        longer = [b for b in begins if len(b) == len(s) + 1 and b.startswith(s)]
-        commonest = max((c for w, c in word.items() if w.startswith(s)), default=0)
-        if r["bad"] > 1.3 * commonest and not any(begins[b]["bad"] >= 0.9 * r["bad"] for b in longer):
-            stems[s] = min(6.0, r["ratio"])
-    first = Lexicon(terms, stems)
+        longest[s[:-1]] = max(longest.get(s[:-1], 0), r["bad"])
+    stems = {s: min(6.0, r["ratio"]) for s, r in begins.items() if r["ratio"] >= np.log(8.0)
+             and r["bad"] > 1.3 * commonest.get(s, 0) and longest.get(s, 0) < 0.9 * r["bad"]}
+    weak = frozenset(w for w in terms if words[w]["surprise"] < STRONG)
+    first = Lexicon(terms, stems, weak)
 
     def run(batches):
         import pyarrow as pa
@@ -257,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     for r in seen:
         for t in set(r["near"]):
             met.setdefault(t, [0, 0])[r["toxic"]] += 1
-    loose = frozenset(t for t, (clean, toxic) in met.items() if clean * n1 * 4 > toxic * n0)
+    loose = weak | {t for t, (clean, toxic) in met.items() if (clean + 0.5) / n0 * 8 > (toxic + 0.5) / n1}
     x = np.array([[np.log1p(r["exact"]), np.log1p(sum(s for t, s in zip(r["near"], r["strength"]) if t not in loose))] for r in seen])
     y = np.array([r["toxic"] for r in seen], dtype=np.float64)
     share = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
