@@ -376,3 +376,10 @@ def jaccard_components(
     out = seen.join(labels, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def keep_one_of_group(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those linked to a smaller id, all columns unchanged. Rows with a null id stay, repeated ids together."""
+    found = jaccard_components(docs, words, num, den, id_col, text_col)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), column(docs, id_col) == F.col("__gone"), "left_anti")

@@ -12,10 +12,15 @@ from assaygrid.session import cut
 
 NAMES = ("words", "word_length", "distinct", "repeats", "longest_run", "top_word", "upper", "digits", "bars", "shouts",
          "symbols", "stops", "commas", "line_length", "repeated_lines")
+LIKE = 20
 
 
 def statistics(texts: list) -> list[list[float]]:
-    """Transformed statistics of whole texts: logs of sizes, square roots of shares. Null counts as empty."""
+    """Transformed statistics of whole texts: logs of sizes, square roots of shares. Null counts as empty.
+
+    A share is taken as if LIKE further words (or lines, or letters) of ordinary prose stood in the
+    text, so that a few words are not judged by chance counts.
+    """
     import math
     from collections import Counter
 
@@ -29,7 +34,7 @@ def statistics(texts: list) -> list[list[float]]:
         n = len(words)
         lines = [x for x in text.split("\n") if x.strip()]
         byte = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
-        share = lambda x, of: math.sqrt(x / of) if of else 0.0
+        share = lambda x, of, usual=0.0, like=LIKE: math.sqrt((x + like * usual) / (of + like))
         counts = Counter(words)
         run = longest = repeats = 0
         last = None
@@ -44,10 +49,11 @@ def statistics(texts: list) -> list[list[float]]:
         upper, lower = int(byte[65:91].sum()), int(byte[97:123].sum())
         chars = max(1, len(text))
         out.append([
-            math.log1p(n), math.log1p(len(text) / n) if n else 0.0, share(len(counts), n), share(repeats, n), math.log1p(longest),
-            share(max(counts.values(), default=0), n), share(upper, upper + lower), share(int(byte[48:58].sum()), chars),
-            share(int(byte[124]), n), share(int(byte[33]), n), share(int(byte[symbols].sum()), n), share(int(byte[46]), n),
-            share(int(byte[44]), n), math.log1p(chars / max(1, len(lines))), share(len(lines) - len(set(lines)), len(lines)),
+            math.log1p(n), math.log1p((len(text) + 6 * LIKE) / (n + LIKE)), share(len(counts), n, 0.8), share(repeats, n), math.log1p(longest),
+            share(max(counts.values(), default=0), n, 0.06), share(upper, upper + lower, 0.03, 5 * LIKE),
+            share(int(byte[48:58].sum()), chars, 0.0, 5 * LIKE), share(int(byte[124]), n), share(int(byte[33]), n), share(int(byte[symbols].sum()), n),
+            share(int(byte[46]), n, 0.1), share(int(byte[44]), n, 0.04), math.log1p((chars + 5 * LIKE) / (len(lines) + 1)),
+            share(len(lines) - len(set(lines)), len(lines), 0.0, 5),
         ])
     return out
 
