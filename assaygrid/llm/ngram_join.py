@@ -274,7 +274,7 @@ def linked(sets, halves, num: int, den: int):
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     root = np.arange(n)
     out = []
-    for i in range(n - 1):
+    for i in range(n):
         if halves is not None and halves[i]:
             continue
         p = place[bounds[i]:bounds[i + 1]]
