@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.functions.ordering import cumulative, exact_quantiles
+from assaygrid.functions.ordering import exact_quantiles
 from assaygrid.functions.scalar import hashed_normal, hashed_uniform
 from assaygrid.model import Layer
 from assaygrid.operators.cells import absent_cells
@@ -90,8 +90,8 @@ def censored_normal(layer: Layer, seed: int = 1234, tune: float = 1.0) -> DataFr
         "feature_id", "sample_id", F.coalesce(F.col("m") + F.col("s") * tune * F.col("q"), F.lit(0.0)).alias("value"))
 
 
-# Features compared with each other at a time when neighbours are sought.
-NEIGHBOUR_BLOCK = 1500
+# Candidates compared with a block of targets at a time; the result does not depend on it.
+NEIGHBOUR_TILE = 1024
 
 
 def _fill(rows: DataFrame, ids: list[str], n: int, fill) -> DataFrame:
@@ -120,48 +120,99 @@ def _all_rows(layer: Layer, index: DataFrame) -> DataFrame:
 def nearest(layer: Layer, k: int = 10) -> DataFrame:
     """Q19: mean of the k nearest features with a value in the sample.
 
-    Up to NEIGHBOUR_BLOCK features all are candidates; a longer feature axis is cut into blocks of
-    that many features with similar means, so no task compares more. Features with more than half
-    of their values missing, and cells without a neighbour, take the sample's mean.
+    The distance is the mean squared difference over samples seen in both; equal distances go by
+    feature id. Features with more than half of their values missing, features without any, and
+    cells whose neighbours have no value take the sample's mean. Every feature with values is
+    compared with every target: targets are dealt into blocks, candidates stream past each block
+    in tiles, and only k rows per target are kept.
     """
     ids, index = sample_index(layer)
     n = len(ids)
-    means = layer.cells.groupBy("feature_id").agg(F.avg("value").alias("m"))
-    spot = cumulative(means, [], "m").select("m", F.floor(F.col("below") / NEIGHBOUR_BLOCK).cast("long").alias("block"), "ties")
-    # Equal means beyond one block's worth are spread over several blocks by id.
-    spread = F.pmod(F.xxhash64("feature_id"), F.ceil(F.col("ties") / NEIGHBOUR_BLOCK))
-    placed = means.join(spot, "m").select("feature_id", "block", spread.alias("part"))
-    rows = _all_rows(layer, index).join(placed, "feature_id", "left").fillna(0, ["block", "part"])
-    col = {r.sample_id: r.m for r in layer.cells.groupBy("sample_id").agg(F.avg("value").alias("m")).collect()}
-    center = np.array([col.get(i, 0.0) for i in ids])
-    names = np.array(ids)
-
-    def block_fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _dense(pdf, "k", "v", n)
-        seen = ~np.isnan(a)
-        x, m = np.where(seen, a, 0.0), seen.astype(float)
-        both = m @ m.T
-        d = (x * x) @ m.T + m @ (x * x).T - 2 * x @ x.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.where(both > 0, np.maximum(d, 0) / both, np.inf)
-        np.fill_diagonal(d, np.inf)
-        out = a.copy()
-        good = seen.mean(axis=1) >= 0.5
-        for i in np.flatnonzero(~seen.all(axis=1)):
+    rows = cut(feature_rows(layer.cells, index), "neighbour-rows")
+    is_target = (F.size("k") * 2 >= n) & (F.size("k") < n)
+    targets = rows.where(is_target)
+    column_means = layer.cells.groupBy("sample_id").agg(F.avg("value").alias("value"))
+    plain = absent_cells(layer).join(targets.select("feature_id"), "feature_id", "left_anti").join(
+        layer.per_sample(column_means), "sample_id", "left").select("feature_id", "sample_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    n_targets = targets.count()
+    if not n_targets:
+        return plain
+    center = {r.sample_id: r.value for r in column_means.collect()}
+    center = np.array([center.get(i, 0.0) for i in ids])
+    wide = layer.cells.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_targets // max(64, min(512, n_targets // (2 * wide)))))
+    home = F.pmod(F.xxhash64("feature_id"), F.lit(blocks))
+    dealt = targets.select(home.alias("t"), F.lit(0).alias("kind"), "feature_id", "k", "v").unionByName(
+        rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("t"), F.lit(1).alias("kind"), "feature_id", "k", "v"))
+    kernel = _neighbour_kernel(np.array(ids), center, k, NEIGHBOUR_TILE)
+    near = dealt.repartition("t").sortWithinPartitions("t", "kind", "feature_id").mapInPandas(
+        kernel, "feature_id string, sample_id string, value double")
+    return plain.unionByName(near)
+
+
+def _neighbour_kernel(names, center, k, tile):
+    n = len(names)
+
+    def finish(own, x, seen, best):
+        at, where, value = [], [], []
+        for i, name in enumerate(own):
             gaps = np.flatnonzero(~seen[i])
-            fill = center[gaps].copy()
-            if good[i]:
-                order = np.argsort(d[i], kind="stable")[:k]
-                order = order[np.isfinite(d[i][order])]
-                have = seen[np.ix_(order, gaps)]
-                cnt = have.sum(axis=0)
-                tot = np.where(have, x[np.ix_(order, gaps)], 0.0).sum(axis=0)
-                fill = np.where(cnt > 0, tot / np.maximum(cnt, 1), fill)
-            out[i, gaps] = fill
-        i, j = np.nonzero(~seen)
-        return pd.DataFrame({"feature_id": pdf["feature_id"].to_numpy()[i], "sample_id": names[j], "value": out[i, j]})
-
-    return rows.groupBy("block", "part").applyInPandas(block_fill, "feature_id string, sample_id string, value double")
+            have = np.array([b[2][gaps] for b in best[i]]).reshape(len(best[i]), len(gaps))
+            count = (~np.isnan(have)).sum(axis=0)
+            fill = np.where(count > 0, np.nansum(have, axis=0) / np.maximum(count, 1), center[gaps])
+            at += [name] * len(gaps)
+            where.append(names[gaps])
+            value.append(fill)
+        return pd.DataFrame({"feature_id": at, "sample_id": np.concatenate(where), "value": np.concatenate(value)})
+
+    def meet(own, x, seen, best, some):
+        """Offer a tile of candidates to every target of the block."""
+        raw = _dense(some, "k", "v", n)
+        other = ~np.isnan(raw)
+        y, m, mo = np.where(other, raw, 0.0), seen.astype(float), other.astype(float)
+        both = m @ mo.T
+        rough = (x * x) @ mo.T + m @ (y * y).T - 2 * x @ y.T
+        # Products round differently from tile to tile: they only choose whom to compare term by term.
+        slack = 1e-9 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] + 1)
+        labels = some["feature_id"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            floor = np.where(both > 0, (rough - slack) / both, np.inf)
+            roof = np.where(both > 0, (rough + slack) / both, np.inf)
+        for i, name in enumerate(own):
+            line = best[i][-1][0] if len(best[i]) == k else np.inf
+            if len(labels) > k:
+                line = min(line, np.partition(roof[i], k)[k])
+            close = [j for j in np.flatnonzero((floor[i] <= line) & (both[i] > 0)) if labels[j] != name]
+            if close:
+                gap = np.where(seen[i] & other[close], x[i] - y[close], 0.0)
+                exact = (gap * gap).sum(axis=1) / both[i][close]
+                best[i] = sorted([*best[i], *((d, labels[j], raw[j]) for d, j in zip(exact.tolist(), close))], key=lambda b: b[:2])[:k]
+
+    def kernel(batches):
+        block, own, parts = None, None, []
+        x = seen = best = None
+        for b in batches:
+            for (t, kind), some in b.groupby(["t", "kind"], sort=False):
+                if t != block:
+                    if block is not None and own is not None:
+                        yield finish(own, x, seen, best)
+                    block, own, parts = t, None, []
+                if kind == 0:
+                    parts.append(some)
+                    continue
+                if own is None:
+                    if not parts:
+                        continue
+                    mine = pd.concat(parts)
+                    raw = _dense(mine, "k", "v", n)
+                    seen = ~np.isnan(raw)
+                    x, own, best = np.where(seen, raw, 0.0), mine["feature_id"].to_numpy(), [[] for _ in range(len(mine))]
+                for lo in range(0, len(some), tile):
+                    meet(own, x, seen, best, some.iloc[lo:lo + tile])
+        if own is not None:
+            yield finish(own, x, seen, best)
+
+    return kernel
 
 
 def _sum_rows(partials: DataFrame, cols: list[str]) -> dict:

@@ -400,5 +400,27 @@ def _qc_replay(s, d):
 query("q11_replay", f"""WITH {B}, {_FM}, {_SM}, kf AS (SELECT feature_id FROM fm WHERE missing_rate <= 0.5), ks AS (SELECT sample_id FROM sm WHERE missing_rate <= 0.3)
 SELECT ks.sample_id, (SELECT count(*) FROM kf) AS n, round(sum(value), 2) AS total FROM ks LEFT JOIN (SELECT * FROM cells SEMI JOIN kf USING (feature_id)) c ON c.sample_id = ks.sample_id GROUP BY 1""", 2)(_qc_replay)
 query("q24_imputation_curves")(lambda s, d: (lambda y: Q.observed_imputed_curves(y.cells, I.impute(y, "MinProb")))(N.analysis_scale(TT.brands(s, d))))
-for _name, _method in (("q18_impute_qrilc", "QRILC"), ("q19_impute_knn", "knn"), ("q20_impute_mle", "MLE"), ("q21_impute_bpca", "bpca"), ("q22_impute_mixed", "mixed")):
+for _name, _method in (("q18_impute_qrilc", "QRILC"), ("q20_impute_mle", "MLE"), ("q21_impute_bpca", "bpca")):
     query(_name)(lambda s, d, m=_method: I.impute(N.analysis_scale(TT.brands(s, d)), m))
+
+
+def _neighbours_sql(values: str, features: str, samples: str) -> str:
+    """Brute-force k-nearest fill over a table of values: every pair of features is compared."""
+    return f"""
+n AS (SELECT count(*) AS n FROM {samples}),
+seen AS (SELECT f.feature_id, count(value) AS c FROM {features} f LEFT JOIN {values} USING (feature_id) GROUP BY 1),
+target AS (SELECT feature_id FROM seen, n WHERE c < n AND 2 * c >= n),
+dist AS (SELECT a.feature_id AS t, b.feature_id AS o, sum((a.value - b.value) * (a.value - b.value)) / count(*) AS d
+  FROM {values} a SEMI JOIN target USING (feature_id) JOIN {values} b ON a.sample_id = b.sample_id AND a.feature_id <> b.feature_id GROUP BY 1, 2),
+top AS (SELECT t, o FROM dist QUALIFY row_number() OVER (PARTITION BY t ORDER BY d, o) <= 10),
+means AS (SELECT sample_id, avg(value) AS m FROM {values} GROUP BY 1),
+gap AS (SELECT feature_id, sample_id FROM {features}, {samples} EXCEPT SELECT feature_id, sample_id FROM {values}),
+near AS (SELECT t AS feature_id, sample_id, avg(value) AS v FROM top JOIN {values} c ON c.feature_id = o GROUP BY 1, 2),
+knn AS (SELECT g.feature_id, g.sample_id, coalesce(v, m, 0) AS value FROM gap g LEFT JOIN near USING (feature_id, sample_id) LEFT JOIN means USING (sample_id))"""
+
+
+query("q19_impute_knn", f"WITH {LOGB}, {_neighbours_sql('lcells', 'features', 'samples')} SELECT feature_id, sample_id, {r('value')} AS value FROM knn")(
+    lambda s, d: I.impute(N.analysis_scale(TT.brands(s, d)), "knn"))
+query("q19_impute_knn_parts", f"WITH {TT.YEARS_SQL}, {_neighbours_sql('cells', 'features', 'samples')} SELECT feature_id, sample_id, {r('value')} AS value FROM knn")(
+    lambda s, d: I.impute(TT.yearly(s, d), "knn"))
+query("q22_impute_mixed")(lambda s, d: I.impute(N.analysis_scale(TT.brands(s, d)), "mixed"))

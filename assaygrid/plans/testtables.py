@@ -136,6 +136,20 @@ cells AS (SELECT p_brand||'/'||p_type AS feature_id, 'N'||s_nationkey||'Y'||year
           FROM lines JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"""
 
 
+def yearly(spark, sf) -> Layer:
+    """Parts against ship years: a long feature axis whose rows are nearly complete."""
+    cells = table(spark, sf, "lineitem").groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("value")).select(
+        F.concat(F.lit("P"), "l_partkey").alias("feature_id"), F.concat(F.lit("Y"), "year").alias("sample_id"), "value")
+    samples = table(spark, sf, "lineitem").select(F.concat(F.lit("Y"), F.year("l_shipdate")).alias("sample_id")).distinct()
+    return make_layer(cells, samples, part_features(spark, sf), "proteomics", "raw_intensity")
+
+
+YEARS_SQL = FEATURES_SQL + """,
+cells AS (SELECT 'P'||l_partkey AS feature_id, 'Y'||year(l_shipdate) AS sample_id, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2),
+samples AS (SELECT DISTINCT 'Y'||year(l_shipdate) AS sample_id FROM lineitem)"""
+
+
 def flagged(spark, sf) -> Layer:
     """A paired layer: samples are nation x return flag, paired by nation."""
     su = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")

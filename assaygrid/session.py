@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -25,22 +27,57 @@ def local_session(cpus: int | str = 8, app: str = "assaygrid") -> SparkSession:
     )
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, else a test folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the cluster's checkpoint folder.
+
+    Only a session whose tasks run in this very process (master local or local[...]) may go without
+    one; it gets a folder of its own that ends with the process. Elsewhere a folder of this machine
+    would lose what other machines write.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table written between stages."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that `cut` has written for this session after the first `since`; returns how many.
+
+    Frames that read them are of no use afterwards, so write or collect results first.
+    """
+    context = spark.sparkContext
+    gone = [x for x in _WRITTEN[since:] if x[0] is spark]
+    for entry in gone:
+        path = context._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(entry)
+    return len(gone)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables cut inside the block are deleted at its end."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def cut(df, label: str = "stage"):

@@ -198,3 +198,40 @@ def test_random_block_recovers_correlation():
     c = np.array([1.0, -1.0])
     assert np.allclose(a["beta"] @ c, b["beta"] @ c)
     assert np.allclose(a["rss"], b["rss"])
+
+
+def test_neighbours_do_not_depend_on_tiles(spark, monkeypatch):
+    """Brute force over all features, ties and empty features included, whatever the tile size."""
+    import numpy as np
+
+    from assaygrid.operators import impute
+
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(240, 9)) + rng.normal(size=(240, 1)), 1)
+    m[rng.random(m.shape) < 0.25] = np.nan
+    m[200:220] = m[0]
+    m[5], m[6, 1:], m[7] = np.nan, np.nan, 1.0
+    ids = [f"f{i:03d}" for i in range(len(m))]
+    want = {}
+    center = np.nanmean(m, axis=0)
+    for i in range(len(m)):
+        seen = ~np.isnan(m[i])
+        near = []
+        if 2 * seen.sum() >= 9:
+            both = seen & ~np.isnan(m)
+            d = np.where(both, (m - m[i]) ** 2, 0.0).sum(axis=1) / np.maximum(both.sum(axis=1), 1)
+            near = sorted((d[j], ids[j], j) for j in range(len(m)) if j != i and both[j].any())[:10]
+        for s in np.flatnonzero(~seen):
+            have = [m[j, s] for _, _, j in near if not np.isnan(m[j, s])]
+            want[ids[i], f"s{s}"] = np.mean(have) if have else center[s]
+    rows = [(ids[i], f"s{s}", float(m[i, s])) for i in range(len(m)) for s in range(9) if not np.isnan(m[i, s])]
+    from assaygrid.model import make_layer
+
+    layer = make_layer(spark.createDataFrame(rows, "feature_id string, sample_id string, value double"),
+                       spark.createDataFrame([(f"s{s}",) for s in range(9)], "sample_id string"),
+                       spark.createDataFrame([(i,) for i in ids], "feature_id string"), "proteomics", "normalized_intensity")
+    for tile in (1024, 7):
+        monkeypatch.setattr(impute, "NEIGHBOUR_TILE", tile)
+        got = {(r.feature_id, r.sample_id): r.value for r in impute.nearest(layer).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
