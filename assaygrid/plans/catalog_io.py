@@ -45,6 +45,26 @@ query("s1_read_layer", f"WITH {_CELLS} SELECT feature_id, sample_id, {r('value',
 query("s2_delimited", f"WITH {_CELLS} SELECT feature_id, count(*) AS n_seen FROM wc GROUP BY 1")(
     lambda s, d: (lambda t: t.select(F.col("Protein IDs").alias("feature_id"), sum((DL.clean_number(F.col(c)).isNotNull().cast("long") for c in NATIONS[1:]), DL.clean_number(F.col(NATIONS[0])).isNotNull().cast("long")).alias("n_seen")))(
         DL.read_table(s, _text_file(s, d, ";"))))
+
+
+def _comma_file(s, d):
+    """The wide table with decimal commas and semicolons, 30 leading comments and a row named #part."""
+    w = _wide(s, d)
+    num = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.translate(F.format_string("%.2f", F.col(c) / 8), ".", ","))
+    line = F.concat_ws(";", "gene", *[num(c) for c in NATIONS])
+    first = [f"# note {i}" for i in range(30)] + [";".join(["gene", *NATIONS]), ";".join(["#part", *["1,5"] * len(NATIONS)])]
+    head = s.createDataFrame(list(enumerate(first)), "i long, value string")
+    rows = head.unionByName(w.select(F.lit(1_000_000).cast("long").alias("i"), line.alias("value")))
+    path = scratch_path(s, "comma")
+    rows.repartitionByRange(1, "i").sortWithinPartitions("i").select("value").write.text(path)
+    return path
+
+
+_COMMA = f"""WITH {_CELLS} SELECT feature_id, sample_id, {r('round(value / 8, 2)', 2)} AS value FROM wc
+UNION ALL SELECT '#part', 'N' || unnest(range(25)), 1.5::DOUBLE"""
+query("s1_decimal_comma", _COMMA, 2)(lambda s, d: SL.read_layer(s, _comma_file(s, d), "proteomics", transpose=False).cells)
+query("s1_import_report", """SELECT 'comment lines' AS action, '30' AS name, NULL::VARCHAR AS detail UNION ALL SELECT 'decimal comma', 'N' || unnest(range(25)), NULL
+UNION ALL SELECT 'orientation', 'features_in_rows', NULL""")(lambda s, d: SL.read_reported(s, _comma_file(s, d), "proteomics")[1])
 query("p18_vendor_columns", f"WITH {_CELLS} SELECT feature_id, sample_id, {r('value', 2)} AS value FROM wc", 2)(
     lambda s, d: (lambda w: melt(w, w.columns[0], w.columns[1:]))(PR.numeric_columns(PR.sample_columns(DL.read_table(s, _text_file(s, d, "\t", lambda c: f"LFQ intensity {c}.raw"))))))
 query("p19_one_unit", f"WITH {_CELLS} SELECT feature_id, sample_id, {r('value', 2)} AS value FROM wc", 2)(
@@ -58,10 +78,10 @@ query("p20_numeric_columns", f"WITH {_CELLS} SELECT feature_id, count(*) AS n FR
 _MARK = "CASE WHEN l_quantity < 5 THEN 'n/a' WHEN l_quantity < 10 THEN '<LOD' WHEN l_quantity < 12 THEN 'many' ELSE l_quantity::VARCHAR END"
 query("p16_cell_marks", "SELECT 'cell' AS column_name, count(*) FILTER (l_quantity < 5) AS n_missing, count(*) FILTER (l_quantity >= 5 AND l_quantity < 10) AS n_marks, count(*) FILTER (l_quantity >= 10 AND l_quantity < 12) AS n_text FROM lineitem")(
     lambda s, d: DL.cell_errors(TT.table(s, d, "lineitem").select(F.when(F.col("l_quantity") < 5, "n/a").when(F.col("l_quantity") < 10, "<LOD").when(F.col("l_quantity") < 12, "many").otherwise(F.col("l_quantity").cast("string")).alias("cell")), ["cell"]))
-query("a20_table_profile", "SELECT 'p_name' AS column_name, 0.0::DOUBLE AS numeric_fraction UNION ALL SELECT 'p_size', 1.0::DOUBLE UNION ALL SELECT 'p_brand', 0.0::DOUBLE")(
+query("a20_table_profile", "SELECT column_name, avg((try_cast(cell AS DOUBLE) IS NOT NULL)::INT::DOUBLE) AS numeric_fraction FROM (UNPIVOT (SELECT p_name, p_size::VARCHAR AS p_size, p_brand FROM part) ON p_name, p_size, p_brand INTO NAME column_name VALUE cell) GROUP BY 1")(
     lambda s, d: PR.profile(TT.table(s, d, "part").select("p_name", F.col("p_size").cast("string").alias("p_size"), "p_brand")).select("column_name", "numeric_fraction"))
-query("a21_orientation_labels", "SELECT count(*) AS n, 1.0::DOUBLE AS feature_like, 1.0::DOUBLE AS strongly_feature_like FROM part")(
-    lambda s, d: PR.label_rates(TT.table(s, d, "part").select(F.concat(F.lit("ENSG"), F.lpad(F.col("p_partkey").cast("string"), 11, "0")).alias("l")), "l").select("n", "feature_like", "strongly_feature_like"))
+query("a21_orientation_labels", "SELECT count(*) AS n, avg(regexp_matches(l, '^ENS[A-Z]*G[0-9]{6,}')::INT::DOUBLE) AS feature_like, avg(regexp_matches(l, '^ENS[A-Z]*G[0-9]{6,}')::INT::DOUBLE) AS strongly_feature_like FROM (SELECT CASE WHEN p_size % 3 = 0 THEN 'x ' || p_partkey ELSE 'ENSG' || lpad(p_partkey::VARCHAR, 11, '0') END AS l FROM part)")(
+    lambda s, d: PR.label_rates(TT.table(s, d, "part").select(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("x "), "p_partkey")).otherwise(F.concat(F.lit("ENSG"), F.lpad(F.col("p_partkey").cast("string"), 11, "0"))).alias("l")), "l").select("n", "feature_like", "strongly_feature_like"))
 _VN = "'[' || p_size || '] D:/runs/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.sorted.bam'"
 query("f6_vendor_names", "SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_partkey AS sample FROM part")(
     lambda s, d: TT.table(s, d, "part").select("p_partkey", PR.plain_sample_column(F.concat(F.lit("["), "p_size", F.lit("] D:/runs/"), F.translate("p_name", " ", "_"), F.lit("_"), "p_partkey", F.lit(".sorted.bam"))).alias("sample")))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DELIMITERS = ("\t", ",", ";")
 
@@ -16,13 +15,15 @@ MISSING_TOKENS = ("", "na", "n/a", "#n/a", "#na", "nan", "null", "none", "filter
 CELL_ERROR = (r"^(#.*|<.*|>.*|n\.?q\.?|n\.?d\.?|nan|inf|-inf|null|none|na|n/a|"
               r"below.*|above.*|lod|loq|bdl|nf|not found|error)$")
 GROUPED = r"^[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
+GROUPED_BY_DOTS = r"^[-+]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$|^[-+]?[0-9]{1,3}(\.[0-9]{3}){2,}$"
 
 
 @dataclass(frozen=True)
 class TextLayout:
     delimiter: str
     header: list
-    skip: int
+    comments: list
+    header_line: str
     decimal_comma: bool
     renamed: dict
 
@@ -49,13 +50,24 @@ def unique_names(names: list[str]) -> tuple[list[str], dict]:
     return out, renamed
 
 
-def sniff(spark: SparkSession, path: str, lines: int = 25) -> TextLayout:
-    """The layout from the first lines of the file: comments, delimiter, header."""
-    head = [r.value.lstrip("\ufeff").rstrip("\r") for r in spark.read.text(path).limit(lines).collect()]
-    skip = 0
-    while skip < len(head) and head[skip].startswith("#"):
-        skip += 1
-    body = head[skip:]
+def _plain(line: Column) -> Column:
+    """A line without byte order mark and carriage return."""
+    return F.regexp_replace(F.regexp_replace(line, "^\ufeff", ""), "\r$", "")
+
+
+def sniff(spark: SparkSession, path: str) -> TextLayout:
+    """The layout from the lines up to the first row: leading comments, delimiter, header.
+
+    However many comment lines stand first, the header is found behind them.
+    """
+    lines, asked, comments, body = spark.read.text(path).select(_plain(F.col("value")).alias("value")), 64, [], []
+    while True:
+        head = [r.value for r in lines.limit(asked).collect()]
+        first = next((i for i, x in enumerate(head) if not x.startswith("#")), len(head))
+        comments, body = head[:first], head[first:]
+        if len(body) > 1 or len(head) < asked:
+            break
+        asked *= 8
     if not body:
         raise ValueError(f"{path} has no header line")
     delimiter = max(DELIMITERS, key=lambda d: body[0].count(d))
@@ -64,24 +76,22 @@ def sniff(spark: SparkSession, path: str, lines: int = 25) -> TextLayout:
     if len(body) > 1 and len(split_line(body[1], delimiter)) == len(fields) + 1:
         fields = ["id"] + fields
     header, renamed = unique_names([f.strip() or f"column_{i + 1}" for i, f in enumerate(fields)])
-    return TextLayout(delimiter, header, skip, delimiter == ";", renamed)
+    return TextLayout(delimiter, header, comments, body[0], delimiter == ";", renamed)
 
 
 def read_table(spark: SparkSession, path: str, layout: TextLayout | None = None) -> DataFrame:
-    """Every column as text. The scan is Spark's own; lines before the header are dropped by content."""
+    """Every column as text, one lazy scan.
+
+    The leading comments and the header, which each file of a folder may repeat, are known by their
+    whole text; a later row that starts with # is a row.
+    """
     layout = layout or sniff(spark, path)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(layout.header))])
-    df = spark.read.csv(path, schema=schema, sep=layout.delimiter, header=False, encoding="UTF-8",
-                        quote="" if layout.delimiter == "\t" else '"', escape='"', mode="PERMISSIVE")
-    first = F.regexp_replace(F.col("c0"), "^\ufeff", "")
-    original = layout.renamed.get(layout.header[0], layout.header[0])
-    if len(layout.header) > 1:
-        second = layout.renamed.get(layout.header[1], layout.header[1])
-        is_header = (first == original) & (F.trim("c1") == second)
-    else:
-        is_header = first == original
-    keep = ~(first.startswith("#") | F.coalesce(is_header, F.lit(False)))
-    return df.where(F.coalesce(keep, F.lit(True))).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(layout.header)])
+    names = [f"c{i}" for i in range(len(layout.header))]
+    options = {"sep": layout.delimiter, "quote": "" if layout.delimiter == "\t" else '"', "escape": '"', "mode": "PERMISSIVE"}
+    lines = spark.read.text(path).select(_plain(F.col("value")).alias("line"))
+    rows = lines.where(~F.col("line").isin(layout.header_line, *layout.comments) & (F.trim("line") != ""))
+    cells = rows.select(F.from_csv("line", ", ".join(f"{n} string" for n in names), options).alias("r"))
+    return cells.select(*[F.col(f"r.{n}").alias(h) for n, h in zip(names, layout.header)])
 
 
 def clean_number(c: Column, decimal_comma: bool = False) -> Column:
@@ -89,7 +99,7 @@ def clean_number(c: Column, decimal_comma: bool = False) -> Column:
     t = F.trim(c)
     low = F.lower(t)
     if decimal_comma:
-        t = F.translate(t, ",", ".")
+        t = F.translate(F.when(t.rlike(GROUPED_BY_DOTS), F.translate(t, ".", "")).otherwise(t), ",", ".")
     else:
         t = F.when(t.rlike(GROUPED), F.translate(t, ",", "")).otherwise(t)
     v = F.when(low.isin(*MISSING_TOKENS) | low.rlike(CELL_ERROR), None).otherwise(t).try_cast("double")

@@ -25,17 +25,33 @@ QUANT_SUFFIX = r"(?i)([._-]?(quant|abundance|genes|isoforms))*(\.(sf|tsv|results
 def read_layer(spark: SparkSession, path: str, omics_type: str, assay_type: str | None = None, samples: DataFrame | None = None,
                transpose: bool | None = None) -> Layer:
     """A delimited measurement table as a layer: sniffed, cleaned, profiled once, then melted lazily."""
-    text = read_table(spark, path, sniff(spark, path))
-    wide = P.one_unit(P.drop_summaries(P.numeric_columns(P.sample_columns(text))))
+    return read_reported(spark, path, omics_type, assay_type, samples, transpose)[0]
+
+
+def read_reported(spark: SparkSession, path: str, omics_type: str, assay_type: str | None = None, samples: DataFrame | None = None,
+                  transpose: bool | None = None) -> tuple[Layer, DataFrame]:
+    """The layer and a report (action, name, detail) of what the import skipped, renamed, read otherwise or left out."""
+    layout = sniff(spark, path)
+    text = P.sample_columns(read_table(spark, path, layout))
+    styles = {r.column_name: r.style for r in P.column_styles(text, layout.decimal_comma).collect()}
+    numbers = P.numeric_columns(text, layout.decimal_comma, styles)
+    whole = P.drop_summaries(numbers)
+    wide = P.one_unit(whole)
     flip = transpose if transpose is not None else P.orientation(wide)[0] == "samples_in_rows"
+    notes = [("comment lines", str(len(layout.comments)), None)] * bool(layout.comments)
+    notes += [("heading renamed", old, new) for new, old in layout.renamed.items()]
+    notes += [("decimal comma" if v == "comma" else "column left out", c, None if v == "comma" else v) for c, v in styles.items() if v != "dot"]
+    notes += [("summary column", c, None) for c in numbers.columns if c not in whole.columns]
+    notes += [("orientation", "samples_in_rows" if flip else "features_in_rows", None)]
+    report = spark.createDataFrame(notes, "action string, name string, detail string")
     cells = melt(wide, wide.columns[0], wide.columns[1:], flip)
     key = "feature_id" if not flip else "sample_id"
     other = spark.createDataFrame([(c,) for c in wide.columns[1:]], f"{'sample_id' if not flip else 'feature_id'} string")
-    mine = wide.select(F.col(wide.columns[0]).alias(key)).distinct()
+    mine = wide.select(F.col(f"`{wide.columns[0]}`").alias(key)).distinct()
     feats, samp = (mine, other) if not flip else (other, mine)
     if samples is not None:
         samp = samp.join(samples, "sample_id", "left")
-    return make_layer(cells, samp, feats, omics_type, assay_type or ("raw_count" if omics_type == "rnaseq" else "raw_intensity"))
+    return make_layer(cells, samp, feats, omics_type, assay_type or ("raw_count" if omics_type == "rnaseq" else "raw_intensity")), report
 
 
 def quant_sample(path: Column) -> Column:
