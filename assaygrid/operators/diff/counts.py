@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.functions.ordering import adjust_p, exact_quantiles, spread_quantiles
+from assaygrid.functions.ordering import adjust_p, cumulative, exact_quantiles, spread_quantiles
 from assaygrid.functions.tails import chisq_upper, f_upper, log_gamma, normal_two_sided, trigamma
 from assaygrid.model import Layer
 from assaygrid.operators.cells import expressed_features, keep_features
@@ -195,16 +195,33 @@ def _wald(rows: DataFrame, disp: DataFrame, n: int, model, log_s, shrink, reduce
     return joined.mapInPandas(kernel, "feature_id string, comparison string, effect double, statistic double, lrt double, base_mean double, dispersion double")
 
 
-def independent_filter(stats: DataFrame, alpha: float = 0.1, points: int = 20) -> DataFrame:
+def _rejections(j: DataFrame, alpha: float, method: str) -> DataFrame:
+    """(comparison, theta, n): rejections at `alpha` among the rows above each cutoff.
+
+    With BH only rows with p below `alpha` can be rejected, so only those are ranked once per cutoff they
+    stand above; the sizes of the families are one count.
+    """
+    above = F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("theta")
+    tried = j.where("last > 0 and p_value is not null")
+    if method != "BH":
+        adjusted = adjust_p(tried.select("comparison", "feature_id", "p_value", above), ["comparison", "theta"], method=method, few=True)
+        return adjusted.groupBy("comparison", "theta").agg(F.count_if(F.col("adj_p_value") < alpha).alias("n"))
+    size = tried.groupBy("comparison", "last").agg(F.count("*").alias("m")).select("comparison", "m", above).groupBy(
+        "comparison", "theta").agg(F.sum("m").alias("m"))
+    small = tried.where(F.col("p_value") < alpha).select("comparison", "p_value", above)
+    rank = F.col("below") + F.col("ties")
+    best = cumulative(small, ["comparison", "theta"], "p_value", few=True).join(F.broadcast(size), ["comparison", "theta"]).where(
+        F.col("p_value") * F.col("m") < alpha * rank).groupBy("comparison", "theta").agg(F.max(rank).alias("n"))
+    return size.join(best, ["comparison", "theta"], "left").select("comparison", "theta", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def independent_filter(stats: DataFrame, alpha: float = 0.1, points: int = 50, method: str = "BH") -> DataFrame:
     """NULL adjusted p below the mean-count cutoff that gives most rejections; one family per cutoff."""
     grid = spread_quantiles(stats, ["comparison"], "base_mean", points + 1, few=True).where(F.col("i") < points)
     cuts = grid.groupBy("comparison").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
     j = stats.join(F.broadcast(cuts), "comparison")
     j = cut(j.withColumn("last", F.size(F.filter("cuts", lambda c: c <= F.col("base_mean")))), "filtering")
-    tries = j.where("last > 0 and p_value is not null").select(
-        "comparison", "feature_id", "p_value", F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("theta"))
-    won = adjust_p(tries, ["comparison", "theta"], few=True).groupBy("comparison", "theta").agg(
-        F.sum((F.col("adj_p_value") < alpha).cast("int")).alias("n"))
+    won = _rejections(j, alpha, method)
     # At most `points` rows per comparison reach the driver.
     pick = []
     for c, g in won.toPandas().groupby("comparison"):
@@ -215,7 +232,7 @@ def independent_filter(stats: DataFrame, alpha: float = 0.1, points: int = 20) -
         pick.append((c, int(good.theta.iloc[0]) if len(good) else 0))
     chosen = stats.sparkSession.createDataFrame(pick, "comparison string, theta int")
     kept = j.join(F.broadcast(chosen), "comparison").withColumn("p_kept", F.when(F.col("last") > F.col("theta"), F.col("p_value")))
-    return adjust_p(kept, ["comparison"], "p_kept", few=True).drop("p_kept", "cuts", "last", "theta")
+    return adjust_p(kept, ["comparison"], "p_kept", method=method, few=True).drop("p_kept", "cuts", "last", "theta")
 
 
 def _prepare(layer: Layer, model, meta, index, factors: pd.Series):
@@ -253,7 +270,7 @@ def _finish_wald(layer, meta, index, model, labels, analysis, effect_type, direc
     shrink = shrunken_dispersions(disp, len(model.rows) - model.x.shape[1])
     stats = _wald(rows, disp, len(meta), model, log_s, shrink).withColumn("p_value", normal_two_sided(F.col("statistic")))
     stats = cut(stats.drop("lrt").withColumn("signed_stat", F.col("statistic")), "wald")
-    stats = independent_filter(stats) if filtering else adjust_p(stats, ["comparison"], method=adjust, few=True, written=True)
+    stats = independent_filter(stats, method=adjust) if filtering else adjust_p(stats, ["comparison"], method=adjust, few=True, written=True)
     return standard(pad_untested(layer, stats, labels), layer, "deseq2", analysis, effect_type, "wald", direction)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from assaygrid.functions.ordering import adjust_p, exact_quantiles
 from assaygrid.functions.scalar import contrast_label
 from assaygrid.functions.tails import digamma, f_upper, t_two_sided, trigamma, trigamma_inverse
 from assaygrid.model import Layer
+from assaygrid.operators.diff.design import estimable
 from assaygrid.operators.diff.kernel import Model, block_correlation, feature_rows, fit_features
 from assaygrid.operators.diff.results import pad_untested, standard
 from assaygrid.operators.gram import _dense, sample_index
@@ -65,6 +68,13 @@ def _with_t(fits: DataFrame) -> DataFrame:
     return fits.withColumns({"statistic": t, "model_fit": F.when(F.col("df") > 0, _adjusted_r2())})
 
 
+def refuse(x: np.ndarray, contrasts) -> None:
+    """A contrast that the design cannot tell is an error, not a number."""
+    for label, w in contrasts:
+        if not estimable(x, w):
+            raise ValueError(f"{label} cannot be told from the covariates; see design_problems")
+
+
 def lm_group_models(layer: Layer, meta: pd.DataFrame, group_col: str, comparisons, covariates=None, block=None):
     models = []
     extra = list(covariates or []) + ([block] if block else [])
@@ -76,6 +86,7 @@ def lm_group_models(layer: Layer, meta: pd.DataFrame, group_col: str, comparison
         x, factors = with_covariates(x, sub.assign(**({block: sub[block].astype(str)} if block else {})), extra)
         w = np.zeros(x.shape[1])
         w[1] = 1
+        refuse(x, [(contrast_label(case, control), w)])
         models.append(Model(rows, x, [(contrast_label(case, control), w)], factors=[([1], True), *factors]))
     return models
 
@@ -185,7 +196,8 @@ def run_moderated(layer: Layer, contrasts: list[tuple[str, dict]], group_col=Non
                   adjust="BH") -> DataFrame:
     """All named groups in one model; contrasts are (label, {level: weight}) with weights summing to 0.
 
-    A `block` enters as fixed columns (D11), which asks for at least two samples per block.
+    A `block` enters as fixed columns (D11), which asks for at least two samples per block; where it
+    would absorb a contrast, the blocks become a random effect and a warning says so.
     """
     group_col = group_col or layer.group_col
     levels = []
@@ -198,6 +210,10 @@ def run_moderated(layer: Layer, contrasts: list[tuple[str, dict]], group_col=Non
         raise ValueError("every block needs at least two samples")
     vectors = [(label, [w.get(lv, 0.0) for lv in levels]) for label, w in contrasts]
     model = _group_design(meta, group_col, levels, covariates, block, vectors)
+    if block and not all(estimable(model.x, w) for _, w in model.contrasts):
+        warnings.warn(f"{block} as fixed blocks would absorb a contrast; fitted as a random effect", stacklevel=2)
+        return run_moderated_random_block(layer, contrasts, block, group_col, covariates, adjust)
+    refuse(model.x, model.contrasts)
     fits = cut(fit_features(layer, index, len(meta), [model]), "fits")
     m = moderate(fits, contrasts[0][0])
     t = F.col("est") / F.nullif(F.col("unscaled") * F.sqrt("s2_post"), F.lit(0.0))
@@ -233,6 +249,7 @@ def run_moderated_random_block(layer: Layer, contrasts: list[tuple[str, dict]],
         levels += [lv for lv in w if lv not in levels]
     meta, index = sample_frame(layer)
     model = _group_design(meta, group_col, levels, covariates, None, [(lab, [w.get(lv, 0.0) for lv in levels]) for lab, w in contrasts])
+    refuse(model.x, model.contrasts)
     b = meta[block].astype(str).to_numpy()[model.rows]
     same = ((b[:, None] == b[None, :]) & ~np.eye(len(b), dtype=bool)).astype(float)
     rho = consensus_correlation(layer, index, len(meta), model, same)

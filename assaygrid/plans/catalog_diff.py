@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from assaygrid.functions import ordering as O
@@ -11,6 +13,7 @@ from assaygrid.operators import gram as G
 from assaygrid.operators import normalize as N
 from assaygrid.operators import views as VW
 from assaygrid.operators.diff import counts, linear, results, ttest
+from assaygrid.operators.diff import design as DS
 from assaygrid.plans import fixtures as FX
 from assaygrid.plans import testtables as TT
 from assaygrid.plans import registry
@@ -64,6 +67,17 @@ query("p15_pairing_problems", f"WITH {TT.FLAGGED_SQL} SELECT donor, count(*) AS
     lambda s, d: TT.flagged(s, d).samples.where("grp in ('A', 'R')").groupBy("donor").agg(
         F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"), F.sum((F.col("grp") == "A").cast("int")).alias("a"), F.sum((F.col("grp") == "R").cast("int")).alias("b")
     ).where("a <> 1 or b <> 1").drop("a", "b"))
+query("p14_design_problems", f"""WITH {TT.PRICES_SQL}, two AS (SELECT * FROM samples WHERE grp IN ('ASIA', 'AFRICA'))
+SELECT 'absent level' AS problem, 'ATLANTIS' AS item WHERE NOT EXISTS (SELECT 1 FROM samples WHERE grp = 'ATLANTIS')
+UNION ALL SELECT 'same case and control', 'EUROPE'
+UNION ALL SELECT 'confounded covariate', 'nation: ASIA vs AFRICA' WHERE (SELECT max(g) FROM (SELECT count(DISTINCT grp) AS g FROM two GROUP BY nation)) = 1
+UNION ALL SELECT 'confounded covariate', 'balance: ASIA vs AFRICA' WHERE (SELECT count(DISTINCT balance) FROM two) < 2
+UNION ALL SELECT 'constant covariate', 'flat: ASIA vs AFRICA'
+UNION ALL SELECT 'covariate has gaps', 'holes: ASIA vs AFRICA' WHERE EXISTS (SELECT 1 FROM two WHERE year = 1995)
+UNION ALL SELECT 'block absorbs the comparison', 'nation: ASIA vs AFRICA' WHERE (SELECT max(g) FROM (SELECT count(DISTINCT grp) AS g FROM two GROUP BY nation)) = 1""")(
+    lambda s, d: (lambda y: DS.design_problems(
+        dataclasses.replace(y, samples=y.samples.withColumn("flat", F.lit(1.0)).withColumn("holes", F.when(F.col("year") != 1995, F.col("year")))),
+        [("ASIA", "AFRICA"), ("EUROPE", "EUROPE"), ("ASIA", "ATLANTIS")], covariates=["nation", "balance", "flat", "holes"], block="nation"))(TT.prices(s, d)))
 query("p14_confounding", f"WITH {TT.PRICES_SQL} SELECT grp, batch, count(*) AS n FROM samples GROUP BY 1, 2")(
     lambda s, d: TT.prices(s, d).samples.groupBy("grp", "batch").agg(F.count("*").alias("n")))
 
@@ -216,4 +230,5 @@ query("d13_nb_continuous")(lambda s, d: counts.run_nb_continuous(TT.brands(s, d,
 query("d14_nb_anova")(lambda s, d: counts.run_nb_anova(TT.brands(s, d, "l_quantity"), _GROUPS).select(*_STD))
 query("d16_ql_group")(lambda s, d: counts.run_ql(TT.counts(s, d), _CT).select(*_STD))
 query("d17_ql_anova")(lambda s, d: counts.run_ql_anova(TT.brands(s, d, "l_quantity"), _GROUPS).select(*_STD))
+query("d11_nested_block")(lambda s, d: linear.run_moderated(TT.prices(s, d), [("ASIA_vs_AFRICA", {"ASIA": 1.0, "AFRICA": -1.0})], block="nation").select(*TEST_COLS))
 query("d11_random_block")(lambda s, d: linear.run_moderated_random_block(N.analysis_scale(TT.flagged(s, d)), [("R_vs_A", {"R": 1, "A": -1})], "donor").select(*_STD))

@@ -325,14 +325,15 @@ query("f12_quadrants", f"WITH {_CONC} SELECT feature_a AS feature_id_a, feature_
 query("a13_quadrant_counts", f"WITH {_CONC} SELECT quadrant, count(*) AS n, sum((sa AND sb)::INT)::BIGINT AS n_both_significant FROM conc GROUP BY 1")(lambda s, d: IN.quadrant_counts(_conc(s, d)))
 query("a13_concordance_counts", f"WITH {_CONC} SELECT sum(sa::INT)::BIGINT AS n_significant_a, sum(sb::INT)::BIGINT AS n_significant_b, sum((sa AND sb)::INT)::BIGINT AS n_significant_both, sum((sa AND sb AND coalesce(direction = 'concordant', false))::INT)::BIGINT AS n_concordant, sum((sa AND sb AND coalesce(direction = 'discordant', false))::INT)::BIGINT AS n_discordant FROM conc")(
     lambda s, d: IN.concordance_counts(_conc(s, d)))
-query("k4_joint_hits", f"WITH {_CONC} SELECT {_CQ} FROM conc WHERE sa AND sb AND p_value < 0.001")(lambda s, d: _r5(VW.joint_hits(_conc(s, d), 1_000_000).where("p_value < 0.001").select(*_CC)))
+query("k4_joint_hits", f"WITH {_CONC} SELECT {_CQ} FROM (SELECT * FROM conc WHERE sa AND sb ORDER BY adj_p_value, p_value, feature_a, feature_b LIMIT 25)")(lambda s, d: _r5(VW.joint_hits(_conc(s, d), 25).select(*_CC)))
 query("k10_integration_table", f"WITH {_CONC} SELECT {_CQ}, sa AND sb AS joint FROM conc")(lambda s, d: _r5(VW.integration_table(_conc(s, d)).select(*_CC, "joint")))
 query("v8_dual_volcano", f"WITH {_CONC} SELECT 'a' AS side, feature_a, feature_b, {r('ea')} AS x, sa AS significant FROM conc UNION ALL SELECT 'b', feature_a, feature_b, {r('eb')}, sb FROM conc")(
     lambda s, d: (lambda c: VW.dual_volcano(c).join(c.select("feature_id", F.col("feature_id_a").alias("feature_a"), F.col("feature_id_b").alias("feature_b")), "feature_id").select("side", "feature_a", "feature_b", "x", "significant"))(_conc(s, d)))
 query("v8_effect_pairs", f"WITH {_CONC} SELECT {r('ea')} AS x, {r('eb')} AS y, quadrant, CASE WHEN sa AND sb THEN direction WHEN sa THEN 'a only' WHEN sb THEN 'b only' ELSE 'ns' END AS class FROM conc")(
     lambda s, d: VW.effect_pairs(_conc(s, d)).drop("feature_id"))
-query("k11_point_labels", f"""WITH {_CONC}, rp AS (SELECT label, count(DISTINCT feature_a||feature_b) > 1 rep FROM conc GROUP BY 1) SELECT CASE WHEN rep THEN label||' ('||feature_a||' / '||feature_b||')' ELSE label END AS label FROM conc JOIN rp USING (label) WHERE label IN ('G10', 'G20')""")(
-    lambda s, d: VW.labels(_conc(s, d), "p_value", 0, ("G10", "G20")).select("label"))
+query("k11_point_labels", f"""WITH {_CONC}, rp AS (SELECT label, count(DISTINCT feature_a||feature_b) > 1 rep FROM conc GROUP BY 1) SELECT CASE WHEN rep THEN label||' ('||feature_a||' / '||feature_b||')' ELSE label END AS label FROM conc JOIN rp USING (label) 
+WHERE label IN ('G10', 'G20') OR (feature_a, feature_b) IN (SELECT (feature_a, feature_b) FROM conc WHERE p_value IS NOT NULL ORDER BY p_value, feature_a, feature_b LIMIT 15)""")(
+    lambda s, d: VW.labels(_conc(s, d), "p_value", 15, ("G10", "G20")).select("label"))
 _GSC = """gk AS (SELECT upper(trim(feature_symbol)) AS gene, arg_min(effect, (p_value IS NULL, p_value, feature_id)) AS effect, min(p_value) AS p, greatest(count(p_value), 1) AS k FROM diff WHERE comparison = 'ASIA_vs_AFRICA' GROUP BY 1)"""
 query("a19_gene_scores", f"WITH {D}, gk AS (SELECT upper(trim(feature_symbol)) AS gene, min(p_value) AS p, greatest(count(p_value), 1) AS k FROM diff WHERE comparison = 'ASIA_vs_AFRICA' GROUP BY 1) SELECT gene, {r('CASE WHEN k > 1 THEN 1 - pow(1 - p, k) ELSE p END')} AS p, k AS n_features FROM gk")(
     lambda s, d: IN.gene_scores(FX.one_comparison(FX.diff(s, d))).select("gene", "p", "n_features"))
