@@ -23,7 +23,7 @@ BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
 # A candidate group is verified in blocks of at most this many sets and about this many shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 @dataclass(frozen=True)
