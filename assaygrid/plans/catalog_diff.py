@@ -17,7 +17,7 @@ from assaygrid.operators.diff import design as DS
 from assaygrid.plans import fixtures as FX
 from assaygrid.plans import testtables as TT
 from assaygrid.plans import registry
-from assaygrid.plans.registry import bh, t_tail_whole
+from assaygrid.plans.registry import bh, moderated, t_tail_any, t_tail_whole
 
 
 def query(name, sql=None, digits=8):
@@ -106,7 +106,24 @@ query("d6_lm_continuous_gaps", f"""WITH {FX.PLANTED_SQL}, xy AS (SELECT feature_
     lambda s, d: linear.run_lm_continuous(_planted(s, d), "year").select("feature_id", "effect", "base_mean"))
 query("d6_lm_continuous_adjusted")(lambda s, d: linear.run_lm_continuous(TT.vectors(s, d), "age", ["batch"]).select("feature_id", "effect", "statistic", "p_value", "adj_p_value", "model_fit"))
 _STD = ["feature_id", "comparison", "effect", "statistic", "p_value", "adj_p_value", "base_mean"]
-query("d7_moderated_group")(lambda s, d: linear.run_moderated(_planted(s, d), [("ASIA_vs_AFRICA", {"ASIA": 1, "AFRICA": -1}), ("EUROPE_vs_AFRICA", {"EUROPE": 1, "AFRICA": -1})]).select(*_STD))
+_STD_SQL = ", ".join(f"{r(c, 6)} AS {c}" for c in _STD[2:])
+
+
+def _groups_sql(*groups):
+    """Group means and the pooled residuals of a one-way design, one row per feature."""
+    names = ", ".join(f"'{g}'" for g in groups)
+    return f"""{FX.PLANTED_SQL}, gy AS (SELECT feature_id, grp, value FROM lcells JOIN samples USING (sample_id) WHERE grp IN ({names})),
+gm AS (SELECT feature_id, grp, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss, sum(value) AS s FROM gy GROUP BY 1, 2),
+fit AS (SELECT feature_id, sum(n) AS n, sum(n) - count(*) AS df, sum(ss) AS rss, sum(s) / sum(n) AS base_mean FROM gm GROUP BY 1)"""
+
+
+query("d7_moderated_group", f"""WITH RECURSIVE {_groups_sql('ASIA', 'AFRICA', 'EUROPE')}, {moderated('fit', 'mod')},
+tt AS (SELECT f.feature_id, cs || '_vs_AFRICA' AS comparison, a.m - b.m AS effect, (a.m - b.m) / sqrt(s2_post * (1.0 / a.n + 1.0 / b.n)) AS statistic, df_total,
+  base_mean
+  FROM features f CROSS JOIN (SELECT unnest(['ASIA', 'EUROPE']) AS cs) LEFT JOIN mod USING (feature_id)
+  LEFT JOIN gm a ON a.feature_id = f.feature_id AND a.grp = cs LEFT JOIN gm b ON b.feature_id = f.feature_id AND b.grp = 'AFRICA'),
+pp AS (SELECT *, {t_tail_any('statistic', 'df_total')} AS p_value FROM tt), res AS ({bh('p_value', 'comparison', 'pp')}) SELECT feature_id, comparison, {_STD_SQL} FROM res""", 6)(
+    lambda s, d: linear.run_moderated(_planted(s, d), [("ASIA_vs_AFRICA", {"ASIA": 1, "AFRICA": -1}), ("EUROPE_vs_AFRICA", {"EUROPE": 1, "AFRICA": -1})]).select(*_STD))
 query("d7_moderated_covariate")(lambda s, d: linear.run_moderated(_planted(s, d), [("ASIA_vs_AFRICA", {"ASIA": 1, "AFRICA": -1})], covariates=["year", "batch"]).select(*_STD))
 _CM = "cmn AS (SELECT feature_id, grp, avg(value) m FROM lcells JOIN samples USING (sample_id) GROUP BY 1, 2)"
 query("d20_contrast_effects", f"""WITH {FX.PLANTED_SQL}, {_CM} SELECT f.feature_id, 'mix' AS comparison, {r("0.5::DOUBLE * max(m) FILTER (grp = 'ASIA') + 0.5::DOUBLE * max(m) FILTER (grp = 'EUROPE') - max(m) FILTER (grp = 'AFRICA')")} AS effect FROM features f LEFT JOIN cmn USING (feature_id) GROUP BY 1""")(
@@ -116,9 +133,19 @@ SELECT feature_id, comparison, {r('sum(m * wt)')} AS effect FROM cmn JOIN w USIN
     lambda s, d: (lambda y, w: y.cells.join(y.per_sample(y.samples.select("sample_id", "grp")), "sample_id").groupBy("feature_id", "grp").agg(F.avg("value").alias("m")).join(
         F.broadcast(w), "grp").groupBy("feature_id", "comparison").agg(F.sum(F.col("m") * F.col("wt")).alias("effect"), F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").drop("n", "need"))(
         _planted(s, d), s.createDataFrame([("mix", "ASIA", 0.5, 3), ("mix", "EUROPE", 0.5, 3), ("mix", "AFRICA", -1.0, 3), ("ASIA_vs_EUROPE", "ASIA", 1.0, 2), ("ASIA_vs_EUROPE", "EUROPE", -1.0, 2)], "comparison string, grp string, wt double, need int")))
-query("d8_moderated_continuous")(lambda s, d: linear.run_moderated_continuous(TT.vectors(s, d), "age").select(*_STD))
+query("d8_moderated_continuous", f"""WITH RECURSIVE {TT.VECTORS_SQL}, xy AS (SELECT feature_id, value y, age x FROM cells JOIN samples USING (sample_id)), {_SP},
+fit AS (SELECT *, n - 2 AS df FROM sp), {moderated('fit', 'mod')}, pp AS (SELECT *, b / sqrt(s2_post / sxx) AS statistic, rho AS effect, my AS base_mean, 'age' AS comparison FROM mod),
+p2 AS (SELECT *, {t_tail_any('statistic', 'df_total')} AS p_value FROM pp), res AS ({bh('p_value', '', 'p2')}) SELECT feature_id, comparison, {_STD_SQL} FROM res""", 6)(
+    lambda s, d: linear.run_moderated_continuous(TT.vectors(s, d), "age").select(*_STD))
 query("d9_moderated_spline")(lambda s, d: linear.run_moderated_spline(TT.vectors(s, d), "age").select(*_STD))
-query("d10_moderated_anova")(lambda s, d: linear.run_moderated_anova(_planted(s, d), ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).select(*_STD))
+# With four numerator degrees of freedom the F tail is x^a (1 + a (1 - x)), x = d / (d + 4 F), a = d / 2.
+query("d10_moderated_anova", f"""WITH RECURSIVE {_groups_sql('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')}, {moderated('fit', 'mod')},
+bt AS (SELECT feature_id, sum(g.n * pow(m - base_mean, 2)) AS between_, count(*) AS k FROM gm g JOIN fit USING (feature_id) GROUP BY 1),
+tt AS (SELECT f.feature_id, 'anova' AS comparison, CASE WHEN k = 5 THEN between_ / 4 / s2_post END AS statistic, df_total AS d, base_mean
+  FROM features f LEFT JOIN mod USING (feature_id) LEFT JOIN bt USING (feature_id)),
+pp AS (SELECT *, statistic AS effect, pow(d / (d + 4 * statistic), d / 2) * (1 + d / 2 * (1 - d / (d + 4 * statistic))) AS p_value FROM tt),
+res AS ({bh('p_value', '', 'pp')}) SELECT feature_id, comparison, {_STD_SQL} FROM res""", 6)(
+    lambda s, d: linear.run_moderated_anova(_planted(s, d), ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).select(*_STD))
 query("d11_blocked_fit")(lambda s, d: linear.run_moderated(N.analysis_scale(TT.flagged(s, d)), [("R_vs_A", {"R": 1, "A": -1})], block="donor").select(*_STD))
 query("d19_standard_columns", f"""WITH {D} SELECT feature_id, feature_symbol, feature_type, 'proteomics' AS omics_type, 'ttest' AS method, 'group' AS analysis_type, comparison, {r('effect')} AS effect, 'mean_diff' AS effect_type,
 {r('statistic')} AS statistic, 't' AS statistic_type, {r('signed_stat')} AS signed_stat, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, direction, {r('base_mean')} AS base_mean, NULL::DOUBLE AS model_fit, NULL::BOOLEAN AS is_significant FROM diff""")(

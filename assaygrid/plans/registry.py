@@ -61,6 +61,16 @@ def t_tail(t: str, df: str) -> str:
       * list_sum(list_transform({_nodes()}, lambda k: k.w * pow(k.u, 3) * pow(sin({s} * pow(k.u, 4)), {df} - 1))) END)"""
 
 
+def t_tail_any(t: str, df: str) -> str:
+    """Two-sided t tail also for many degrees of freedom, where the integrand stands within a few
+    sqrt(df) of its end: there s = S - w / sqrt(df), and 12 widths hold all but 1e-30 of it."""
+    s = f"(pi() / 2 - atan(abs({t}) / sqrt({df})))"
+    wide = f"least({s} * sqrt({df}), 12)"
+    return f"""(CASE WHEN {df} <= 200 THEN {t_tail(t, df)} WHEN {t} IS NOT NULL THEN
+      2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi() * {df}) * {wide}
+      * list_sum(list_transform({_nodes()}, lambda k: k.w * pow(sin({s} - k.u * {wide} / sqrt({df})), {df} - 1))) END)"""
+
+
 def t_tail_whole(t: str, df: str) -> str:
     """Two-sided t tail for whole degrees of freedom by its finite trigonometric series."""
     th = f"atan(abs({t}) / sqrt({df}))"
@@ -78,3 +88,36 @@ def bh(p: str, family: str, src: str, cols: str = "*") -> str:
     return f"""
   SELECT {cols}, CASE WHEN {p} IS NULL THEN NULL ELSE least(1.0::DOUBLE, min(_v) OVER ({part2} ORDER BY {p} DESC RANGE UNBOUNDED PRECEDING)) END AS adj_p_value
   FROM (SELECT *, {p} * (count({p}) OVER ({part})) / (row_number() OVER ({part2} ORDER BY {p})) AS _v FROM {src})"""
+
+
+def digamma(x: str) -> str:
+    """SQL digamma for x > 0: eight steps up, then the asymptotic series."""
+    y = f"({x} + 8)"
+    return f"""(ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8))
+      - {" - ".join(f"1 / ({x} + {k})" for k in range(8))})"""
+
+
+def trigamma(x: str) -> str:
+    """SQL trigamma for x > 0."""
+    y = f"({x} + 8)"
+    return f"""(1 / {y} + 1 / (2 * pow({y}, 2)) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) - 1 / (30 * pow({y}, 9))
+      + {" + ".join(f"1 / pow({x} + {k}, 2)" for k in range(8))})"""
+
+
+def moderated(fits: str, out: str) -> str:
+    """CTEs (the first of them recursive) from `fits` (feature_id, df, rss, ...), one row per feature, to `out` with s2_post and df_total.
+
+    The prior is the moment estimate from log variances; the inverse trigamma comes by bisection of its logarithm.
+    """
+    return f"""
+mz AS (SELECT df::DOUBLE AS df, count(*)::DOUBLE AS c, avg(ln(rss / df)) AS m, var_pop(ln(rss / df)) AS v FROM {fits} WHERE df > 0 AND rss > 0 GROUP BY 1),
+me AS (SELECT *, m - {digamma('(df / 2)')} + ln(df / 2) AS e, {trigamma('(df / 2)')} AS tri FROM mz),
+mt AS (SELECT sum(c) AS total, sum(c * e) / sum(c) AS mean, sum(c * df) AS pool FROM me),
+ms AS (SELECT any_value(total) AS total, any_value(mean) AS mean, any_value(pool) AS pool,
+  sum(c * (v + pow(e - mean, 2))) / (any_value(total) - 1) - sum(c * tri) / any_value(total) AS spread FROM me, mt),
+mb(i, lo, hi) AS (SELECT 0, -20.0::DOUBLE, 20.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN {trigamma('exp((lo + hi) / 2)')} > spread THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN {trigamma('exp((lo + hi) / 2)')} > spread THEN hi ELSE (lo + hi) / 2 END FROM mb, ms WHERE i < 70),
+mp AS (SELECT *, 2 * exp((lo + hi) / 2) AS d0, exp(mean + {digamma('exp((lo + hi) / 2)')} - (lo + hi) / 2) AS s02 FROM ms, mb WHERE i = 70),
+{out} AS (SELECT f.*, CASE WHEN df > 0 THEN CASE WHEN spread > 0 THEN (d0 * s02 + rss) / (d0 + df) ELSE exp(mean) END END AS s2_post,
+  CASE WHEN df > 0 THEN CASE WHEN spread > 0 THEN least(df + d0, pool) ELSE pool END END AS df_total FROM {fits} f, mp)"""
