@@ -423,4 +423,9 @@ query("q19_impute_knn", f"WITH {LOGB}, {_neighbours_sql('lcells', 'features', 's
     lambda s, d: I.impute(N.analysis_scale(TT.brands(s, d)), "knn"))
 query("q19_impute_knn_parts", f"WITH {TT.YEARS_SQL}, {_neighbours_sql('cells', 'features', 'samples')} SELECT feature_id, sample_id, {r('value')} AS value FROM knn")(
     lambda s, d: I.impute(TT.yearly(s, d), "knn"))
-query("q22_impute_mixed")(lambda s, d: I.impute(N.analysis_scale(TT.brands(s, d)), "mixed"))
+query("q22_impute_mixed", f"""WITH {LOGB}, {_neighbours_sql('lcells', 'features', 'samples')}, m AS (SELECT sample_id, quantile_cont(value, 0.01::DOUBLE) v FROM lcells GROUP BY 1),
+sd AS (SELECT stddev_samp(value) s FROM lcells GROUP BY feature_id HAVING count(*) > 0.5 * (SELECT count(*) FROM samples)), sp AS (SELECT CASE WHEN count(*) >= 2 THEN median(s) END AS sp FROM sd),
+fm AS (SELECT feature_id, avg(value) AS mm FROM lcells GROUP BY 1), sh AS (SELECT 1 - (SELECT count(*) FROM lcells)::DOUBLE / ((SELECT count(*) FROM features) * (SELECT count(*) FROM samples)) AS share),
+ls AS (SELECT list_sort(list(mm)) AS l, any_value(share) * (count(*) - 1) AS h FROM fm, sh), li AS (SELECT l[floor(h)::INT + 1] + (h - floor(h)) * (coalesce(l[floor(h)::INT + 2], l[floor(h)::INT + 1]) - l[floor(h)::INT + 1]) AS line FROM ls)
+SELECT feature_id, sample_id, {r(f"CASE WHEN mm > line THEN value ELSE coalesce(v, 0) + coalesce(sp, 0) * {_norm_sql(1234)} END", 5)} AS value
+FROM knn LEFT JOIN fm USING (feature_id) LEFT JOIN m USING (sample_id), sp, li""", 5)(lambda s, d: I.impute(N.analysis_scale(TT.brands(s, d)), "mixed"))
