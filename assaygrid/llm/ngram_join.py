@@ -22,8 +22,10 @@ from assaygrid.session import cut
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
+# A hash with up to FEW keys gives all their pairs. Kinds of rows on the way there: a key, a key of many, a link of a star.
+FEW, MANY, STAR = 16, 1, 2
 # A candidate group is verified in blocks of at most this many sets and about this many shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -44,24 +46,32 @@ def bands(up_to: int, num: int, den: int, crowd: float, alike: float) -> list[Ba
 
     For sizes y <= x the difference is at most (den - num)(x + y) / (den + num). Every allocation has
     exact + 2 * loose = H + 1 + spare: `spare` further agreements let sets leave out as many empty
-    segments. The model takes the split with the least cost: hashes emitted, plus candidates
-    expected from `crowd` documents that share a fraction `alike` of their shingles.
+    segments, and as many are taken as all but one set in a thousand need. The model takes the split
+    with the least cost: hashes emitted, plus candidates expected from `crowd` documents that share a
+    fraction `alike` of their shingles.
     """
+    import math
+
     out, low = [], 1
     while low <= up_to:
         high = max(low, low * den // num)
         reach = high * den // num
-        need = (den - num) * (high + reach) // (den + num) + 2
+        base = (den - num) * (high + reach) // (den + num) + 1
 
-        def cost(loose):
+        def cost(loose, need):
             segments = need - loose
             size = high / segments
             emitted = segments - loose + loose * (1 + size)
             chance = (segments - loose) * alike**size + loose * (size + 1) * alike ** max(size - 1, 0)
             return emitted + crowd * chance
 
-        loose = min(range(need // 2 + 1), key=cost)
-        out.append(Band(len(out), low, high, reach, need - 2 * loose, loose))
+        for spare in range(1, 2 + low // 2):
+            need = base + spare
+            loose = min(range(need // 2 + 1), key=lambda k: cost(k, need))
+            empty = (need - loose) * math.exp(-low / (need - loose))
+            if 1 - sum(math.exp(k * math.log(empty) - empty - math.lgamma(k + 1)) for k in range(spare + 1)) < 1e-3:
+                break
+        out.append(Band(len(out), low, high, reach, need - 2 * loose, loose, spare))
         low = high + 1
     return out
 
@@ -120,11 +130,17 @@ def set_key(s) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def signatures(s, plan: list[Band]):
-    """Hashes under which a set is indexed, over all bands that it takes part in."""
+def signatures(s, plan: list[Band], common=None):
+    """Hashes under which a set is indexed, over all bands that it takes part in.
+
+    Shingles in the sorted array `common` are left out of the segments: leaving the same shingles out
+    of two sets does not enlarge their difference, so the pigeonhole holds for what remains.
+    """
     import numpy as np
 
     n, out = len(s), []
+    if common is not None and len(common) and n:
+        s = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
     spread = mix(s)
     for b in plan:
         if not b.low <= n <= b.reach:
@@ -133,16 +149,15 @@ def signatures(s, plan: list[Band]):
         segment = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         at = segment[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        first = np.flatnonzero(np.diff(at, prepend=-1))
         name = at[first]
-        sums = np.add.reduceat(spread[order], first)
+        sums = np.add.reduceat(spread[order], first) if len(first) else spread[:0]
         tag = np.uint64((b.number + 1) * BASE & MASK) + name.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         out.append(mix(sums + tag))
         if b.loose:
             wide = name >= b.exact
-            each = wide[np.cumsum(np.concatenate(([0], at[1:] != at[:-1])))]
-            whole = np.repeat(sums, np.diff(np.concatenate((first, [n]))))
-            each_tag = np.repeat(tag, np.diff(np.concatenate((first, [n]))))
+            counts = np.diff(np.append(first, len(s)))
+            each, whole, each_tag = np.repeat(wide, counts), np.repeat(sums, counts), np.repeat(tag, counts)
             out.append(mix((whole - spread[order] + each_tag)[each]))
         empty = m - len(name)
         # An empty segment of weight 2 stands for two agreements. Sets with few empty segments have a full one in common.
@@ -153,50 +168,115 @@ def signatures(s, plan: list[Band]):
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s) -> bytes:
+    """Parities of the numbers of shingles in about as many bins as the set has members (64 to 8192), as bits.
+
+    The number of bins in which two sets differ never exceeds their difference.
+    """
+    import numpy as np
+
+    bits = min(13, max(6, int(len(s) - 1).bit_length() if len(s) > 1 else 6))
+    bins = (mix(s) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bins in which two sketches differ; the finer one is folded to the coarser one's bins."""
+    import numpy as np
+
+    if len(a) != len(b):
+        fine, coarse = (a, b) if len(a) > len(b) else (b, a)
+        x = np.unpackbits(np.frombuffer(fine, dtype=np.uint8))
+        while len(x) > 8 * len(coarse):
+            x = x[::2] ^ x[1::2]
+        a, b = np.packbits(x).tobytes(), coarse
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
 def identified(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2): the size and identity of every document's set."""
+    """(doc_id, n_shingles, k1, k2, sketch): the size, identity and sketch of every document's set."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, k1, k2 = [], [], []
+            n, k1, k2, marks = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), words)
                 a, b = set_key(s)
                 n.append(len(s))
                 k1.append(a)
                 k2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())],
-                                             ["doc_id", "n_shingles", "k1", "k2"])
+                marks.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                                              pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
 
-    return _pair(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return _pair(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
 def _pair(docs, id_col, text_col):
     return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
 
 
-def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str, text_col: str) -> DataFrame:
-    """(a, b), set keys that stand under one hash, as stars: every key of a hash with the least of them.
+def common_shingles(docs: DataFrame, documents: int, words: int, id_col: str, text_col: str, sample: int = 16_000, share: float = 0.002):
+    """Sorted hashes of shingles that stand in a share of a sample of the documents (eight of them at least).
+
+    Only the plan depends on them: without such shingles fewer unlike documents become candidates, and
+    whichever are named, no link is lost. About `sample` documents are drawn by a hash of their
+    id, and at most (shingles a document) / share hashes come back, however many documents there are.
+    """
+    import numpy as np
+
+    drawn = F.pmod(F.xxhash64(column(docs, id_col)), F.lit(1_000_000)) < F.lit(min(1_000_000, int(1_000_000 * sample / max(1, documents)) + 1))
+
+    def run(batches):
+        import pyarrow as pa
 
-    A task first joins what it holds itself: of equal hashes one key goes on and the others are
-    linked with it there, so a hash that very many documents share reaches the shuffle once a task.
+        held, n = [], 0
+        for batch in batches:
+            for t in batch.column(1):
+                held.append(shingle_set(t.as_py(), words))
+                n += len(held[-1])
+                if n > 2_000_000:
+                    h, c = np.unique(np.concatenate(held), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+                    held, n = [], 0
+        if held:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+
+    counts = _pair(docs.where(drawn), id_col, text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(8, int(share * min(sample, documents)))).select("h").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str, text_col: str, common=None) -> DataFrame:
+    """(a, b, star), set keys that stand under one hash.
+
+    Up to FEW keys under a hash come as all their pairs. More come as a star, every key with one of
+    them, so a hash gives at most FEW rows a key. A task that holds more than FEW keys of a hash sends on one
+    of them and the star of the others, so very frequent hashes reach the shuffle once a task.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+    names = ["sig", "a", "b", "kind"]
+
     def emit(batches):
         import numpy as np
         import pyarrow as pa
 
         def pool(sig, key):
-            sig, key = np.concatenate(sig), np.concatenate(key)
-            order = np.lexsort((key, sig))
-            sig, key = sig[order], key[order]
-            new = np.concatenate(([True], sig[1:] != sig[:-1]))
-            least = key[np.flatnonzero(new)][np.cumsum(new) - 1]
-            other = key != least
-            a, b = _distinct(key[other], least[other])
+            sig, key = _distinct(np.concatenate(sig), np.concatenate(key))
+            new = np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(sig)))
+            many = np.repeat(counts > FEW, counts)
+            lead = np.repeat(key[first], counts)
+            link = many & (key != lead)
+            go = ~link
+            kind = np.concatenate((many[go].astype(np.int8), np.full(int(link.sum()), STAR, np.int8)))
+            where = np.concatenate((sig[go].view(np.int64), mix(key[link].view(np.uint64)).view(np.int64)))
             return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate((sig[new].view(np.int64), mix(a.view(np.uint64)).view(np.int64)))),
-                pa.array(np.concatenate((key[new], a))), pa.array(np.concatenate((key[new], b)))], ["sig", "a", "b"])
+                pa.array(where), pa.array(np.concatenate((key[go], key[link]))),
+                pa.array(np.concatenate((np.zeros(int(go.sum()), np.int64), lead[link]))), pa.array(kind)], names)
 
         sig, key, held = [], [], 0
         for batch in batches:
@@ -206,7 +286,7 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
                 s = shingle_set(t.as_py(), words)
                 if not len(s):
                     continue
-                x = signatures(s, plan)
+                x = signatures(s, plan, sent.value)
                 sig.append(x)
                 key.append(np.full(len(x), set_key(s)[0], dtype=np.int64))
                 held += len(x)
@@ -220,28 +300,74 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
         import numpy as np
         import pyarrow as pa
 
-        last, least = None, 0
+        def out(a, b, star):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.broadcast_to(star, a.shape))], ["a", "b", "star"])
+
+        def bucket(sig, key, kind):
+            """Pairs and stars of whole buckets."""
+            first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
+            counts = np.diff(np.append(first, len(sig)))
+            many = np.repeat((counts > FEW) | (np.maximum.reduceat(kind, first) == MANY), counts)
+            lead = np.repeat(key[first], counts)
+            star = many & (key != lead)
+            yield _distinct(key[star], lead[star]), True
+            few, fk = sig[~many], key[~many]
+            for d in range(1, min(FEW, len(few))):
+                same = (few[d:] == few[:-d]) & (fk[d:] != fk[:-d])
+                if not (few[d:] == few[:-d]).any():
+                    break
+                yield _distinct(np.maximum(fk[d:][same], fk[:-d][same]), np.minimum(fk[d:][same], fk[:-d][same])), False
+
+        rest = None  # the rows of the last bucket, which the next batch may go on with; a long one is cut to its star's centre
         for batch in batches:
-            sig, a, b = (batch.column(i).to_numpy() for i in range(3))
-            if not len(sig):
+            sig, a, b, kind = (batch.column(i).to_numpy() for i in range(4))
+            link = kind == STAR
+            if link.any():
+                x, y = _distinct(a[link], b[link])
+                yield out(x, y, True)
+            now = sig[~link], a[~link], kind[~link]
+            if rest is not None:
+                now = tuple(np.concatenate(p) for p in zip(rest, now))
+            if not len(now[0]):
                 continue
-            # Rows with a = b are keys under a hash; others are links made before and pass through.
-            own = a == b
-            s, k = sig[own], a[own]
-            x, y = a[~own], b[~own]
-            if len(s):
-                new = np.concatenate(([last is None or s[0] != last], s[1:] != s[:-1]))
-                firsts = np.flatnonzero(new)
-                lead = np.concatenate(([least], k[firsts]))[np.cumsum(new)]
-                last, least = s[-1], lead[-1]
-                other = k != lead
-                x, y = np.concatenate((x, k[other])), np.concatenate((y, lead[other]))
-            if len(x):
-                x, y = _distinct(x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    found = _pair(docs, id_col, text_col).mapInArrow(emit, "sig long, a long, b long")
-    return found.repartition("sig").sortWithinPartitions("sig", "a", "b").mapInArrow(join, "a long, b long").distinct()
+            cut_at = np.searchsorted(now[0], now[0][-1])
+            done, rest = [p[:cut_at] for p in now], [p[cut_at:] for p in now]
+            if len(rest[0]) > FEW:
+                x, y = _distinct(rest[1][1:], np.repeat(rest[1][:1], len(rest[1]) - 1))
+                yield out(x[x != y], y[x != y], True)
+                rest = rest[0][:1], rest[1][:1], np.full(1, MANY, rest[2].dtype)
+            if len(done[0]):
+                for (x, y), star in bucket(*done):
+                    if len(x):
+                        yield out(x, y, star)
+        if rest is not None and len(rest[0]):
+            for (x, y), star in bucket(*rest):
+                if len(x):
+                    yield out(x, y, star)
+
+    found = _pair(docs, id_col, text_col).mapInArrow(emit, "sig long, a long, b long, kind byte")
+    return found.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(join, "a long, b long, star boolean").distinct()
+
+
+def possible_links(near: DataFrame, seen: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the stars, and those pairs whose sizes and sketches do not rule a link out."""
+    marks = cut(seen.groupBy("k1").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "jaccard-sketches")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = (den - num) * (na + nb) // (den + num)
+            fit = num * np.maximum(na, nb) <= den * np.minimum(na, nb)
+            differ = [f and sketches_differ(x, y) <= m for f, x, y, m in zip(fit, batch.column(4).to_pylist(), batch.column(5).to_pylist(), most)]
+            yield batch.select(["a", "b"]).filter(pa.array([bool(d) for d in differ], pa.bool_()))
+
+    one = marks.select(F.col("k1").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    two = marks.select(F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    pairs = near.where("not star").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return near.where("star").select("a", "b").unionByName(pairs.mapInArrow(run, "a long, b long"))
 
 
 def _distinct(a, b):
@@ -361,8 +487,9 @@ def jaccard_components(
     longest = seen.agg(F.max("n_shingles")).first()[0] or 0
     full = seen.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "jaccard-classes")
-    near = cut(candidate_links(docs, words, bands(longest, num, den, crowd, alike), id_col, text_col), "jaccard-candidates")
-    groups = cut(components(near), "jaccard-groups")
+    common = common_shingles(docs, seen.count(), words, id_col, text_col)
+    near = cut(candidate_links(docs, words, bands(longest, num, den, crowd, alike), id_col, text_col, common), "jaccard-candidates")
+    groups = cut(components(possible_links(near, full, num, den)), "jaccard-groups")
     members = classes.join(groups, classes["k1"] == groups["v"]).select(
         F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles", "root")
     links = verified_links(docs, members, words, num, den, id_col, text_col)
@@ -373,7 +500,7 @@ def jaccard_components(
     labels = cut(classes.join(found, classes["rep"] == found["v"], "left").select(
         "k1", "k2", F.coalesce("root", "rep").alias("component_id")), "jaccard-labels")
     # Ids with several texts are one vertex, whatever set a row holds.
-    out = seen.join(labels, ["k1", "k2"], "left")
+    out = seen.drop("sketch").join(labels, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 

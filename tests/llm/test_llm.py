@@ -89,17 +89,19 @@ def test_signatures_lose_no_pair(num, den, crowd):
     """Random pairs at and around the threshold share a hash, small and uneven sizes included."""
     rng = np.random.default_rng(5)
     plan = ngram_join.bands(400, num, den, crowd, 0.3)
+    often = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
     hit = 0
     for _ in range(3000):
         n = int(rng.integers(1, 60))
-        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        s = np.unique(np.concatenate((rng.integers(0, 2**63, n).astype(np.uint64), rng.choice(often, int(rng.integers(0, 50))))))
         t = s[rng.random(len(s)) > rng.random() * (1 - num / den)]
         extra = rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 6) + 1))).astype(np.uint64)
         t = np.unique(np.concatenate((t, extra)))
         both = len(np.intersect1d(s, t))
         if len(t) and den * both >= num * (len(s) + len(t) - both):
             hit += 1
-            assert np.intersect1d(ngram_join.signatures(s, plan), ngram_join.signatures(t, plan)).size
+            for common in (None, often):
+                assert np.intersect1d(ngram_join.signatures(s, plan, common), ngram_join.signatures(t, plan, common)).size
     assert hit > 300
     if crowd == 1e9:
         assert any(b.loose for b in plan)
