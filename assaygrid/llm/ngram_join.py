@@ -46,7 +46,7 @@ def bands(up_to: int, num: int, den: int, crowd: float, alike: float) -> list[Ba
 
     For sizes y <= x the difference is at most (den - num)(x + y) / (den + num). Every allocation has
     exact + 2 * loose = H + 1 + spare: `spare` further agreements let sets leave out as many empty
-    segments, and as many are taken as all but one set in a thousand need. The model takes the split
+    segments, and as many are taken as all but about one set in a thousand need. The model takes the split
     with the least cost: hashes emitted, plus candidates expected from `crowd` documents that share a
     fraction `alike` of their shingles.
     """
@@ -65,12 +65,15 @@ def bands(up_to: int, num: int, den: int, crowd: float, alike: float) -> list[Ba
             chance = (segments - loose) * alike**size + loose * (size + 1) * alike ** max(size - 1, 0)
             return emitted + crowd * chance
 
-        for spare in range(1, 2 + low // 2):
+        spare = 1
+        while True:
             need = base + spare
-            loose = min(range(need // 2 + 1), key=lambda k: cost(k, need))
+            loose = min({need // 2 * i // 32 for i in range(33)}, key=lambda k: cost(k, need))
             empty = (need - loose) * math.exp(-low / (need - loose))
-            if 1 - sum(math.exp(k * math.log(empty) - empty - math.lgamma(k + 1)) for k in range(spare + 1)) < 1e-3:
+            more = min(1 + low // 2, math.ceil(empty + 3.1 * math.sqrt(empty)))
+            if more <= spare:
                 break
+            spare = more
         out.append(Band(len(out), low, high, reach, need - 2 * loose, loose, spare))
         low = high + 1
     return out
