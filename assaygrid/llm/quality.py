@@ -180,4 +180,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_c
                 good = model.scores(statistics(some.column(place).to_pylist())) >= threshold
                 yield some.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Plain names on the way: a dotted one could not be passed to the task.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
