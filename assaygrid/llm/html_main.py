@@ -66,7 +66,9 @@ def parse(html: str | None):
     import xxhash
 
     html = html or ""
-    # Open elements: [tag, unwanted?, inside an article?, node]. Nodes: [parent, hasher, hash, droppable?].
+    # Open elements: [tag, unwanted?, inside an article?, node, text set aside]. Inline elements that are wanted are not
+    # kept: their text is their block's. An unwanted one sets the text before it aside and drops its own at its end.
+    # Nodes: [parent, hasher, hash, droppable?].
     nodes: list[list] = []
     stack: list[list] = []
     found: list[tuple] = []
@@ -83,17 +85,28 @@ def parse(html: str | None):
                     found.append((words, stack[-1][3] if stack else -1, bool(stack and stack[-1][2])))
 
     def push(tag, attrs):
-        up = stack[-1] if stack else ["", False, False, -1]
+        up = stack[-1] if stack else ["", False, False, -1, None]
+        drop, aside = up[1] or unwanted(tag, attrs), None
+        if tag not in BLOCK:
+            if not drop:
+                return
+            if not up[1]:
+                aside = text[:]
+                text.clear()
         root = tag in ("article", "main")
         inside = up[2] or root
-        droppable = not root and tag not in ("html", "body") and not (inside and (tag in PROSE or tag not in BLOCK))
+        droppable = not root and tag not in ("html", "body") and not (inside and tag in PROSE)
         node = [up[3], xxhash.xxh3_64("<" + tag), 0, droppable]
-        stack.append([tag, up[1] or unwanted(tag, attrs), inside, len(nodes)])
+        stack.append([tag, drop, inside, len(nodes), aside])
         nodes.append(node)
 
     def pop():
-        flush()
-        tag, _, _, k = stack.pop()
+        tag, _, _, k, aside = stack[-1]
+        if tag in BLOCK:
+            flush()
+        elif aside is not None:
+            text[:] = aside
+        stack.pop()
         nodes[k][2] = nodes[k][1].intdigest() - (1 << 63)
         for x in stack:
             nodes[x[3]][1].update("</" + tag)

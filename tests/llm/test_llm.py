@@ -408,7 +408,7 @@ def fold(i, m):
 def test_quality(spark, labelled):
     docs, labels, texts, marks = labelled
     got = quality.score(docs, labels).collect()
-    assert Counter(r.doc_id for r in got) == Counter(texts)
+    assert Counter(r.doc_id for r in got) == Counter(texts.keys())
     held = [r for r in got if r.held_out and marks.get(r.doc_id, (0, None))[1] is not None]
     assert all(r.held_out == (fold(r.doc_id, 3) == 1) for r in got if r.doc_id is not None)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
@@ -520,12 +520,13 @@ def test_main_text(spark):
                                    "<ul><li>i<li>ii</ul><section id=comments><p>lol</p></section><form><input><p>f</p></form></article><footer>&copy;</footer>")),
             (2, "http://a/2", None), (3, None, ""), (4, "http://a/4", "plain < text &lt;p&gt; &am"), (5, "x", page("<div>body only</div><aside>s</aside><p hidden>h</p>")),
             (5, "x", page("<div>body only</div><aside>s</aside><p hidden>h</p>")), (6, "http://a/6", "<article><p>cut <b>off</b> her"), (7, "http://a/7", "<article><p>cut <a href='x"),
-            (8, "http://a/8", "<nav><ul><li>m<article><p>kept</article>"), (9, "http://a/9", "<p>" + "w " * 50_000 + "</p>")]
+            (8, "http://a/8", "<nav><ul><li>m<article><p>kept</article>"),
+            (10, "http://a/10", "<article><p>be<i>fore</i> <span class=ad><span>buy</span> now</span>af<b>ter</b></p><label>l</label></article>"), (9, "http://a/9", "<p>" + "w " * 50_000 + "</p>")]
     rows += [(100 + i, "http://www.T.org:80/%d" % i, page(f"<div>Story {i}</div><p>Same opening line</p><p>About {i * i}</p>{tip}")) for i in range(30)]
     rows += [(200 + i, "http://c.org/%d" % i, page("<div>copied page</div><p>all the same</p>")) for i in range(30)]
     rows += [(300 + i, "http://d.org/%d" % i, page(f"<article><p>Shared first line</p><p>No {i}</p>{tip}</article>")) for i in range(30)]
     got = Counter((r.page_id, r.text) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
-    want = {1: "A & B\n\nOne two three x\n\nFour\n\ni\n\nii", 2: "", 3: "", 4: "plain < text <p> &am", 5: "body only", 6: "cut off her", 7: "cut", 8: "kept", 9: ("w " * 50_000).strip()}
+    want = {1: "A & B\n\nOne two three x\n\nFour\n\ni\n\nii", 2: "", 3: "", 4: "plain < text <p> &am", 5: "body only", 6: "cut off her", 7: "cut", 8: "kept", 10: "before after", 9: ("w " * 50_000).strip()}
     want |= {100 + i: f"Story {i}\n\nAbout {i * i}" for i in range(30)} | {200 + i: "copied page\n\nall the same" for i in range(30)}
     want |= {300 + i: f"Shared first line\n\nNo {i}" for i in range(30)}
     assert got == Counter((r[0], want[r[0]]) for r in rows)
