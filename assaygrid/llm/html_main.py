@@ -54,12 +54,13 @@ def unwanted(tag: str, attrs: str) -> bool:
 
 
 def parse(html: str | None):
-    """(blocks, whole): blocks are (text, hashes of the subtrees it lies in), in page order.
+    """(blocks, whole): blocks are (text, hashes of the subtrees it lies in, in an unwanted part?), in page order.
 
-    Only blocks of wanted parts come back: those inside article or main elements if these hold any,
-    else all. A subtree's hash covers its tags and its text with white space made single. Inside an
-    article, paragraphs, headings, list items and cells are content and carry no hash; only what
-    contains them may be a template. `whole` hashes all the text that came back.
+    Wanted blocks are those inside article or main elements if these hold any, else all; blocks of
+    unwanted parts come back too, so that their subtrees are counted. A subtree's hash covers its
+    tags and its text with white space made single. Inside an article, paragraphs, headings, list
+    items and cells are content and carry no hash; only what contains them may be a template.
+    `whole` hashes all the wanted text.
     """
     from html import unescape
 
@@ -81,8 +82,7 @@ def parse(html: str | None):
             if words:
                 for x in stack:
                     nodes[x[3]][1].update("\0" + words)
-                if not (stack and stack[-1][1]):
-                    found.append((words, stack[-1][3] if stack else -1, bool(stack and stack[-1][2])))
+                found.append((words, stack[-1][3] if stack else -1, bool(stack and stack[-1][2]), bool(stack and stack[-1][1])))
 
     def push(tag, attrs):
         up = stack[-1] if stack else ["", False, False, -1, None]
@@ -159,18 +159,19 @@ def parse(html: str | None):
     flush()
     while stack:
         pop()
-    if any(inside for _, _, inside in found):
-        found = [x for x in found if x[2]]
+    if any(inside and not part for _, _, inside, part in found):
+        found = [x for x in found if x[2] or x[3]]
     blocks = []
     whole = xxhash.xxh3_64()
-    for words, k, _ in found:
+    for words, k, _, part in found:
         chain = []
         while k >= 0:
             if nodes[k][3]:
                 chain.append(nodes[k][2])
             k = nodes[k][0]
-        blocks.append((words, chain))
-        whole.update(words + "\n")
+        blocks.append((words, chain, part))
+        if not part:
+            whole.update(words + "\n")
     return blocks, whole.intdigest() - (1 << 63)
 
 
@@ -179,17 +180,17 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64())), ("part", pa.bool_())]))
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)
                 done = [parse(h.as_py()) for h in some.column(2)]
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), some.column(1), pa.array([[{"text": t, "chain": c} for t, c in b] for b, _ in done], kind),
+                    some.column(0), some.column(1), pa.array([[{"text": t, "chain": c, "part": p} for t, c, p in b] for b, _ in done], kind),
                     pa.array([w for _, w in done], pa.int64())], ["page_id", "url", "blocks", "whole"])
 
     own = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).alias("url"), column(pages, html_col).alias("html"))
-    out = own.mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,chain:array<long>>>, whole long")
+    out = own.mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,chain:array<long>,part:boolean>>, whole long")
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return out.withColumn("host", F.when(host != "", host))
 
@@ -213,7 +214,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: page_id, url, text, n_chars, n_removed.
 
     Pages are parsed once, whole, and kept as blocks with the hashes of the subtrees around them;
-    the hashes are counted by host, and a page loses the blocks inside a subtree that recurs. Null or
+    the hashes are counted by host, unwanted parts included, and a page loses the n_removed blocks
+    inside a subtree that recurs. What is left of the parts that name their role goes after that. Null or
     empty html gives the empty text; pages without a host lose no template; broken or cut markup is
     read as far as it goes. Character references are decoded, white space inside a block becomes one
     space, blocks are joined by two line feeds. Repeated ids are pages of their own. No rows, no result.
@@ -221,7 +223,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     seen = cut(parsed(pages, id_col, url_col, html_col), "page-blocks")
     found = cut(templates(seen, least, share), "page-templates").withColumnRenamed("host", "of")
     joined = seen.join(found, F.col("host") == F.col("of"), "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["chain"], F.col("hashes")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"),
-                         (F.size("blocks") - F.size(kept)).cast("long").alias("n_removed"))
+    # The one-element array binds the page's own templates, so that they are looked up once a page.
+    own = F.array_intersect(F.flatten(F.col("blocks.chain")), F.coalesce("hashes", F.array().cast("array<long>")))
+    left = F.element_at(F.transform(F.array(own), lambda t: F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], t))), 1)
+    kept = joined.select("page_id", "url", F.size("blocks").alias("n"), left.alias("left"))
+    text = F.array_join(F.transform(F.filter("left", lambda b: ~b["part"]), lambda b: b["text"]), "\n\n")
+    return kept.select("page_id", "url", "n", F.size("left").alias("rest"), text.alias("text")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.col("n") - F.col("rest")).cast("long").alias("n_removed"))

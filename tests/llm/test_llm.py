@@ -533,6 +533,12 @@ def test_main_text(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_counts_parts_that_name_their_role(spark):
+    rows = [(i, "http://n.org/%d" % i, f"<body><nav><ul><li>Home<li>News</ul></nav><div class=ad>Buy {i}</div><article><p>Same line</p><p>No {i}</p></article></body>") for i in range(30)]
+    got = {tuple(r) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text", "n_removed").collect()}
+    assert got == {(i, f"Same line\n\nNo {i}", 2) for i in range(30)}
+
+
 # pipeline
 
 
