@@ -16,6 +16,7 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr caption figcaption summary".split())
+ITEMS = frozenset("li dt dd td th option".split())
 DROPPED = frozenset("""script style noscript template svg math iframe object embed audio video canvas map nav header footer aside form button
 select textarea input label fieldset dialog menu head title datalist frame frameset noembed noframes xmp""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -23,6 +24,10 @@ PARTS = frozenset("""ad ads adsense advert adverts advertisement advertising spo
 consent gdpr notice notices popup modal overlay newsletter subscribe subscription paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar
 rail footer header masthead comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations
 widget widgets toolbar pagination pager pagenav login signup signin search skip skiplink""".split())
+# A block of so many words is prose, also in a list; a container with so many words of prose may be a story.
+LONG, MANY = 12, 30
+# Kinds of subtrees, strictest bound first: what may be article prose, a container with much prose, one with little.
+PROSE_LIKE, FULL, LIGHT = 0, 1, 2
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 
 TOKEN = re.compile(
@@ -54,13 +59,14 @@ def unwanted(tag: str, attrs: str) -> bool:
 
 
 def parse(html: str | None):
-    """(blocks, whole): blocks are (text, hashes of the subtrees it lies in, in an unwanted part?), in page order.
+    """(blocks, whole, kinds): blocks are (text, hashes of the subtrees it lies in, in an unwanted part?), in page order.
 
     Wanted blocks are those inside article or main elements if these hold any, else all; blocks of
     unwanted parts come back too, so that their subtrees are counted. A subtree's hash covers its
     tags and its text with white space made single. Inside an article, paragraphs, headings, list
     items and cells are content and carry no hash; only what contains them may be a template.
-    `whole` hashes all the wanted text.
+    `whole` hashes all the wanted text. `kinds` has the kind of every subtree by its hash: containers
+    outside articles are LIGHT or FULL by their words of prose, everything else is PROSE_LIKE.
     """
     from html import unescape
 
@@ -69,7 +75,7 @@ def parse(html: str | None):
     html = html or ""
     # Open elements: [tag, unwanted?, inside an article?, node, text set aside]. Inline elements that are wanted are not
     # kept: their text is their block's. An unwanted one sets the text before it aside and drops its own at its end.
-    # Nodes: [parent, hasher, hash, droppable?].
+    # Nodes: [parent, hasher, hash, droppable?, container outside articles?, words of prose].
     nodes: list[list] = []
     stack: list[list] = []
     found: list[tuple] = []
@@ -80,8 +86,11 @@ def parse(html: str | None):
             words = " ".join("".join(text).split())
             text.clear()
             if words:
+                many = words.count(" ") + 1
+                prose = many if many >= LONG or not any(x[0] in ITEMS for x in stack[-2:]) else 0
                 for x in stack:
                     nodes[x[3]][1].update("\0" + words)
+                    nodes[x[3]][5] += prose
                 found.append((words, stack[-1][3] if stack else -1, bool(stack and stack[-1][2]), bool(stack and stack[-1][1])))
 
     def push(tag, attrs):
@@ -96,7 +105,7 @@ def parse(html: str | None):
         root = tag in ("article", "main")
         inside = up[2] or root
         droppable = not root and tag not in ("html", "body") and not (inside and tag in PROSE)
-        node = [up[3], xxhash.xxh3_64("<" + tag), 0, droppable]
+        node = [up[3], xxhash.xxh3_64("<" + tag), 0, droppable, not inside and tag not in PROSE, 0]
         stack.append([tag, drop, inside, len(nodes), aside])
         nodes.append(node)
 
@@ -162,58 +171,67 @@ def parse(html: str | None):
     if any(inside and not part for _, _, inside, part in found):
         found = [x for x in found if x[2] or x[3]]
     blocks = []
+    kinds: dict = {}
     whole = xxhash.xxh3_64()
     for words, k, _, part in found:
         chain = []
         while k >= 0:
             if nodes[k][3]:
                 chain.append(nodes[k][2])
+                kinds[nodes[k][2]] = (LIGHT if nodes[k][5] < MANY else FULL) if nodes[k][4] else PROSE_LIKE
             k = nodes[k][0]
         blocks.append((words, chain, part))
         if not part:
             whole.update(words + "\n")
-    return blocks, whole.intdigest() - (1 << 63)
+    return blocks, whole.intdigest() - (1 << 63), kinds
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, host, blocks, whole)."""
+    """(page_id, url, host, blocks, whole, kinds)."""
     def run(batches):
         import pyarrow as pa
 
+        subtree = pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.int32())]))
         kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64())), ("part", pa.bool_())]))
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)
                 done = [parse(h.as_py()) for h in some.column(2)]
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), some.column(1), pa.array([[{"text": t, "chain": c, "part": p} for t, c, p in b] for b, _ in done], kind),
-                    pa.array([w for _, w in done], pa.int64())], ["page_id", "url", "blocks", "whole"])
+                    some.column(0), some.column(1), pa.array([[{"text": t, "chain": c, "part": p} for t, c, p in b] for b, _, _ in done], kind),
+                    pa.array([w for _, w, _ in done], pa.int64()), pa.array([[{"hash": h, "kind": n} for h, n in k.items()] for _, _, k in done], subtree)],
+                    ["page_id", "url", "blocks", "whole", "kinds"])
 
     own = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).alias("url"), column(pages, html_col).alias("html"))
-    out = own.mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,chain:array<long>,part:boolean>>, whole long")
+    out = own.mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,chain:array<long>,part:boolean>>, whole long, kinds array<struct<hash:long,kind:int>>")
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return out.withColumn("host", F.when(host != "", host))
 
 
-def templates(seen: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, hashes): subtrees that stand on at least `least` pages, and on `share` of the pages, of a host.
+def templates(seen: DataFrame, bounds) -> DataFrame:
+    """(host, hashes): subtrees that stand on at least so many pages, and on such a share of the pages, of a host.
 
-    Pages of one host with the same text count once, so copies of an article do not make it a template.
-    At most (subtrees a page) / share hashes of a host can pass, which bounds the array.
+    `bounds` has (pages, share) by the kind of the subtree. Pages of one host with the same text count once, so copies
+    of an article do not make it a template. At most (subtrees a page) / (least share) hashes of a host can pass, which
+    bounds the array.
     """
     own = seen.where("host is not null")
     pages = own.groupBy("host", "whole").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    hashes = own.select("host", "whole", F.explode(F.array_distinct(F.flatten(F.col("blocks.chain")))).alias("hash"))
-    often = hashes.groupBy("host", "hash", "whole").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(
-        F.count("*").alias("n")).where(F.col("n") >= least)
-    return often.join(pages, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    hashes = own.select("host", "whole", F.inline("kinds"))
+    n = hashes.groupBy("host", "hash", "whole").agg(F.min("kind").alias("kind")).groupBy("host", "hash").agg(
+        F.count("*").alias("n"), F.min("kind").alias("kind"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(float(b[i])) for b in bounds]), F.col("kind") + 1)
+    often = n.where(F.col("n") >= pick(0)).join(pages, "host")
+    return often.where(F.col("n") >= pick(1) * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              least: int = 10, share: float = 0.5) -> DataFrame:
+              least: int = 10, share: float = 0.5, full=(100, 0.01), light=(3, 0.01)) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_removed.
 
-    Pages are parsed once, whole, and kept as blocks with the hashes of the subtrees around them;
+    A subtree is a template on at least `least` pages and the share `share` of its host. A container outside articles
+    is one too by the (pages, share) of `light`, if it holds little prose, or of `full`; these are low enough for
+    one section of a host and for hosts of few pages. Pages are parsed once, whole, and kept as blocks with the hashes of the subtrees around them;
     the hashes are counted by host, unwanted parts included, and a page loses the n_removed blocks
     inside a subtree that recurs. What is left of the parts that name their role goes after that. Null or
     empty html gives the empty text; pages without a host lose no template; broken or cut markup is
@@ -221,7 +239,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     space, blocks are joined by two line feeds. Repeated ids are pages of their own. No rows, no result.
     """
     seen = cut(parsed(pages, id_col, url_col, html_col), "page-blocks")
-    found = cut(templates(seen, least, share), "page-templates").withColumnRenamed("host", "of")
+    bounds = [(least, share), *((min(least, n), min(share, part)) for n, part in (full, light))]
+    found = cut(templates(seen, bounds), "page-templates").withColumnRenamed("host", "of")
     joined = seen.join(found, F.col("host") == F.col("of"), "left")
     # The one-element array binds the page's own templates, so that they are looked up once a page.
     own = F.array_intersect(F.flatten(F.col("blocks.chain")), F.coalesce("hashes", F.array().cast("array<long>")))

@@ -539,6 +539,20 @@ def test_main_text_counts_parts_that_name_their_role(spark):
     assert got == {(i, f"Same line\n\nNo {i}", 2) for i in range(30)}
 
 
+def test_main_text_templates_of_sections_and_small_hosts(spark):
+    side = lambda s: f"<div><ul><li>{s} news<li>{s} team</ul></div><div><div>Follow our {s} desk</div></div>"
+    story = "<div><p>" + "The very same story is told here " * 8 + "</p></div>"
+    page = lambda s, i: f"<body>{side(s)}<article><p>Same line</p><p>No {s} {i}</p></article></body>"
+    body = lambda s, i: f"<body>{side(s)}<div><p>Same line</p><p>No {s} {i}</p></div></body>"
+    parts = ["sport", "money", "art", "food"]
+    rows = [(1000 * k + i, f"http://big.org/{s}/{i}", body(s, i), f"No {s} {i}") for k, s in enumerate(parts) for i in range(15)]
+    rows += [(9000 + i, f"http://small.org/{i}", body("all", i), f"Same line\n\nNo all {i}") for i in range(4)]
+    rows += [(9100 + i, f"http://news.org/{i}", page("top", i), f"Same line\n\nNo top {i}") for i in range(5)]
+    rows += [(9200 + i, f"http://story.org/{i}", f"<body><div>Only here {i}</div>{story}</body>", f"Only here {i}\n\n" + ("The very same story is told here " * 8).strip()) for i in range(5)]
+    got = html_main.main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(r[0], r[3]) for r in rows}
+
+
 # pipeline
 
 
