@@ -61,11 +61,10 @@ def unwanted(tag: str, attrs: str) -> bool:
 def parse(html: str | None):
     """(blocks, whole, kinds): blocks are (text, hashes of the subtrees it lies in, in an unwanted part?), in page order.
 
-    Wanted blocks are those inside article or main elements if these hold any, else all; blocks of
-    unwanted parts come back too, so that their subtrees are counted. A subtree's hash covers its
+    All blocks come back, those of unwanted parts too, so that their subtrees are counted. A subtree's hash covers its
     tags and its text with white space made single. Inside an article, paragraphs, headings, list
     items and cells are content and carry no hash; only what contains them may be a template.
-    `whole` hashes all the wanted text. `kinds` has the kind of every subtree by its hash: containers
+    `whole` hashes the wanted text, only that of article and main elements if this is most of it. `kinds` has the kind of every subtree by its hash: containers
     outside articles are LIGHT or FULL by their words of prose, everything else is PROSE_LIKE.
     """
     from html import unescape
@@ -168,12 +167,11 @@ def parse(html: str | None):
     flush()
     while stack:
         pop()
-    if any(inside and not part for _, _, inside, part in found):
-        found = [x for x in found if x[2] or x[3]]
+    inner, outer = (sum(len(x[0]) for x in found if x[2] is side and not x[3]) for side in (True, False))
     blocks = []
     kinds: dict = {}
     whole = xxhash.xxh3_64()
-    for words, k, _, part in found:
+    for words, k, inside, part in found:
         chain = []
         while k >= 0:
             if nodes[k][3]:
@@ -181,7 +179,7 @@ def parse(html: str | None):
                 kinds[nodes[k][2]] = (LIGHT if nodes[k][5] < MANY else FULL) if nodes[k][4] else PROSE_LIKE
             k = nodes[k][0]
         blocks.append((words, chain, part))
-        if not part:
+        if not part and (inside or inner <= outer):
             whole.update(words + "\n")
     return blocks, whole.intdigest() - (1 << 63), kinds
 
@@ -233,7 +231,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     is one too by the (pages, share) of `light`, if it holds little prose, or of `full`; these are low enough for
     one section of a host and for hosts of few pages. Pages are parsed once, whole, and kept as blocks with the hashes of the subtrees around them;
     the hashes are counted by host, unwanted parts included, and a page loses the n_removed blocks
-    inside a subtree that recurs. What is left of the parts that name their role goes after that. Null or
+    inside a subtree that recurs. What is left of the parts that name their role goes after that; all else
+    stays, inside an article element or not. Null or
     empty html gives the empty text; pages without a host lose no template; broken or cut markup is
     read as far as it goes. Character references are decoded, white space inside a block becomes one
     space, blocks are joined by two line feeds. Repeated ids are pages of their own. No rows, no result.

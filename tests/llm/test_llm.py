@@ -553,6 +553,13 @@ def test_main_text_templates_of_sections_and_small_hosts(spark):
     assert {(r.page_id, r.text) for r in got} == {(r[0], r[3]) for r in rows}
 
 
+def test_main_text_keeps_a_story_beside_a_teaser(spark):
+    teaser = "<article><h2>Read next</h2></article>"
+    rows = [(i, "http://t.org/%d" % i, f"<body><nav>Home</nav><div id=story><p>Story {i} of many words</p></div>{teaser}</body>") for i in range(4)]
+    got = {tuple(r) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect()}
+    assert got == {(i, f"Story {i} of many words\n\nRead next") for i in range(4)}
+
+
 # pipeline
 
 
