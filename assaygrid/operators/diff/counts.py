@@ -242,51 +242,62 @@ def _prepare(layer: Layer, model, meta, index, factors: pd.Series):
     return rows, disp, log_s
 
 
-def _size_series(layer: Layer) -> pd.Series:
-    """Median-of-ratios factors; library sizes over their geometric mean when no feature is seen everywhere."""
-    sf = size_factors(layer).toPandas()
-    if len(sf) < layer.sample_count():
-        lib = layer.cells.groupBy("sample_id").agg(F.sum("value").alias("lib")).toPandas().set_index("sample_id").lib
-        return lib / np.exp(np.log(lib).mean())
-    return sf.set_index("sample_id").size_factor
+def _size_series(layer: Layer, factors: str) -> tuple[pd.Series, str]:
+    """Size factors and the name of the method that made them, for the result's `method`.
 
-
-def run_nb_wald(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH", filtering: bool = True) -> DataFrame:
+    "ratio" is median of ratios, refused when no feature is seen in every sample; "library" is library
+    sizes over their geometric mean; "ratio_or_library" takes the second only where the first is refused.
+    """
+    if factors not in ("ratio", "library", "ratio_or_library"):
+        raise ValueError(f"unknown size factors {factors!r}")
+    if factors != "library":
+        sf = size_factors(layer).toPandas()
+        if len(sf) >= layer.sample_count():
+            return sf.set_index("sample_id").size_factor, "deseq2"
+        if factors == "ratio":
+            raise ValueError("no feature is seen in every sample, so median of ratios is undefined; name factors='library' to use library sizes")
+    lib = layer.cells.groupBy("sample_id").agg(F.sum("value").alias("lib")).toPandas().set_index("sample_id").lib
+    return lib / np.exp(np.log(lib).mean()), "deseq2_library"
+
+
+def run_nb_wald(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH", filtering: bool = True, factors: str = "ratio") -> DataFrame:
     """Group contrasts with shrunken dispersions."""
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     model = _design(layer, meta, group_col, contrasts, covariates, block)
-    return _finish_wald(layer, meta, index, model, [c for c, _ in contrasts], "group", "log2FC", "group", filtering, adjust)
+    return _finish_wald(layer, meta, index, model, [c for c, _ in contrasts], "group", "log2FC", "group", filtering, adjust, factors)
 
 
-def run_nb_continuous(layer: Layer, column: str, covariates=None, adjust="BH", filtering: bool = True) -> DataFrame:
+def run_nb_continuous(layer: Layer, column: str, covariates=None, adjust="BH", filtering: bool = True, factors: str = "ratio") -> DataFrame:
     """log2 fold change per unit of a numeric column."""
     meta, index = sample_frame(layer)
-    return _finish_wald(layer, meta, index, continuous_model(meta, column, covariates), [column], "continuous_linear", "log2FC per unit", "continuous", filtering, adjust)
+    return _finish_wald(layer, meta, index, continuous_model(meta, column, covariates), [column], "continuous_linear", "log2FC per unit", "continuous", filtering, adjust, factors)
 
 
-def _finish_wald(layer, meta, index, model, labels, analysis, effect_type, direction, filtering, adjust):
-    rows, disp, log_s = _prepare(layer, model, meta, index, _size_series(layer))
+def _finish_wald(layer, meta, index, model, labels, analysis, effect_type, direction, filtering, adjust, factors):
+    sizes, method = _size_series(layer, factors)
+    rows, disp, log_s = _prepare(layer, model, meta, index, sizes)
     shrink = shrunken_dispersions(disp, len(model.rows) - model.x.shape[1])
     stats = _wald(rows, disp, len(meta), model, log_s, shrink).withColumn("p_value", normal_two_sided(F.col("statistic")))
     stats = cut(stats.drop("lrt").withColumn("signed_stat", F.col("statistic")), "wald")
     stats = independent_filter(stats, method=adjust) if filtering else adjust_p(stats, ["comparison"], method=adjust, few=True, written=True)
-    return standard(pad_untested(layer, stats, labels), layer, "deseq2", analysis, effect_type, "wald", direction)
+    return standard(pad_untested(layer, stats, labels), layer, method, analysis, effect_type, "wald", direction)
 
 
-def run_nb_anova(layer: Layer, groups: list[str], group_col=None, covariates=None, adjust="BH") -> DataFrame:
+def run_nb_anova(layer: Layer, groups: list[str], group_col=None, covariates=None, adjust="BH", factors: str = "ratio") -> DataFrame:
     """Full model against the model without groups, chi-square on groups - 1."""
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     q = len(groups) - 1
     model = _design(layer, meta, group_col, [("anova", {g: (1.0 if i == 1 else -1.0 if i == 0 else 0.0) for i, g in enumerate(groups)})], covariates, None)
-    rows, disp, log_s = _prepare(layer, model, meta, index, _size_series(layer))
+    sizes, method = _size_series(layer, factors)
+    rows, disp, log_s = _prepare(layer, model, meta, index, sizes)
     shrink = shrunken_dispersions(disp, len(model.rows) - model.x.shape[1])
     reduced = np.column_stack([np.ones(len(model.rows)), model.x[:, q + 1:]])
     stats = _wald(rows, disp, len(meta), model, log_s, shrink, reduced)
     stats = stats.withColumn("statistic", F.col("lrt")).withColumns({"effect": F.col("lrt"), "p_value": chisq_upper(F.col("lrt"), F.lit(float(q)))}).drop("lrt")
     out = adjust_p(pad_untested(layer, stats, ["anova"]), ["comparison"], method=adjust, few=True)
-    return standard(out, layer, "deseq2", "anova", "LRT", "LRT", "none")
+    return standard(out, layer, method, "anova", "LRT", "LRT", "none")
 
 
 def _ql(layer, meta, index, model, q, labels, factors, analysis, effect_type, direction, adjust, reduced_of):

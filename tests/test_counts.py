@@ -48,3 +48,15 @@ def test_anova_agrees_with_two_groups(planted):
     a = counts.run_nb_anova(planted, ["A", "B"]).toPandas().set_index("feature_id").p_value.astype(float)
     w = counts.run_nb_wald(planted, C, filtering=False).toPandas().set_index("feature_id").p_value.astype(float)
     assert np.corrcoef(np.log(a + 1e-12), np.log(w.loc[a.index] + 1e-12))[0, 1] > 0.97
+
+
+def test_size_factors_are_named(spark):
+    m = np.random.default_rng(4).poisson(60, (24, 6)).astype(float)
+    meta = pd.DataFrame({"grp": ["A"] * 3 + ["B"] * 3})
+    method = lambda m, **k: {r.method for r in counts.run_nb_wald(build(spark, m, meta, "raw_count", "rnaseq"), C, filtering=False, **k).select("method").collect()}
+    assert method(m) == {"deseq2"} and method(m, factors="library") == {"deseq2_library"}
+    for i in range(24):
+        m[i, i % 6] = np.nan
+    with pytest.raises(ValueError, match="every sample"):
+        method(m)
+    assert method(m, factors="ratio_or_library") == {"deseq2_library"}
