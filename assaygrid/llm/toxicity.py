@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from assaygrid.llm.mixing import draw
 from assaygrid.llm.quality import held_out
 from assaygrid.session import cut
 
+log = logging.getLogger(__name__)
+
 # Signs and cues that tell quotation from address.
 OPENING, CLOSING = "\"'“‘«„‹", "\"'”’»“›"
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes word term slur phrase insult".split())
@@ -216,7 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     strong beginning enters itself when it stands for more than its commonest word. Only strong
     words may be misspelt, and only those whose misspellings are as telling in the sample. The evidence of exact and of misspelt hits is then weighed by a
     ridge logistic regression whose rows count as their classes do in the labels. The bounds
-    `per_class` and `most_terms` limit what the driver reads: term counts and two numbers a document.
+    `per_class` and `most_terms` limit what the driver reads: counts of at most 2 * `most_terms` words and as many
+    beginnings, the most surprising first, and two numbers a document. What the bound leaves out is logged.
     """
     import numpy as np
 
@@ -232,7 +237,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     surprise = term(bad, p) + term(other, 1 - p)
     picked = _counts(sample).where(bad >= 3).select("kind", "term", "bad", ratio.alias("ratio"), surprise.alias("surprise")).where(
         ((F.col("ratio") >= np.log(8.0)) | (F.col("kind") == 1) & (F.col("ratio") > 0)) & (F.col("surprise") >= WEAK))
-    rows = picked.orderBy(F.desc("surprise"), "kind", "term").limit(2 * most_terms).collect()
+    picked = cut(picked, "toxicity-terms")
+    # Words and beginnings are bounded apart, so that neither crowds the other out.
+    rows = [row for kind in (0, 1) for row in picked.where(F.col("kind") == kind).orderBy(F.desc("surprise"), "term").limit(2 * most_terms).collect()]
+    for kind, many in sorted((row[0], row[1]) for row in picked.groupBy("kind").count().collect()):
+        if many > 2 * most_terms:
+            log.warning("toxicity terms: %d %s beyond the bound of %d left out", many - 2 * most_terms, ("words", "beginnings")[kind], 2 * most_terms)
     begins = {r["term"]: r for r in rows if r["kind"] == 1 and r["surprise"] >= STRONG}
     words = {r["term"]: r for r in rows if r["kind"] == 0}
     terms = {w: min(6.0, r["ratio"]) for w, r in words.items()

@@ -560,6 +560,17 @@ def test_main_text_keeps_a_story_beside_a_teaser(spark):
     assert got == {(i, f"Story {i} of many words\n\nRead next") for i in range(4)}
 
 
+def test_toxicity_words_are_not_crowded_out_by_beginnings(spark, caplog):
+    docs = [(i, ("plain today", "vilewords today", "plain today", "vilewordz today")[i % 4]) for i in range(400)]
+    labels = [(i, i % 2) for i in range(400)]
+    with caplog.at_level("WARNING"):
+        lexicon = toxicity.learn(spark.createDataFrame(docs + [(1000, "x")], "doc_id long, text string"),
+                                 spark.createDataFrame(labels, "doc_id long, toxic int"), most_terms=1)[0]
+    # Every beginning stands in more documents than either word.
+    assert {"vilewords", "vilewordz"} <= set(lexicon.terms)
+    assert "beginnings beyond the bound of 2" in caplog.text
+
+
 # pipeline
 
 
