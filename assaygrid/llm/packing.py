@@ -5,80 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from assaygrid.llm.common import column
+from assaygrid.llm.words import WordIds, slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class Tokenizer:
-    """Ids of whole texts, as bytes of little-endian unsigned 32-bit numbers.
-
-    The vocabulary drops white space and no token crosses it, so a text's ids are those of its
-    blank-separated words; frequent words are remembered, up to `remember` of them. New words meet the
-    library once each: it lower-cases, composes and splits letters from signs, so words that differ
-    in case only, or by one comma or full stop at the end, share their letters' ids.
-    """
-
-    def __init__(self, path: str, end: int, remember: int = 500_000):
-        import re
-
-        from tokenizers import Tokenizer as Library
-
-        self.library, self.bare, self.known, self.remember = Library.from_file(path), Library.from_file(path), {}, remember
-        # Latin-1 is composed, and lower-cases alike here and there; control strings hold signs that are left out.
-        self.bare.normalizer = None
-        self.simple = re.compile(r"[a-z]+").fullmatch
-        self.latin = re.compile(r"[^<|\u0100-\U0010ffff]+").fullmatch
-        self.end = end.to_bytes(4, "little")
-        self.marks = {c: self.whole([c])[0] for c in ",."}
-
-    def whole(self, words: list[str], library=None) -> list[bytes]:
-        import numpy as np
-
-        done = (library or self.library).encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in done]
-
-    def fresh(self, words) -> dict:
-        """Ids of each of some new words."""
-        from array import array
-
-        parts, simple, latin, other = {}, set(), set(), []
-        for w in words:
-            if not self.latin(w):
-                other.append(w)
-                continue
-            core, mark = w.lower(), b""
-            if core[-1] in ",." and core[-2:-1].isalpha():
-                core, mark = core[:-1], self.marks[core[-1]]
-            parts[w] = core, mark
-            (simple if self.simple(core) else latin).add(core)
-        model = self.library.model
-        ids = {c: array("I", [t.id for t in model.tokenize(c)]).tobytes() for c in simple}
-        for these, library in ((list(latin), self.bare), (other, self.library)):
-            for i in range(0, len(these), 4096):
-                ids.update(zip(these[i:i + 4096], self.whole(these[i:i + 4096], library)))
-        return {w: ids[core] + mark for w, (core, mark) in parts.items()} | {w: ids[w] for w in other}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = self.fresh(w for w in set().union(*words) if w not in known)
-        if len(known) + len(fresh) <= self.remember:
-            known.update(fresh)
-            return [b"".join([known[w] for w in ws]) + self.end for ws in words]
-        return [b"".join([known[w] if w in known else fresh[w] for w in ws]) + self.end for ws in words]
-
-
-_TOKENIZERS: dict = {}
-
-
-def tokenizer(path: str, end: int) -> Tokenizer:
+def tokenizer(path: str):
     """One per worker process, so tasks that follow each other share the remembered words."""
     import sys
 
-    kept = sys.modules.setdefault("_pack_tokenizers", _TOKENIZERS)
-    if (path, end) not in kept:
-        kept[path, end] = Tokenizer(path, end)
-    return kept[path, end]
+    kept = sys.modules.setdefault("_pack_tokenizers", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = WordIds(path, 250_000)
+    return kept[path]
 
 
 class Levels:
@@ -192,7 +132,8 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tok, levels, number = tokenizer(tokenizer_path, end), Levels(size), TaskContext.get().partitionId() << 40
+        tok, levels, number = tokenizer(tokenizer_path), Levels(size), TaskContext.get().partitionId() << 40
+        close = end.to_bytes(4, "little")
         out: list = [[] for _ in range(7)]
         weight = 0
 
@@ -216,20 +157,21 @@ def pack(
             return batch
 
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, some in slices(texts):
-                for doc, data in zip(ids[i:i + len(some)], tok.encode(some)):
-                    total = len(data) // 4
-                    for start in range(0, total, size):
-                        full = levels.place((doc, start, data[4 * start:4 * (start + size)], total))
-                        if full:
-                            emit(full)
-                        if levels.held > hold:
-                            for window in levels.close():
-                                emit(window)
-                        if weight > 1 << 20:
-                            yield flush()
+        for batch in slices(batches):
+            flat, counts = tok.encode(batch.column(1))
+            flat, at = flat.astype("<u4").tobytes(), 0
+            for doc, n in zip(batch.column(0).to_pylist(), counts.tolist()):
+                data = flat[4 * at:4 * (at + n)] + close
+                at += n
+                for start in range(0, n + 1, size):
+                    full = levels.place((doc, start, data[4 * start:4 * (start + size)], n + 1))
+                    if full:
+                        emit(full)
+                    if levels.held > hold:
+                        for window in levels.close():
+                            emit(window)
+                    if weight > 1 << 20:
+                        yield flush()
         for window in levels.close():
             emit(window)
             if weight > 1 << 20:
@@ -240,16 +182,3 @@ def pack(
     pair = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     return pair.mapInArrow(run, SCHEMA)
 
-
-def slices(texts, most: int = 1 << 21):
-    """Runs of texts of about `most` characters, a longer text alone; null becomes empty."""
-    held, begin, weight = [], 0, 0
-    for i, t in enumerate(texts):
-        t = t.as_py() or ""
-        held.append(t)
-        weight += len(t)
-        if weight >= most:
-            yield begin, held
-            held, begin, weight = [], i + 1, 0
-    if held:
-        yield begin, held
