@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaygrid.llm import chat, exact_dedup, html_main, mixing, ngram_join, packing, quality, topk, toxicity, warc
-from assaygrid.llm.common import table
+from assaygrid.llm import chat, exact_dedup, html_main, mixing, ngram_join, packing, periodic, quality, topk, toxicity, warc
+from assaygrid.llm.common import WORD, table
 
 QUERIES, ORACLES = {}, {}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,3 +145,31 @@ def op9(spark, sf):
 @query("op10_main_text")
 def op10(spark, sf):
     return html_main.main_text(table(spark, sf, "pages"))
+
+
+def with_periods(docs):
+    """doc_id and text; texts whose id's CRC-32 ends in 0 go on periodically from one of their words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf):
+    found = periodic.periodic_runs(with_periods(table(spark, sf, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    # The greatest exponent first, compared as a fraction.
+    order = lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], -1).when(
+        x["length"] * y["period"] < y["length"] * x["period"], 1).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int")).otherwise(
+        F.signum(x["period"] - y["period"]).cast("int"))
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), best.alias("best")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
