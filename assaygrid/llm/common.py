@@ -24,10 +24,11 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
-def runs(batches, keys: list[str]):
+def runs(batches, keys: list[str], whole: bool = True):
     """Arrow tables of one key each, from batches that arrive sorted by `keys`.
 
-    Only the rows of the current key are held, so a caller bounds memory by bounding a key's rows.
+    Only the rows of the current key are held, so a caller bounds memory by bounding a key's rows. Without `whole` a key's rows
+    come in pieces as they arrive and nothing is held.
     """
     import numpy as np
     import pyarrow as pa
@@ -46,6 +47,9 @@ def runs(batches, keys: list[str]):
         for i, start in enumerate(starts):
             stop = starts[i + 1] if i + 1 < len(starts) else n
             key = tuple(c[start] for c in cols)
+            if not whole:
+                yield key, pa.Table.from_batches([batch.slice(start, stop - start)])
+                continue
             if held and key != last:
                 yield last, pa.Table.from_batches(held)
                 held = []

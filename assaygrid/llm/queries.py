@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaygrid.llm import chat, exact_dedup, html_main, mixing, ngram_join, packing, periodic, quality, topk, toxicity, warc
+from assaygrid.llm import alignment, chat, exact_dedup, html_main, mixing, ngram_join, packing, periodic, quality, topk, toxicity, warc
 from assaygrid.llm.common import WORD, table
 
 QUERIES, ORACLES = {}, {}
@@ -147,6 +147,14 @@ def op10(spark, sf):
     return html_main.main_text(table(spark, sf, "pages"))
 
 
+@query("op12_token_alignment")
+def op12(spark, sf):
+    import public_tokenizers as public
+
+    found, _ = alignment.align(table(spark, sf, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def with_periods(docs):
     """doc_id and text; texts whose id's CRC-32 ends in 0 go on periodically from one of their words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
