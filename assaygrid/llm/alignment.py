@@ -79,7 +79,7 @@ def units(texts):
 class Pair:
     """Both tokenizers, and what they make of a unit: token counts, links and the text of its groups."""
 
-    def __init__(self, bytes_path: str, pieces_path: str, remember: int = 100_000):
+    def __init__(self, bytes_path: str, pieces_path: str, remember: int = 60_000):
         import json
 
         import numpy as np
@@ -199,7 +199,7 @@ def postings(pairs, documents, times):
 SCHEMA = "doc_id long, chunk long, number int, n_a long, n_b long, n_links long, groups string, groups_sha256 string, pair long, plane int, docs binary"
 
 
-def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, text_col: str, with_groups: bool, hold: int = 3_000_000) -> DataFrame:
+def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, text_col: str, with_groups: bool, hold: int = 800_000) -> DataFrame:
     """A row per document (plane is null) and a row per container."""
     def run(batches):
         import hashlib
@@ -223,7 +223,7 @@ def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, tex
                 some = pairs[i:i + 50_000]
                 yield batch_of(len(some), chunk=np.full(len(some), chunk), pair=some, plane=planes[i:i + 50_000], docs=data[i:i + 50_000])
 
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=2 << 20):
             codes, counts, distinct = units(batch.column(1))
             numbers, links, starts, texts = both.look_up(distinct.to_pylist())
             n_a, n_b, n_links, agree = (sums_by_text(x[codes], counts) for x in numbers)
@@ -244,7 +244,7 @@ def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, tex
                 mine = (owner >= done) & (owner < done + some)
                 pair, inverse = np.unique(links[at[mine]], return_inverse=True)
                 key, times = np.unique(inverse * some + (owner[mine] - done), return_counts=True)
-                held.append((pair[key // some] if len(key) else pair, key % some + number, times))
+                held.append((pair[key // some] if len(key) else pair, (key % some + number).astype(np.int32), times.astype(np.int32)))
                 weight += len(key)
                 part = slice(done, done + some)
                 yield batch_of(some, doc_id=batch.column(0).slice(done, some), chunk=np.full(some, chunk), number=np.arange(number, number + some, dtype=np.int32),
