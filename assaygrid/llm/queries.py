@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaygrid.llm import alignment, chat, exact_dedup, html_main, mixing, ngram_join, packing, periodic, quality, topk, toxicity, warc
+from assaygrid.llm import alignment, chat, exact_dedup, html_main, lm, mixing, ngram_join, packing, periodic, quality, topk, toxicity, warc
 from assaygrid.llm.common import WORD, table
 
 QUERIES, ORACLES = {}, {}
@@ -147,6 +147,14 @@ def op10(spark, sf):
     return html_main.main_text(table(spark, sf, "pages"))
 
 
+@query("op11_lm_scoring")
+def op11(spark, sf):
+    import public_tokenizers as public
+
+    learnt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return lm.score_texts(table(spark, sf, "documents"), learnt, public.path("word_bpe_49k.json"))
+
+
 @query("op12_token_alignment")
 def op12(spark, sf):
     import public_tokenizers as public
