@@ -106,10 +106,8 @@ class Pair:
         """(numbers, links, starts, texts) of new units."""
         import numpy as np
 
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        b = self.b.encode([w[1:] for w in words], num_threads=1)
-        n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
-        a, b = (np.fromiter((t for x in y for t in x), dtype=np.int64, count=int(n.sum())) for y, n in ((a, n_a), (b, n_b)))
+        (a, n_a), (b, n_b) = (flat_ids(words, f) for f in (
+            lambda some: [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)], lambda some: self.b.encode([w[1:] for w in some], num_threads=1)))
         want = [w.encode("utf-8", "surrogatepass") for w in words]
         agree = np.array([w == x == y for w, x, y in zip(want, spell(self.a_bytes, a, n_a), spell(self.b_bytes, b, n_b))], dtype=bool)
         a, b = a[np.repeat(agree, n_a)], b[np.repeat(agree, n_b)]
@@ -159,6 +157,29 @@ class Pair:
         return numbers[:, at], links, starts[at], [texts[i] for i in at.tolist()]
 
 
+def flat_ids(words, encode, most: int = 2048):
+    """(ids of all words in a row, number of each), a few words at a time, for the libraries' results are large."""
+    import numpy as np
+
+    flat, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), most):
+        ids = encode(words[i:i + most])
+        counts.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        flat.append(np.fromiter((t for x in ids for t in x), dtype=np.int64, count=int(counts[-1].sum())))
+    return np.concatenate(flat), np.concatenate(counts)
+
+
+def both_tokenizers(bytes_path: str, pieces_path: str) -> Pair:
+    """One per worker process, so tasks that follow each other share tokenizers and remembered units."""
+    import sys
+
+    kept = sys.modules.setdefault("_aligned_tokenizers", {})
+    if (bytes_path, pieces_path) not in kept:
+        kept.clear()
+        kept[bytes_path, pieces_path] = Pair(bytes_path, pieces_path)
+    return kept[bytes_path, pieces_path]
+
+
 def table(rows: list[bytes]):
     """(flat bytes, lengths, starts) of byte strings."""
     import numpy as np
@@ -199,7 +220,7 @@ def postings(pairs, documents, times):
 SCHEMA = "doc_id long, chunk long, number int, n_a long, n_b long, n_links long, groups string, groups_sha256 string, pair long, plane int, docs binary"
 
 
-def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, text_col: str, with_groups: bool, hold: int = 800_000) -> DataFrame:
+def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, text_col: str, with_groups: bool, hold: int = 500_000) -> DataFrame:
     """A row per document (plane is null) and a row per container."""
     def run(batches):
         import hashlib
@@ -210,7 +231,7 @@ def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, tex
 
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in SCHEMA.split(", ")]
-        both, chunk, number = Pair(bytes_path, pieces_path), TaskContext.get().partitionId() << 32, 0
+        both, chunk, number = both_tokenizers(bytes_path, pieces_path), TaskContext.get().partitionId() << 32, 0
         held, weight = [], 0
 
         def batch_of(n, **cols):
@@ -223,7 +244,7 @@ def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, tex
                 some = pairs[i:i + 50_000]
                 yield batch_of(len(some), chunk=np.full(len(some), chunk), pair=some, plane=planes[i:i + 50_000], docs=data[i:i + 50_000])
 
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             codes, counts, distinct = units(batch.column(1))
             numbers, links, starts, texts = both.look_up(distinct.to_pylist())
             n_a, n_b, n_links, agree = (sums_by_text(x[codes], counts) for x in numbers)
