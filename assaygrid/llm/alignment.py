@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import column, runs
+from assaygrid.llm.common import column, runs, tidy
 from assaygrid.llm.words import slices, sums_by_text, take_runs, text_bytes
 from assaygrid.session import cut
 
@@ -277,6 +277,8 @@ def indexed(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str, tex
                     held, weight, number, chunk = [], 0, 0, chunk + 1
         if held:
             yield from flush()
+        held = []
+        tidy()
 
     pair = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     return pair.mapInArrow(run, SCHEMA)

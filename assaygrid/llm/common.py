@@ -57,3 +57,36 @@ def runs(batches, keys: list[str], whole: bool = True):
             held.append(batch.slice(start, stop - start))
     if held:
         yield last, pa.Table.from_batches(held)
+
+
+def tidy():
+    """Give memory that a task's arrays took back to the system, for its worker process goes on with tasks of other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc: nothing to trim
+
+
+def one_thread():
+    """Let numpy multiply matrices on one thread in this process: every core has a task of its own, and small products only wait for each other."""
+    import ctypes
+
+    import numpy  # noqa: F401  (loads the library that is looked for)
+
+    try:
+        paths = {line.split()[-1] for line in open("/proc/self/maps") if "blas" in line and line.rstrip().split(".so")[0] != line.rstrip()}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import column, runs
+from assaygrid.llm.common import column, runs, tidy
 from assaygrid.llm.components import components
 from assaygrid.session import cut
 
@@ -212,6 +212,7 @@ def identified(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 marks.append(sketch(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                                               pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
+        tidy()
 
     return _pair(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
@@ -246,6 +247,8 @@ def common_shingles(docs: DataFrame, documents: int, words: int, id_col: str, te
         if held:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+        held = []
+        tidy()
 
     counts = _pair(docs.where(drawn), id_col, text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = counts.where(F.col("n") >= max(8, int(share * min(sample, documents)))).select("h").toArrow().column(0).to_numpy()
@@ -298,6 +301,8 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
                     sig, key, held = [], [], 0
         if sig:
             yield pool(sig, key)
+        sig, key = [], []
+        tidy()
 
     def join(batches):
         import numpy as np
@@ -347,6 +352,7 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
             for (x, y), star in bucket(*rest):
                 if len(x):
                     yield out(x, y, star)
+        tidy()
 
     found = _pair(docs, id_col, text_col).mapInArrow(emit, "sig long, a long, b long, kind byte")
     return found.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(join, "a long, b long, star boolean").distinct()
@@ -471,6 +477,7 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, num: int, de
             found = linked(sets, halves, num, den)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
+        tidy()
 
     return dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "doc_id").mapInArrow(verify, "a long, b long")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from assaygrid.llm.common import column
+from assaygrid.llm.common import column, tidy
 from assaygrid.llm.words import WordIds, slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -178,6 +178,7 @@ def pack(
                 yield flush()
         if out[0]:
             yield flush()
+        tidy()
 
     pair = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     return pair.mapInArrow(run, SCHEMA)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from assaygrid.llm.common import column
+from assaygrid.llm.common import column, tidy
 from assaygrid.llm.words import slices, sums_by_text, take_runs, word_codes
 
 RUN = "array<struct<start: long, length: long, period: long>>"
@@ -196,6 +196,7 @@ def periodic_runs(
                     keep[first + start + period:first + start + length] = False
             kept = sums_by_text(keep.astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, spans), joined(codes[keep], kept, distinct)], ["doc_id", "runs", "collapsed"])
+        tidy()
 
     pair = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     return pair.mapInArrow(run, f"doc_id long, runs {RUN}, collapsed string")
