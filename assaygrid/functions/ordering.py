@@ -100,7 +100,7 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 1000, exact).otherwise(series)
 
 
-ADJUSTMENTS = ("none", "bonferroni", "BH", "fdr", "BY", "holm", "hochberg")
+ADJUSTMENTS = ("none", "bonferroni", "BH", "fdr", "BY", "holm", "hochberg", "hommel")
 
 
 def adjust_p(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "adj_p_value",
@@ -121,6 +121,10 @@ def adjust_p(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "adj
             out, F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("n_family"), F.lit(1.0)))).drop("n_family")
     if not written:
         df = cut(df, "p-values")
+    if method == "hommel":
+        from assaygrid.functions.families import hommel
+
+        return _attach(df, hommel(df, keys, p, out, few), keys, p)
     v = cumulative(df, keys, p, few)
     upto = F.col("below") + F.col("ties")
     n = F.col("total")

@@ -172,6 +172,12 @@ _adj("holm", "SELECT *, least(1.0::DOUBLE, max(p * (n - i + 1)) OVER (PARTITION
 _adj("hochberg", "SELECT *, least(1.0::DOUBLE, min(p * (n - i + 1)) OVER (PARTITION BY comparison ORDER BY i DESC)) a FROM x")
 _adj("BY", "SELECT *, least(1.0::DOUBLE, min(p * n / i * list_sum(list_transform(range(1, n + 1), lambda k: 1.0::DOUBLE / k))) OVER (PARTITION BY comparison ORDER BY i DESC)) a FROM (SELECT * FROM x)")
 
+query("w2_hommel", f"""WITH {D}, {_RK}, s AS (SELECT a.comparison, a.n - a.i + 1 AS k, any_value(a.n) AS n, min((a.n - a.i + 1) * b.p / (b.i - a.i + 1)) AS simes FROM x a JOIN x b ON a.comparison = b.comparison AND b.i >= a.i GROUP BY 1, 2),
+c AS (SELECT comparison, k, n, simes, coalesce(lead(simes) OVER (PARTITION BY comparison ORDER BY k), 0) AS next FROM s UNION ALL SELECT comparison, 0, any_value(n), any_value(n), max(simes) FILTER (k = 1) FROM s GROUP BY 1),
+y AS (SELECT x.comparison, x.feature_id, least(1.0::DOUBLE, min(greatest(next, k * p))) AS a FROM x JOIN c ON c.comparison = x.comparison GROUP BY 1, 2)
+SELECT d.feature_id, d.comparison, {r('a', 6)} AS adj_p_value FROM diff d LEFT JOIN y ON y.feature_id = d.feature_id AND y.comparison = d.comparison""", 6)(
+    lambda s, d: O.adjust_p(FX.diff(s, d), ["comparison"], method="hommel", few=True, written=True).select("feature_id", "comparison", "adj_p_value"))
+
 # ---- filters, rankings, contrast tables ----------------------------------------------------
 
 _FC = "feature_id, comparison, " + ", ".join(f"{r(c)} AS {c}" for c in ("effect", "p_value", "adj_p_value"))

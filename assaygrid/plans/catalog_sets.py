@@ -49,6 +49,8 @@ def _ora(s, d, **kw):
 
 
 query("e2_over_representation", f"WITH {ORA} SELECT {_EQ}, overlap_features FROM ora", 6)(lambda s, d: _ora(s, d, output_cutoff=None).select(*_EC, "overlap_features"))
+query("e2_q_values", f"WITH {ORA} SELECT database, comparison, pathway_id, direction, {r('ora.q_value', 7)} AS q_value FROM ora", 7)(
+    lambda s, d: _ora(s, d, output_cutoff=None).select("database", "comparison", "pathway_id", "direction", "q_value"))
 query("e2_bounded_output", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE ora.p_value <= 0.05 AND ora.adj_p_value <= 0.05", 6)(lambda s, d: _ora(s, d, output_cutoff=0.05).select(*_EC))
 query("e3_up_list", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE direction = 'up'", 6)(lambda s, d: _ora(s, d, output_cutoff=None, direction="up").select(*_EC))
 query("e3_pooled_list", f"""WITH {D}, {FX.ORA_SQL.replace("CASE WHEN effect > 0 THEN 'up' ELSE 'down' END AS list", "'both' AS list").replace("p_value < 0.05 AND effect <> 0", "p_value < 0.05")} SELECT database, comparison, pathway_id, NULL::VARCHAR AS direction, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, gene_set_size, overlap_size FROM ora""", 6)(
@@ -56,7 +58,7 @@ query("e3_pooled_list", f"""WITH {D}, {FX.ORA_SQL.replace("CASE WHEN effect > 0
 query("e1_run_ora_one_comparison", f"WITH {ORA} SELECT {_EQ} FROM ora WHERE comparison = 'ASIA_vs_AFRICA'", 6)(
     lambda s, d: EN.run_ora(FX.one_comparison(FX.diff(s, d)), TT.gene_sets(s, d), preference="raw", output_cutoff=None, max_size=100_000).select(*_EC))
 query("e6_standard_columns", f"""WITH {ORA} SELECT database, 'ora' AS result_type, comparison, pathway_id, trim(replace(regexp_replace(pathway_id, '^(KEGG_|REACTOME_|GOBP_)', ''), '_', ' ')) AS pathway_name, NULL::DOUBLE AS effect, NULL::VARCHAR AS effect_type, direction,
-{r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, NULL::DOUBLE AS q_value, gene_set_size, overlap_size, overlap_features, overlap_features AS leading_features, 'ora_'||direction||'_'||database AS source_label FROM ora""")(
+{r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, {r('q_value')} AS q_value, gene_set_size, overlap_size, overlap_features, overlap_features AS leading_features, 'ora_'||direction||'_'||database AS source_label FROM ora""")(
     lambda s, d: FX.enriched(s, d))
 query("e7_compare_enrichment", f"WITH {ORA} SELECT comparison, database, count(*) AS n_sets, sum((adj_p_value < 0.05)::INT)::BIGINT AS n_significant FROM ora GROUP BY 1, 2")(
     lambda s, d: FX.enriched(s, d).groupBy("comparison", "database").agg(F.count("*").alias("n_sets"), F.sum((F.col("adj_p_value") < 0.05).cast("int")).alias("n_significant")))

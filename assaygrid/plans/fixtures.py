@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaygrid.functions.families import CUTOFFS, smoothing_weights
 from assaygrid.operators.diff import ttest
 from assaygrid.operators.normalize import analysis_scale
 from assaygrid.plans import testtables as TT
@@ -125,6 +126,9 @@ op AS (SELECT ov.*, m, n, big_n, list_sum(list_transform(range(k, least(m, n) +
           exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) + lgamma(big_n - m + 1.0) - lgamma(n - i + 1.0) - lgamma(big_n - m - n + i + 1.0)
               - lgamma(big_n + 1.0) + lgamma(n + 1.0) + lgamma(big_n - n + 1.0)) END)) AS p_value
        FROM ov JOIN sz USING (database, comparison, term) JOIN nh USING (database, comparison, list) JOIN nn USING (database, comparison)),
-oadj AS (""" + bh("p_value", "database, comparison, list", "op") + """),
-ora AS (SELECT database, comparison, term AS pathway_id, list AS direction, round(p_value, 6) AS p_value, round(adj_p_value, 6) AS adj_p_value,
+oadj0 AS (""" + bh("p_value", "database, comparison, list", "op") + """),
+opi AS (SELECT database, comparison, list, least(1.0::DOUBLE, greatest(1.0::DOUBLE / count(*), """ + " + ".join(
+    f"({w!r}::DOUBLE) * count(*) FILTER (p_value >= {c}::DOUBLE) / (count(*) * {1 - c!r}::DOUBLE)" for c, w in zip(CUTOFFS, smoothing_weights())) + """)) AS pi0 FROM op GROUP BY ALL),
+oadj AS (SELECT oadj0.*, pi0 * adj_p_value AS q_value FROM oadj0 JOIN opi USING (database, comparison, list)),
+ora AS (SELECT database, comparison, term AS pathway_id, list AS direction, round(p_value, 6) AS p_value, round(adj_p_value, 6) AS adj_p_value, q_value,
         m::DOUBLE AS gene_set_size, k::DOUBLE AS overlap_size, genes AS overlap_features FROM oadj)"""
