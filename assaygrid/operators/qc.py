@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -213,6 +215,37 @@ def observed_imputed_curves(observed: DataFrame, filled: DataFrame) -> DataFrame
     return spread_quantiles(both, ["source"], "value", 1001, few=True)
 
 
+def density_curves(df: DataFrame, keys: list[str], points: int = 512) -> DataFrame:
+    """Kernel densities (keys, i, x, density, n, bandwidth) of the values of each group on one grid over the range of all groups.
+
+    Every value shares its weight of one between the two grid points around it, in one aggregate of at most `points` rows a group; the Gaussian kernel
+    then runs over these bins. Groups with one value, or none that differ, have no bandwidth and density NULL. `keys` name few groups.
+    """
+    ends = df.agg(F.min("value").alias("low"), F.max("value").alias("high")).select(F.struct("low", "high")).scalar()
+    step = (F.col("_e.high") - F.col("_e.low")) / F.lit(float(points - 1))
+    spot = F.when(step > 0, (F.col("value") - F.col("_e.low")) / step).otherwise(F.lit(0.0))
+    base = F.least(F.floor(spot), F.lit(points - 2)).cast("int")
+    placed = df.select(*keys, "value", ends.alias("_e")).select(*keys, base.alias("b"), (spot - base).alias("part"))
+    bins = placed.groupBy(*keys, "b").agg(F.count("*").cast("double").alias("c"), F.sum("part").alias("p")).select(
+        *keys, F.explode(F.array(F.struct(F.col("b").alias("i"), (F.col("c") - F.col("p")).alias("w")),
+                                 F.struct((F.col("b") + 1).alias("i"), F.col("p").alias("w")))).alias("h"))
+    bins = bins.groupBy(*keys, "h.i").agg(F.sum("h.w").alias("w")).groupBy(*keys).agg(F.collect_list(F.struct("i", "w")).alias("bins"))
+    width = bandwidths(df, keys).select(*keys, "n", F.when(F.col("bandwidth") > 0, F.col("bandwidth")).alias("bandwidth"))
+    grid = bins.join(width, keys).withColumn("_e", ends).select(
+        *keys, "bins", "n", "bandwidth", "_e", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    scale = F.col("step") / F.col("bandwidth")
+    kernel = lambda z: F.exp(-z * z / 2)
+    total = F.aggregate("bins", F.lit(0.0), lambda a, b: a + b["w"] * kernel((F.col("i") - b["i"]) * scale))
+    return grid.select(*keys, "i", (F.col("_e.low") + F.col("i") * F.col("step")).alias("x"),
+                       (total / (F.col("n") * F.col("bandwidth") * F.lit((2 * math.pi) ** 0.5))).alias("density"), "n", "bandwidth")
+
+
+def observed_imputed_density(observed: DataFrame, filled: DataFrame, points: int = 512) -> DataFrame:
+    """Q24: density curves of observed and imputed values on one grid."""
+    tag = lambda df, s: df.select(F.lit(s).alias("source"), "value")
+    return density_curves(tag(observed, "observed").unionByName(tag(filled, "imputed")), ["source"], points)
+
+
 def bandwidths(df: DataFrame, keys: list[str]) -> DataFrame:
     """Silverman's bandwidth of each group's values from exact quartiles."""
     from assaygrid.functions.ordering import exact_quantiles

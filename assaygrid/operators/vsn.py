@@ -174,14 +174,15 @@ def calibrate(layer: Layer, share: float = 0.9, tol: float = 1e-4, trims: int =
     good = True
     chosen = enough
     while len(names) and done < trims:
-        x, good, used = fit(chosen, x, tol, passes)
+        # Early fits only choose features, so they may stop sooner.
+        x, good, used = fit(chosen, x, max(tol, 0.01 / 10**done), passes)
         total, done = total + used, done + 1
         table = cut(steady_features(feature_table(enough, x), share), "vsn-used")
         if before is not None:
             moved = table.join(before.select("feature_id", F.col("used").alias("was")), "feature_id").agg(
                 F.coalesce(F.sum((F.col("used") != F.col("was")).cast("long")), F.lit(0)), F.count("*")).first()
             settled = moved[0] * 1000 <= moved[1]
-            if settled:
+            if settled and 0.01 / 10**(done - 1) <= tol:
                 break
         before = table
         chosen = cut(enough.join(table.where("used").select("feature_id"), "feature_id"), "vsn-chosen")

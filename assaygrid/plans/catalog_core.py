@@ -13,6 +13,7 @@ from assaygrid.operators import impute as I
 from assaygrid.operators import links as L
 from assaygrid.operators import normalize as N
 from assaygrid.operators import qc as Q
+from assaygrid.operators import vsn as VS
 from assaygrid.plans import testtables as TT
 from assaygrid.plans.registry import query, r
 
@@ -335,7 +336,22 @@ SELECT feature_id, sample_id, {r(f"coalesce(v, 0) + coalesce(sp, 0) * {_norm_sql
 query("q17_impute_man", f"""WITH {LOGP}, {_ABS}, m AS (SELECT sample_id, avg(value) m, stddev_samp(value) s, count(*) n FROM lcells GROUP BY 1)
 SELECT feature_id, sample_id, {r(f"CASE WHEN n >= 2 THEN m - 1.8::DOUBLE * s + 0.3::DOUBLE * s * {_norm_sql(1234)} WHEN n = 1 THEN m ELSE 0 END")} AS value FROM ab LEFT JOIN m USING (sample_id)""")(
     lambda s, d: I.impute(N.analysis_scale(TT.prices(s, d)), "man"))
+def _calibrated(layer):
+    """Per sample: cells, whether calibration kept their order, whether its scale is positive, and whether the fit converged."""
+    found = VS.calibrate(layer)
+    both = layer.cells.withColumnRenamed("value", "raw").join(found.layer.cells, ["feature_id", "sample_id"])
+    # Sorted by the raw value, no calibrated value lies below the one before it.
+    pairs = F.array_sort(F.collect_list(F.struct("raw", "value")))
+    up = F.aggregate(pairs, F.struct(F.lit(True).alias("ok"), F.lit(float("-inf")).alias("last")),
+                     lambda a, x: F.struct((a["ok"] & (x["value"] >= a["last"])).alias("ok"), x["value"].alias("last")), lambda a: a["ok"])
+    return both.groupBy("sample_id").agg(F.count("*").alias("n_cells"), up.alias("in_order")).join(found.params, "sample_id").select(
+        "sample_id", "n_cells", "in_order", (F.col("scale") > 0).alias("positive"), F.lit(found.converged).alias("converged"))
+
+
 query("q25_log2", f"WITH {P} SELECT feature_id, sample_id, {r('log2(value + 1)')} AS value FROM cells WHERE value > 0")(lambda s, d: N.log2_layer(TT.prices(s, d)).cells)
+# Fits are beyond SQL; what holds of any fit is not: order and number of each sample's cells stay, scales are positive, the fit ends.
+query("q27_calibrated_samples", f"WITH {P} SELECT sample_id, count(*) AS n_cells, true AS in_order, true AS positive, true AS converged FROM cells GROUP BY 1")(
+    lambda s, d: _calibrated(TT.prices(s, d)))
 query("q26_median_center", f"WITH {LOGP}, m AS (SELECT sample_id, median(value) med FROM lcells GROUP BY 1) SELECT feature_id, sample_id, {r('value - (med - (SELECT median(med) FROM m))')} AS value FROM lcells JOIN m USING (sample_id)")(
     lambda s, d: N.median_center(N.log2_layer(TT.prices(s, d))).cells)
 query("q29_analysis_scale", f"WITH {K}, l AS (SELECT sample_id, sum(value) lib FROM cells GROUP BY 1) SELECT feature_id, sample_id, {r('log2((value + 0.5::DOUBLE) / ((lib + 1) / 1e6::DOUBLE))')} AS value FROM cells JOIN l USING (sample_id)")(
@@ -400,6 +416,17 @@ def _qc_replay(s, d):
 query("q11_replay", f"""WITH {B}, {_FM}, {_SM}, kf AS (SELECT feature_id FROM fm WHERE missing_rate <= 0.5), ks AS (SELECT sample_id FROM sm WHERE missing_rate <= 0.3)
 SELECT ks.sample_id, (SELECT count(*) FROM kf) AS n, round(sum(value), 2) AS total FROM ks LEFT JOIN (SELECT * FROM cells SEMI JOIN kf USING (feature_id)) c ON c.sample_id = ks.sample_id GROUP BY 1""", 2)(_qc_replay)
 query("q24_imputation_curves")(lambda s, d: (lambda y: Q.observed_imputed_curves(y.cells, I.impute(y, "MinProb")))(N.analysis_scale(TT.brands(s, d))))
+query("q24_density_curves", f"""WITH {LOGP}, {_ABS}, m AS (SELECT sample_id, quantile_cont(value, 0.01::DOUBLE) v FROM lcells GROUP BY 1),
+v AS (SELECT 'observed' AS source, value FROM lcells UNION ALL SELECT 'imputed', coalesce(v, 0) FROM ab LEFT JOIN m USING (sample_id)),
+e AS (SELECT min(value) AS low, (max(value) - min(value)) / 511 AS step FROM v),
+q AS (SELECT source, count(*) AS n, quantile_cont(value, 0.75::DOUBLE) - quantile_cont(value, 0.25::DOUBLE) AS iqr, stddev_samp(value) AS sd FROM v GROUP BY 1),
+h AS (SELECT source, n, 0.9::DOUBLE * least(sd, CASE WHEN iqr > 0 THEN iqr / 1.34::DOUBLE ELSE sd END) * pow(n, -0.2::DOUBLE) AS bandwidth FROM q),
+s AS (SELECT source, (value - low) / step AS z, least(floor((value - low) / step), 510)::INT AS b FROM v, e),
+b AS (SELECT source, i, sum(w) AS w FROM (SELECT source, b AS i, 1 - (z - b) AS w FROM s UNION ALL SELECT source, b + 1, z - b FROM s) GROUP BY 1, 2),
+g AS (SELECT source, n, bandwidth, i, low + i * step AS x, step FROM h, e, (SELECT unnest(range(512))::INT AS i))
+SELECT g.source, g.i, {r('any_value(x)')} AS x, {r('sum(w * exp(-pow((g.i - b.i) * step / bandwidth, 2) / 2)) / (any_value(n) * any_value(bandwidth) * sqrt(2 * pi()))')} AS density
+FROM g JOIN b ON g.source = b.source GROUP BY 1, 2""")(
+    lambda s, d: (lambda y: Q.observed_imputed_density(y.cells, I.impute(y, "MinDet")).select("source", "i", "x", "density"))(N.analysis_scale(TT.prices(s, d))))
 for _name, _method in (("q18_impute_qrilc", "QRILC"), ("q20_impute_mle", "MLE"), ("q21_impute_bpca", "bpca")):
     query(_name)(lambda s, d, m=_method: I.impute(N.analysis_scale(TT.brands(s, d)), m))
 

@@ -65,3 +65,23 @@ def test_q_values(spark):
         assert part["q_value"].to_numpy() == pytest.approx(share * bh, rel=1e-8)
         if fam == "a":
             assert 0.55 < share < 0.85
+
+
+def test_density_curves(spark):
+    from assaygrid.operators.qc import density_curves
+
+    rng = np.random.default_rng(7)
+    values = {"a": rng.normal(5, 1, 1500), "b": rng.gamma(2, 2, 700), "one": np.array([3.0])}
+    rows = [(g, float(x)) for g, v in values.items() for x in v]
+    got = density_curves(spark.createDataFrame(rows, "g string, value double").repartition(5), ["g"]).toPandas()
+    every = np.concatenate(list(values.values()))
+    for g in ("a", "b"):
+        part, v = got[got["g"] == g].sort_values("i"), values[g]
+        assert len(part) == 512 and part["x"].iloc[0] == every.min() and part["x"].iloc[-1] == pytest.approx(every.max())
+        q1, q3 = np.quantile(v, [0.25, 0.75])
+        h = 0.9 * min(v.std(ddof=1), (q3 - q1) / 1.34) * len(v) ** -0.2
+        assert part["bandwidth"].iloc[0] == pytest.approx(h)
+        direct = np.exp(-0.5 * ((part["x"].to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert part["density"].to_numpy() == pytest.approx(direct, abs=2e-3 * direct.max())
+    assert got[got["g"] == "one"]["density"].isna().all()
+    assert density_curves(spark.createDataFrame([], "g string, value double"), ["g"]).count() == 0
