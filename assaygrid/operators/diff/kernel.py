@@ -86,6 +86,71 @@ def block_correlation(y: np.ndarray, x: np.ndarray, same: np.ndarray) -> np.ndar
     return out
 
 
+def reml_correlation(y: np.ndarray, x: np.ndarray, blocks: np.ndarray):
+    """Per row the correlation within blocks of greatest restricted likelihood, and whether it stands at a bound of its range.
+
+    With V = (1 - r) I + r (one block of ones a block), V inverse and its determinant need block sums only, so one likelihood of all rows
+    is a sum over blocks. A grid brackets the maximum, golden sections narrow it, all rows at once. Rows without two
+    samples of a block, or without residual degrees of freedom, get NaN.
+    """
+    names, code = np.unique(blocks, return_inverse=True)
+    z = np.eye(len(names))[code]
+    k = x.shape[1]
+    rho, bound = np.full(len(y), np.nan), np.zeros(len(y), dtype=bool)
+    zx = (z[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    step = max(1, int(4e6 // (len(names) * (k + 1) ** 2)))
+    for first in range(0, len(y), step):
+        part = y[first:first + step]
+        here = ~np.isnan(part)
+        m = here.astype(float)
+        n = m.sum(axis=1)
+        v = np.where(here, part - (np.where(here, part, 0).sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+        size = m @ z
+        a = np.empty((len(part), k + 1, k + 1))
+        a[:, :k, :k], a[:, :k, k] = (m @ xx).reshape(-1, k, k), v @ x
+        a[:, k, :k], a[:, k, k] = a[:, :k, k], (v * v).sum(axis=1)
+        sums = np.concatenate(((m @ zx).reshape(len(part), -1, k), (v @ z)[:, :, None]), axis=2)
+        used = sweep(a.copy(), k)[3]
+        free = n - used.sum(axis=1)
+        off = ~used[:, :, None] | ~used[:, None, :]
+        top = size.max(axis=1)
+        ok = (top > 1) & (free > 0) & (a[:, k, k] > 0)
+        if not ok.any():
+            continue
+        low = np.where(ok, -1 / np.maximum(top - 1, 1) + 1e-4, 0.0)
+        high = np.full(len(part), 1 - 1e-4)
+
+        def likelihood(r):
+            r = r[:, None]
+            c = r / (1 + (size - 1) * r)
+            w = (a - np.einsum("fb,fbi,fbj->fij", c, sums, sums, optimize=True)) / (1 - r[:, :, None])
+            inner = np.where(off, np.eye(k), w[:, :k, :k])
+            side = np.where(used, w[:, :k, k], 0.0)
+            rss = w[:, k, k] - (side * np.linalg.solve(inner, side[:, :, None])[:, :, 0]).sum(axis=1)
+            det = np.where(size > 0, (size - 1) * np.log(1 - r) + np.log(1 + (size - 1) * r), 0.0).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return -0.5 * (det + np.linalg.slogdet(inner)[1] + free * np.log(np.maximum(rss, 1e-300)))
+
+        grid = np.linspace(0, 1, 25)
+        at = [low + (high - low) * g for g in grid]
+        best = np.argmax([np.where(ok, likelihood(r), 0) for r in at], axis=0)
+        lo, hi = np.choose(np.maximum(best - 1, 0), at), np.choose(np.minimum(best + 1, len(at) - 1), at)
+        gold = (5**0.5 - 1) / 2
+        p, q = hi - gold * (hi - lo), lo + gold * (hi - lo)
+        fp, fq = likelihood(p), likelihood(q)
+        for _ in range(40):
+            right = fp < fq
+            lo, hi = np.where(right, p, lo), np.where(right, hi, q)
+            p_new, q_new = np.where(right, q, hi - gold * (hi - lo)), np.where(right, lo + gold * (hi - lo), p)
+            new = likelihood(np.where(right, q_new, p_new))
+            fp, fq = np.where(right, fq, new), np.where(right, new, fp)
+            p, q = p_new, q_new
+        rho[first:first + step] = np.where(ok, (lo + hi) / 2, np.nan)
+        bound[first:first + step] = ok & (((lo + hi) / 2 - low < 1e-3) | (high - (lo + hi) / 2 < 1e-3))
+    return rho, bound
+
+
 def gls_fit(y: np.ndarray, x: np.ndarray, same: np.ndarray, rho: float):
     """Generalised least squares with correlation `rho` within blocks; absent samples drop out."""
     k = x.shape[1]

@@ -14,7 +14,7 @@ from assaygrid.functions.scalar import contrast_label
 from assaygrid.functions.tails import digamma, f_upper, t_two_sided, trigamma, trigamma_inverse
 from assaygrid.model import Layer
 from assaygrid.operators.diff.design import estimable
-from assaygrid.operators.diff.kernel import Model, block_correlation, feature_rows, fit_features
+from assaygrid.operators.diff.kernel import Model, feature_rows, fit_features, reml_correlation
 from assaygrid.operators.diff.results import pad_untested, standard
 from assaygrid.operators.gram import _dense, sample_index
 from assaygrid.session import cut
@@ -223,16 +223,23 @@ def run_moderated(layer: Layer, contrasts: list[tuple[str, dict]], group_col=Non
     return standard(adjust_p(out, ["comparison"], method=adjust, few=True), layer, "limma", "group", "log2FC", "t", "group")
 
 
-def consensus_correlation(layer: Layer, index: DataFrame, n_samples: int, model: Model, same: np.ndarray) -> float:
-    """Back-transformed mean of the features' atanh block correlations, 15 % trimmed on either side."""
+def block_correlations(layer: Layer, index: DataFrame, n_samples: int, model: Model, blocks: np.ndarray) -> DataFrame:
+    """(feature_id, rho, at_bound): each feature's block correlation of greatest restricted likelihood; features that tell nothing are left out."""
     use, x = model.rows, model.x
 
     def kernel(batches):
         for b in batches:
-            rho = block_correlation(_dense(b, "k", "v", n_samples)[:, use], x, same)
-            yield pd.DataFrame({"z": np.arctanh(np.clip(rho[~np.isnan(rho)], -0.99, 0.99))})
+            rho, bound = reml_correlation(_dense(b, "k", "v", n_samples)[:, use], x, blocks)
+            keep = ~np.isnan(rho)
+            yield pd.DataFrame({"feature_id": b["feature_id"][keep], "rho": rho[keep], "at_bound": bound[keep]})
+
+    return feature_rows(layer.cells, index).mapInPandas(kernel, "feature_id string, rho double, at_bound boolean")
+
 
-    z = cut(feature_rows(layer.cells, index).mapInPandas(kernel, "z double"), "block-correlations")
+def consensus_correlation(layer: Layer, index: DataFrame, n_samples: int, model: Model, blocks: np.ndarray) -> float:
+    """Back-transformed mean of the features' atanh block correlations, 15 % trimmed on either side."""
+    found = block_correlations(layer, index, n_samples, model, blocks)
+    z = cut(found.select(F.atanh(F.greatest(F.least("rho", F.lit(0.99)), F.lit(-0.99))).alias("z")), "block-correlations")
     ends = exact_quantiles(z, [], "z", [0.15, 0.85], ["lo", "hi"]).first()
     if ends is None:
         return 0.0
@@ -240,19 +247,28 @@ def consensus_correlation(layer: Layer, index: DataFrame, n_samples: int, model:
     return float(np.tanh(mid)) if mid is not None else 0.0
 
 
-def run_moderated_random_block(layer: Layer, contrasts: list[tuple[str, dict]], block: str, group_col=None, covariates=None,
-                               adjust="BH") -> DataFrame:
-    """Blocks as a random effect with one consensus correlation, for designs a fixed block would absorb."""
+def block_model(layer: Layer, contrasts, block: str, group_col=None, covariates=None):
+    """(samples as a frame, their index, the model without the block, the blocks of its samples)."""
     group_col = group_col or layer.group_col
-    levels = []
-    for _, w in contrasts:
-        levels += [lv for lv in w if lv not in levels]
+    levels = list(dict.fromkeys(lv for _, w in contrasts for lv in w))
     meta, index = sample_frame(layer)
     model = _group_design(meta, group_col, levels, covariates, None, [(lab, [w.get(lv, 0.0) for lv in levels]) for lab, w in contrasts])
     refuse(model.x, model.contrasts)
-    b = meta[block].astype(str).to_numpy()[model.rows]
+    return meta, index, model, meta[block].astype(str).to_numpy()[model.rows]
+
+
+def feature_block_correlations(layer: Layer, contrasts, block: str, group_col=None, covariates=None) -> DataFrame:
+    """The table behind the consensus: feature_id, rho, at_bound."""
+    meta, index, model, b = block_model(layer, contrasts, block, group_col, covariates)
+    return block_correlations(layer, index, len(meta), model, b)
+
+
+def run_moderated_random_block(layer: Layer, contrasts: list[tuple[str, dict]], block: str, group_col=None, covariates=None,
+                               adjust="BH") -> DataFrame:
+    """Blocks as a random effect with one consensus correlation, for designs a fixed block would absorb."""
+    meta, index, model, b = block_model(layer, contrasts, block, group_col, covariates)
     same = ((b[:, None] == b[None, :]) & ~np.eye(len(b), dtype=bool)).astype(float)
-    rho = consensus_correlation(layer, index, len(meta), model, same)
+    rho = consensus_correlation(layer, index, len(meta), model, b)
     size = max(same.sum(axis=1).max(), 1.0)
     model.same, model.rho = same, float(np.clip(rho, -1 / size + 1e-3, 0.999))
     m = moderate(cut(fit_features(layer, index, len(meta), [model]), "fits"), contrasts[0][0])

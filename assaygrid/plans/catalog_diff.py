@@ -148,6 +148,7 @@ pp AS (SELECT *, statistic AS effect, pow(d / (d + 4 * statistic), d / 2) * (1 +
 res AS ({bh('p_value', '', 'pp')}) SELECT feature_id, comparison, {_STD_SQL} FROM res""", 6)(
     lambda s, d: linear.run_moderated_anova(_planted(s, d), ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).select(*_STD))
 query("d11_blocked_fit")(lambda s, d: linear.run_moderated(N.analysis_scale(TT.flagged(s, d)), [("R_vs_A", {"R": 1, "A": -1})], block="donor").select(*_STD))
+query("d11_block_correlations")(lambda s, d: linear.feature_block_correlations(N.analysis_scale(TT.flagged(s, d)), [("R_vs_A", {"R": 1, "A": -1})], "donor"))
 query("d19_standard_columns", f"""WITH {D} SELECT feature_id, feature_symbol, feature_type, 'proteomics' AS omics_type, 'ttest' AS method, 'group' AS analysis_type, comparison, {r('effect')} AS effect, 'mean_diff' AS effect_type,
 {r('statistic')} AS statistic, 't' AS statistic_type, {r('signed_stat')} AS signed_stat, {r('p_value')} AS p_value, {r('adj_p_value')} AS adj_p_value, direction, {r('base_mean')} AS base_mean, NULL::DOUBLE AS model_fit, NULL::BOOLEAN AS is_significant FROM diff""")(
     lambda s, d: FX.diff(s, d))
