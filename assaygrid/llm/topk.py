@@ -11,20 +11,22 @@ from assaygrid.session import cut
 
 LEVELS = 32
 ROWS = 4096
-# A scaled component beyond this could carry a score past a long.
-WIDEST = 1 << 24
+# Scaled components beyond this count as this; scores beyond a long as the nearest long.
+WIDEST = (1 << 62) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(vec_id, v): floor(scale * component) as whole numbers.
 
-    Rows with a null id, a null vector, or a component that is null, not finite or beyond 2**24
-    once scaled take no part.
+    Rows with a null id, a null vector, or a component that is null or not finite take no part. Components are whole numbers of 64 bits,
+    saturated at 2**62 - 1 in size.
     """
-    x = F.transform(column(vectors, vector_col), lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
-    fine = F.forall(column(vectors, vector_col), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) * scale < WIDEST))
-    return vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), x.alias("v"), fine.alias("fine")).where(
-        "vec_id is not null and fine").select("vec_id", F.col("v").cast("array<int>").alias("v"))
+    whole = lambda e: F.floor(F.lit(float(scale)) * e.cast("double"))
+    bound = F.lit(WIDEST)
+    big = lambda e: F.lit(float(scale)) * e.cast("double")
+    x = F.transform(column(vectors, vector_col), lambda e: F.when(big(e) >= float(WIDEST), bound).when(big(e) <= -float(WIDEST), -bound).otherwise(whole(e)))
+    fine = F.forall(column(vectors, vector_col), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    return vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), F.when(fine, x).alias("v")).where("vec_id is not null and v is not null")
 
 
 def build_index(rows: DataFrame) -> DataFrame:
@@ -40,13 +42,14 @@ def build_index(rows: DataFrame) -> DataFrame:
 
         def block(ids, vectors):
             width = max((len(v) for v in vectors), default=0)
-            x = np.zeros((len(vectors), width), dtype=np.int32)
+            x = np.zeros((len(vectors), width), dtype=np.int64)
             for i, v in enumerate(vectors):
                 x[i, :len(v)] = v
             order = np.argsort(x, axis=0, kind="stable").astype(np.uint16).T
             low, high = x.min(axis=0, initial=WIDEST), x.max(axis=0, initial=-WIDEST)
-            # Edges of the value segments; the first is below every value, the last above.
-            edges = low + ((high.astype(np.int64) + 1 - low) * np.arange(LEVELS + 1)[:, None]) // LEVELS
+            # Edges of the value segments; the first is below every value, the last above. Python's numbers, for products may pass 64 bits.
+            edges = np.array([[a + (b + 1 - a) * i // LEVELS for a, b in zip(low.tolist(), high.tolist())] for i in range(LEVELS + 1)],
+                             dtype=np.int64).reshape(LEVELS + 1, width)
             bounds = np.array([np.searchsorted(x[order[d], d], edges[:, d]) for d in range(width)], dtype=np.int32)
             return pa.RecordBatch.from_pydict({
                 "ids": [np.asarray(ids, dtype=np.int64).tobytes()], "width": [width], "codes": [x.tobytes()],
@@ -57,7 +60,7 @@ def build_index(rows: DataFrame) -> DataFrame:
         ids, vectors = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            vectors += [np.asarray(v, dtype=np.int32) for v in batch.column(1).to_pylist()]
+            vectors += [np.asarray(v, dtype=np.int64) for v in batch.column(1).to_pylist()]
             while len(ids) >= ROWS:
                 yield block(ids[:ROWS], vectors[:ROWS])
                 ids, vectors = ids[ROWS:], vectors[ROWS:]
@@ -76,7 +79,7 @@ class Block:
         self.np, self.width = np, row["width"]
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         n = len(self.ids)
-        self.codes = np.frombuffer(row["codes"], dtype=np.int32).reshape(n, self.width).astype(np.int64)
+        self.codes = np.frombuffer(row["codes"], dtype=np.int64).reshape(n, self.width)
         self.postings = np.frombuffer(row["postings"], dtype=np.uint16).astype(np.int64)
         bounds = np.frombuffer(row["bounds"], dtype=np.int32).reshape(self.width, LEVELS + 1)
         self.counts = np.diff(bounds, axis=1)
@@ -100,11 +103,14 @@ class Block:
         if not n:
             return np.zeros(0, np.int64), self.ids
         q = np.concatenate([q[:self.width], np.zeros(max(0, self.width - len(q)), np.int64)])
-        up, size = (q > 0)[:, None], np.abs(q)[:, None]
+        # Impacts are doubles; `noise` is more than their sums can be off by.
+        up, size = (q > 0)[:, None], np.abs(q).astype(float)[:, None]
+        reach_all = float((size[:, 0] * np.maximum(np.abs(self.low.astype(float)), np.abs(self.high.astype(float)))).sum())
+        noise = 1e-11 * (reach_all + abs(float(known or 0))) + 1
         impact = size * np.where(up, self.left - self.low[:, None], self.high[:, None] - self.right)
         best = size * np.where(up, self.right - self.low[:, None], self.high[:, None] - self.left)
         spread = (best - impact).max(axis=1, initial=0)
-        floor = None if known is None else known - int((q * np.where(up[:, 0], self.low, self.high)).sum())
+        floor = None if known is None else float(known) - float((q.astype(float) * np.where(up[:, 0], self.low, self.high)).sum())
         live = np.broadcast_to(size > 0, impact.shape)
         done = np.zeros(impact.shape, dtype=bool)
         rank = np.argsort(-impact, axis=None, kind="stable")
@@ -121,16 +127,21 @@ class Block:
                 # Sums of whole numbers in doubles; `slack` makes up for rounding beyond 2**53.
                 acc += np.bincount(rows, weights=np.repeat(impact[now], counts), minlength=n)
             rest = np.where(done, 0, best).max(axis=1, initial=0)
-            slack = float(np.maximum(spread, rest).sum()) * (1 + 1e-9) + 1
+            slack = float(np.maximum(spread, rest).sum()) * (1 + 1e-9) + noise
             others = acc[~mine]
             reach = -np.inf if floor is None else floor
             if len(others) > k:
                 reach = max(reach, np.partition(others, len(others) - k)[len(others) - k])
-            keep = np.flatnonzero(acc + slack >= reach * (1 - 1e-9) - 1)
+            keep = np.flatnonzero(acc + slack >= reach - noise)
             if len(keep) <= n // 16:
                 break
         keep = keep[~mine[keep]]
         score = self.codes[keep] @ q
+        if reach_all >= 1 << 62:
+            # Sums of 64 bits wrap around; those near or past the end of a long are taken in Python's numbers and saturated.
+            rough = self.codes[keep].astype(float) @ q.astype(float)
+            for i in np.flatnonzero(np.abs(rough) >= 1 << 62):
+                score[i] = max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(self.codes[keep[i]].tolist(), q.tolist()))))
         pick = np.lexsort((self.ids[keep], -score))[:k]
         return score[pick], self.ids[keep[pick]]
 
@@ -139,7 +150,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, chunk: int = 100_00
     """(query_id, rank, vec_id, score): each query's k best rows of the index, but for rows of its own id.
 
     `queries` is (vec_id, v), distinct rows; `index` comes from `build_index` and is best read from
-    a table. The queries go out in chunks of at most `chunk`, the size bound of a broadcast (26 MB at
+    a table. The queries go out in chunks of at most `chunk`, the size bound of a broadcast (51 MB at
     64 components), and each chunk runs over all blocks. A task keeps k rows per query over its
     blocks, so the merge reads k rows for each query and task. Fewer candidates give fewer ranks; repeated ids
     are candidates of their own.
@@ -164,7 +175,7 @@ def _matrix(table):
     import numpy as np
 
     vectors = table.column(1).to_pylist()
-    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0)), dtype=np.int32)
+    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0)), dtype=np.int64)
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
     return table.column(0).to_numpy(), out
@@ -199,7 +210,11 @@ def _search(sent, k):
 
 
 def search_table(vectors: DataFrame, is_query, k: int = 10, **columns) -> DataFrame:
-    """Index every row of `vectors`, search with the rows that satisfy `is_query` (a condition on vec_id)."""
+    """Index every row of `vectors`, search with the rows that satisfy `is_query` (a condition on vec_id).
+
+    A query id with several different vectors searches with each, and the hits share one ranking: a row that several of them find counts once for
+    each. Equal rows search once.
+    """
     rows = scaled(vectors, **columns)
     index = cut(build_index(rows), "impact-index")
     queries = rows.where(is_query).distinct()
