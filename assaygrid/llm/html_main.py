@@ -29,6 +29,10 @@ LONG, MANY = 12, 30
 # Kinds of subtrees, strictest bound first: what may be article prose, a container with much prose, one with little.
 PROSE_LIKE, FULL, LIGHT = 0, 1, 2
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+# Part names that prose goes by as well.
+DOUBTFUL = frozenset("search social promotion related rail notice notices alert respond reply share sharing widget widgets banner menu recommended sponsored".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WANTED, MAYBE, OPENING, UNWANTED = range(4)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -41,44 +45,51 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 BOUND = frozenset("html body article main section div table td th blockquote aside nav header footer form ul ol".split())
 
 
-def unwanted(tag: str, attrs: str) -> bool:
-    """Does an element say that it is no part of the article?"""
-    if tag in DROPPED:
-        return True
+def unwanted(tag: str, attrs: str) -> int:
+    """Does an element say that it is no part of the article? MAYBE where only a doubtful or a compound name says so, or it is a form."""
+    out = OPENING if tag == "header" else MAYBE if tag == "form" else UNWANTED if tag in DROPPED else WANTED
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return out
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and (COMMENTS if tag == "article" else PARTS) & set(SPLIT.split(value)):
-            return True
+        if name in ("class", "id"):
+            for one in value.split():
+                parts = [x for x in SPLIT.split(one) if x]
+                named = [x for x in parts if x in (COMMENTS if tag == "article" else PARTS)]
+                if named:
+                    clear = any(x not in DOUBTFUL for x in named) or tag not in BLOCK
+                    out = max(out, UNWANTED if clear else MAYBE)
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return UNWANTED
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return UNWANTED
+    return out
 
 
 def parse(html: str | None):
-    """(blocks, whole, kinds): blocks are (text, hashes of the subtrees it lies in, in an unwanted part?), in page order.
+    """(blocks, tree, whole): blocks are (text, place in the tree or -1, in an unwanted part?), in page order.
 
-    All blocks come back, those of unwanted parts too, so that their subtrees are counted. A subtree's hash covers its
-    tags and its text with white space made single. Inside an article, paragraphs, headings, list
-    items and cells are content and carry no hash; only what contains them may be a template.
-    `whole` hashes the wanted text, only that of article and main elements if this is most of it. `kinds` has the kind of every subtree by its hash: containers
-    outside articles are LIGHT or FULL by their words of prose, everything else is PROSE_LIKE.
+    The tree lists the subtrees that may be templates, as (hash, place of the next one around it or -1, kind). All blocks come back, those of
+    unwanted parts too, so that their subtrees are counted. A subtree's hash covers its tags, the text right in it with white space made single, and its
+    children's hashes, so hashing is linear in the page. Inside an article, paragraphs, headings, list items and cells are content and
+    are not in the tree; only what contains them may be a template. Containers outside articles are LIGHT or FULL by their
+    words of prose, everything else is PROSE_LIKE. A form, or a part with a doubtful name, is unwanted unless it holds MANY words in blocks of
+    LONG words; a header inside an article keeps its headings. `whole` hashes the wanted text, only that of article and main elements if
+    this is most of it.
     """
     from html import unescape
 
     import xxhash
 
     html = html or ""
-    # Open elements: [tag, unwanted?, inside an article?, node, text set aside]. Inline elements that are wanted are not
+    # Open elements: [tag, state, inside an article?, node, text set aside, undecided node or -1]. Inline elements that are wanted are not
     # kept: their text is their block's. An unwanted one sets the text before it aside and drops its own at its end.
-    # Nodes: [parent, hasher, hash, droppable?, container outside articles?, words of prose].
+    # Nodes: [parent, hasher, hash, droppable?, container outside articles?, words of prose, words in long blocks, undecided node around].
     nodes: list[list] = []
     stack: list[list] = []
     found: list[tuple] = []
     text: list[str] = []
+    opened: dict[str, int] = {}
 
     def flush():
         if text:
@@ -86,40 +97,54 @@ def parse(html: str | None):
             text.clear()
             if words:
                 many = words.count(" ") + 1
-                prose = many if many >= LONG or not any(x[0] in ITEMS for x in stack[-2:]) else 0
-                for x in stack:
-                    nodes[x[3]][1].update("\0" + words)
-                    nodes[x[3]][5] += prose
-                found.append((words, stack[-1][3] if stack else -1, bool(stack and stack[-1][2]), bool(stack and stack[-1][1])))
+                top = stack[-1] if stack else None
+                if top:
+                    node = nodes[top[3]]
+                    node[1].update("\0" + words)
+                    node[5] += many if many >= LONG or not any(x[0] in ITEMS for x in stack[-2:]) else 0
+                    node[6] += many if many >= LONG and top[1] < OPENING else 0
+                found.append((words, top[3] if top else -1, bool(top and top[2]), bool(top and top[1] >= OPENING), top[5] if top else -1))
 
     def push(tag, attrs):
-        up = stack[-1] if stack else ["", False, False, -1, None]
-        drop, aside = up[1] or unwanted(tag, attrs), None
+        up = stack[-1] if stack else ["", WANTED, False, -1, None, -1]
+        root = tag in ("article", "main")
+        inside = up[2] or root
+        state = unwanted(tag, attrs)
+        if up[1] == UNWANTED or up[1] == OPENING and not (tag in HEADINGS and up[2] and state == WANTED):
+            state = max(state, up[1])
+        aside = None
         if tag not in BLOCK:
-            if not drop:
+            if state < OPENING:
                 return
-            if not up[1]:
+            if up[1] < OPENING:
                 aside = text[:]
                 text.clear()
-        root = tag in ("article", "main")
-        inside = up[2] or root
         droppable = not root and tag not in ("html", "body") and not (inside and tag in PROSE)
-        node = [up[3], xxhash.xxh3_64("<" + tag), 0, droppable, not inside and tag not in PROSE, 0]
-        stack.append([tag, drop, inside, len(nodes), aside])
-        nodes.append(node)
+        k = len(nodes)
+        nodes.append([up[3], xxhash.xxh3_64("<" + tag), 0, droppable, not inside and tag not in PROSE, 0, 0, up[5]])
+        stack.append([tag, state, inside, k, aside, k if state == MAYBE else up[5]])
+        opened[tag] = opened.get(tag, 0) + 1
 
     def pop():
-        tag, _, _, k, aside = stack[-1]
+        tag, _, _, k, aside, _ = stack[-1]
         if tag in BLOCK:
             flush()
         elif aside is not None:
             text[:] = aside
         stack.pop()
-        nodes[k][2] = nodes[k][1].intdigest() - (1 << 63)
-        for x in stack:
-            nodes[x[3]][1].update("</" + tag)
+        opened[tag] -= 1
+        node = nodes[k]
+        node[2] = node[1].intdigest() - (1 << 63)
+        if stack:
+            around = nodes[stack[-1][3]]
+            around[1].update(node[1].digest())
+            around[5] += node[5]
+            around[6] += node[6]
+        node[1] = None
 
     def end(tags, bounds=()):
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
                 while len(stack) > i:
@@ -152,7 +177,7 @@ def parse(html: str | None):
         if tag in BLOCK:
             flush()
             if tag in ("article", "main"):
-                while any(x[0] in ("nav", "header", "footer", "aside", "form", "p") for x in stack):
+                while any(opened.get(t) for t in ("nav", "header", "footer", "aside", "form", "p")):
                     pop()
             end({"p"}, BOUND)
             if tag in ENDS:
@@ -167,41 +192,51 @@ def parse(html: str | None):
     flush()
     while stack:
         pop()
-    inner, outer = (sum(len(x[0]) for x in found if x[2] is side and not x[3]) for side in (True, False))
-    blocks = []
-    kinds: dict = {}
+    # Parents stand before their children, so one pass settles what an undecided part around a part says, and where each
+    # subtree hangs in the tree of those that may be templates.
+    gone, place, tree = [], [], []
+    for parent, _, digest, droppable, outside, prose, long, around in nodes:
+        gone.append(around >= 0 and (gone[around] or nodes[around][6] < MANY))
+        over = place[parent] if parent >= 0 else -1
+        if droppable:
+            tree.append((digest, over, (LIGHT if prose < MANY else FULL) if outside else PROSE_LIKE))
+            over = len(tree) - 1
+        place.append(over)
+    blocks = [(words, place[k] if k >= 0 else -1, inside, part or around >= 0 and (gone[around] or nodes[around][6] < MANY)) for words, k, inside, part, around in found]
+    inner, outer = (sum(len(x[0]) for x in blocks if x[2] is side and not x[3]) for side in (True, False))
     whole = xxhash.xxh3_64()
-    for words, k, inside, part in found:
-        chain = []
-        while k >= 0:
-            if nodes[k][3]:
-                chain.append(nodes[k][2])
-                kinds[nodes[k][2]] = (LIGHT if nodes[k][5] < MANY else FULL) if nodes[k][4] else PROSE_LIKE
-            k = nodes[k][0]
-        blocks.append((words, chain, part))
+    for words, _, inside, part in blocks:
         if not part and (inside or inner <= outer):
             whole.update(words + "\n")
-    return blocks, whole.intdigest() - (1 << 63), kinds
+    return [(words, k, part) for words, k, _, part in blocks], tree, whole.intdigest() - (1 << 63)
+
+
+def without_templates(blocks, parents, hashes, gone):
+    """The blocks of a page, [(text, place, part)], that lie in no subtree whose hash is in `gone`."""
+    lost: list[bool] = []
+    for digest, parent in zip(hashes, parents):
+        lost.append(digest in gone or parent >= 0 and lost[parent])
+    return [b for b in blocks if b[1] < 0 or not lost[b[1]]]
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, host, blocks, whole, kinds)."""
+    """(page_id, url, host, blocks, tree, whole)."""
     def run(batches):
         import pyarrow as pa
 
-        subtree = pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.int32())]))
-        kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64())), ("part", pa.bool_())]))
+        subtree = pa.list_(pa.struct([("hash", pa.int64()), ("parent", pa.int32()), ("kind", pa.int32())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int32()), ("part", pa.bool_())]))
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)
                 done = [parse(h.as_py()) for h in some.column(2)]
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), some.column(1), pa.array([[{"text": t, "chain": c, "part": p} for t, c, p in b] for b, _, _ in done], kind),
-                    pa.array([w for _, w, _ in done], pa.int64()), pa.array([[{"hash": h, "kind": n} for h, n in k.items()] for _, _, k in done], subtree)],
-                    ["page_id", "url", "blocks", "whole", "kinds"])
+                    some.column(0), some.column(1), pa.array([[{"text": t, "place": k, "part": p} for t, k, p in b] for b, _, _ in done], kind),
+                    pa.array([[{"hash": h, "parent": p, "kind": n} for h, p, n in t] for _, t, _ in done], subtree), pa.array([w for _, _, w in done], pa.int64())],
+                    ["page_id", "url", "blocks", "tree", "whole"])
 
     own = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).alias("url"), column(pages, html_col).alias("html"))
-    out = own.mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,chain:array<long>,part:boolean>>, whole long, kinds array<struct<hash:long,kind:int>>")
+    out = own.mapInArrow(run, "page_id long, url string, blocks array<struct<text:string,place:int,part:boolean>>, tree array<struct<hash:long,parent:int,kind:int>>, whole long")
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return out.withColumn("host", F.when(host != "", host))
 
@@ -215,7 +250,7 @@ def templates(seen: DataFrame, bounds) -> DataFrame:
     """
     own = seen.where("host is not null")
     pages = own.groupBy("host", "whole").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    hashes = own.select("host", "whole", F.inline("kinds"))
+    hashes = own.select("host", "whole", F.inline("tree"))
     n = hashes.groupBy("host", "hash", "whole").agg(F.min("kind").alias("kind")).groupBy("host", "hash").agg(
         F.count("*").alias("n"), F.min("kind").alias("kind"))
     pick = lambda i: F.element_at(F.array(*[F.lit(float(b[i])) for b in bounds]), F.col("kind") + 1)
@@ -241,10 +276,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bounds = [(least, share), *((min(least, n), min(share, part)) for n, part in (full, light))]
     found = cut(templates(seen, bounds), "page-templates").withColumnRenamed("host", "of")
     joined = seen.join(found, F.col("host") == F.col("of"), "left")
-    # The one-element array binds the page's own templates, so that they are looked up once a page.
-    own = F.array_intersect(F.flatten(F.col("blocks.chain")), F.coalesce("hashes", F.array().cast("array<long>")))
-    left = F.element_at(F.transform(F.array(own), lambda t: F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], t))), 1)
-    kept = joined.select("page_id", "url", F.size("blocks").alias("n"), left.alias("left"))
-    text = F.array_join(F.transform(F.filter("left", lambda b: ~b["part"]), lambda b: b["text"]), "\n\n")
-    return kept.select("page_id", "url", "n", F.size("left").alias("rest"), text.alias("text")).select(
-        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.col("n") - F.col("rest")).cast("long").alias("n_removed"))
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, removed = [], []
+            for blocks, tree, gone in zip(*(batch.column(c) for c in ("blocks", "tree", "hashes"))):
+                blocks = [(b["text"], b["place"], b["part"]) for b in blocks.as_py()]
+                gone = set(gone.as_py() or ())
+                left = without_templates(blocks, *([t[c] for t in tree.as_py()] for c in ("parent", "hash")), gone) if gone else blocks
+                texts.append("\n\n".join(t for t, _, part in left if not part))
+                removed.append(len(blocks) - len(left))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())],
+                                             ["page_id", "url", "text", "n_removed"])
+
+    done = joined.select("page_id", "url", "blocks", "tree", "hashes").mapInArrow(run, "page_id long, url string, text string, n_removed long")
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
