@@ -35,7 +35,10 @@ def plain(token: str) -> str:
 
 
 class Lexicon:
-    """Terms and stems with weights; finds terms within one edit (two from ten letters on, none below five).
+    """Terms and stems with weights; finds terms within one edit (two from ten letters on, none below four).
+
+    An edit is a letter more, less or other, or two neighbours swapped. While a swap is half read, a state holds what the next
+    letter must be and where it leads.
 
     The Levenshtein automata of all terms run at once over their trie: a state is the set of (trie
     node, edits) that the letters read so far can reach. States are made when first met and
@@ -68,7 +71,7 @@ class Lexicon:
 
     @staticmethod
     def edits(term: str) -> int:
-        return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+        return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
     def forget(self):
         self.steps, self.sets, self.numbers = [{}], [{}], {}
@@ -76,7 +79,7 @@ class Lexicon:
 
     def closed(self, state: dict) -> dict:
         """With the letters that the word may have left out."""
-        todo = list(state.items())
+        todo = [(node, e) for node, e in state.items() if not isinstance(node, tuple)]
         while todo:
             node, e = todo.pop()
             for child in self.children[node].values():
@@ -99,12 +102,20 @@ class Lexicon:
     def step(self, number: int, letter: str) -> int:
         state: dict = {}
         for node, e in self.sets[number].items():
+            if isinstance(node, tuple):
+                if node[1] == letter and e < state.get(node[0], 9):
+                    state[node[0]] = e
+                continue
             if e + 1 <= self.most[node] and e + 1 < state.get(node, 9):
                 state[node] = e + 1
             for c, child in self.children[node].items():
                 cost = e + (c != letter)
                 if cost <= self.most[child] and cost < state.get(child, 9):
                     state[child] = cost
+                behind = self.children[child].get(letter)
+                if c != letter and behind is not None and e + 1 <= self.most[behind]:
+                    swap = behind, c
+                    state[swap] = min(e + 1, state.get(swap, 9))
         to = self.number(self.closed(state))
         self.steps[number][letter] = to
         return to
@@ -120,7 +131,7 @@ class Lexicon:
             if not at:
                 return None
         found = [(e, -self.terms[self.term[n]], self.term[n]) for n, e in self.sets[at].items()
-                 if self.term[n] is not None and e <= self.edits(self.term[n])]
+                 if not isinstance(n, tuple) and self.term[n] is not None and e <= self.edits(self.term[n])]
         if not found:
             return None
         e, _, term = min(found)
@@ -129,7 +140,7 @@ class Lexicon:
     def look(self, token: str):
         """(strength, fuzzy term or None) of a token, or None."""
         word = plain(token)
-        if len(word) < 3:
+        if not word:
             return None
         if word in self.terms:
             return self.terms[word], None
@@ -183,7 +194,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = {plain(t) for t in set((text.as_py() or "").lower().split())}
-                words = {w for w in words if 3 <= len(w) <= 40}
+                words.discard("")
                 counts.update((0, w, toxic) for w in words)
                 counts.update((1, s, toxic) for s in {w[:k] for w in words for k in STEMS if len(w) >= k})
                 if len(counts) > 300_000:
@@ -211,17 +222,22 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold
     return cut(own.join(ids, "doc_id").select("toxic", "text"), "toxicity-sample"), sizes
 
 
+def _first(rows: DataFrame, most_terms: int | None) -> DataFrame:
+    return rows if most_terms is None else rows.limit(2 * most_terms)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, fold: int = 2,
-          per_class: int = 10_000, most_terms: int = 5_000, id_col: str = "doc_id", text_col: str = "text"):
+          per_class: int = 10_000, most_terms: int | None = None, id_col: str = "doc_id", text_col: str = "text"):
     """(lexicon, weights, bias, sizes) from a sample of about `per_class` labelled documents of each class.
 
     A word enters when toxic documents hold it at least eight times as often as others and its log
     likelihood ratio against chance is STRONG, or is WEAK and a STRONG beginning of it is known; a
     strong beginning enters itself when it stands for more than its commonest word. Only strong
     words may be misspelt, and only those whose misspellings are as telling in the sample. The evidence of exact and of misspelt hits is then weighed by a
-    ridge logistic regression whose rows count as their classes do in the labels. The bounds
-    `per_class` and `most_terms` limit what the driver reads: counts of at most 2 * `most_terms` words and as many
-    beginnings, the most surprising first, and two numbers a document. What the bound leaves out is logged.
+    ridge logistic regression whose rows count as their classes do in the labels. `per_class` bounds the documents learnt
+    from, and so what the driver reads: the words and beginnings of the sample that pass these tests, all of them, and two numbers and the
+    misspelt terms of each document. `most_terms`, if given, keeps 2 * `most_terms` words and as many beginnings, the most surprising first;
+    what it leaves out is logged.
     """
     import numpy as np
 
@@ -239,9 +255,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
         ((F.col("ratio") >= np.log(8.0)) | (F.col("kind") == 1) & (F.col("ratio") > 0)) & (F.col("surprise") >= WEAK))
     picked = cut(picked, "toxicity-terms")
     # Words and beginnings are bounded apart, so that neither crowds the other out.
-    rows = [row for kind in (0, 1) for row in picked.where(F.col("kind") == kind).orderBy(F.desc("surprise"), "term").limit(2 * most_terms).collect()]
+    rows = [row for kind in (0, 1) for row in _first(picked.where(F.col("kind") == kind).orderBy(F.desc("surprise"), "term"), most_terms).collect()]
     for kind, many in sorted((row[0], row[1]) for row in picked.groupBy("kind").count().collect()):
-        if many > 2 * most_terms:
+        if most_terms is not None and many > 2 * most_terms:
             log.warning("toxicity terms: %d %s beyond the bound of %d left out", many - 2 * most_terms, ("words", "beginnings")[kind], 2 * most_terms)
     begins = {r["term"]: r for r in rows if r["kind"] == 1 and r["surprise"] >= STRONG}
     words = {r["term"]: r for r in rows if r["kind"] == 0}

@@ -452,12 +452,16 @@ def test_toxicity(labelled):
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+    # Letters more, less or other, and neighbours swapped.
+    rows = [list(range(len(b) + 1))]
     for i, c in enumerate(a, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, d in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (c != d)))
+            if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def test_automaton_is_edit_distance():
