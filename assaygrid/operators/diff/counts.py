@@ -9,6 +9,8 @@ the last digit.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,11 +89,90 @@ def best_dispersion(y, x, mu, prior_mean=None, prior_var=None):
     return np.exp(np.clip((lo + hi) / 2, np.log(MIN_DISP), None))
 
 
-def _blocks(batches, n):
+def _blocks(batches, n, use, log_s):
+    """(rows, counts and log offsets of the samples used) by the block; a cell's offset is its sample's plus its own, if rows have some."""
     for batch in batches:
         for i in range(0, len(batch), BATCH):
             part = batch.iloc[i:i + BATCH]
-            yield part, np.nan_to_num(_dense(part, "k", "v", n), nan=0.0)
+            off = np.broadcast_to(log_s, (len(part), len(use)))
+            if "ok" in part:
+                off = off + np.nan_to_num(_dense(part, "ok", "ov", n), nan=0.0)[:, use]
+            yield part, np.nan_to_num(_dense(part, "k", "v", n), nan=0.0)[:, use], off
+
+
+def relative_lengths(lengths: DataFrame) -> DataFrame:
+    """(feature_id, sample_id, rel): the natural logarithm of each cell's length less its feature's mean of them; lengths are positive."""
+    logs = lengths.where("length > 0").select("feature_id", "sample_id", F.log("length").alias("l"))
+    mean = logs.groupBy("feature_id").agg(F.avg("l").alias("m"))
+    return logs.join(mean, "feature_id").select("feature_id", "sample_id", (F.col("l") - F.col("m")).alias("rel"))
+
+
+def per_length(layer: Layer, relative: DataFrame | None) -> Layer:
+    """The layer with counts over relative lengths, from which size factors are taken. A cell without a length stays."""
+    if relative is None:
+        return layer
+    cells = layer.cells.join(relative, ["feature_id", "sample_id"], "left").select(
+        "feature_id", "sample_id", (F.col("value") / F.exp(F.coalesce("rel", F.lit(0.0)))).alias("value"))
+    return layer.with_cells(cells)
+
+
+def f_quantile(q: float, d1: float, d2: float) -> float:
+    """Quantile of the F distribution, by halving the incomplete beta integral over a smooth substitution."""
+    if d2 <= 0:
+        return np.inf
+    node, weight = np.polynomial.legendre.leggauss(400)
+    u, w = (node + 1) / 2, weight / 2
+    part = lambda top: 2 * top * (w * (u * top) ** (d1 - 1) * np.maximum(1 - (u * top) ** 2, 0) ** (d2 / 2 - 1)).sum()
+    # t = v^2 up to one half, and the complement by symmetry beyond, so both ends stay smooth.
+    half = 0.5**0.5
+    other = lambda top: 2 * top * (w * (u * top) ** (d2 - 1) * np.maximum(1 - (u * top) ** 2, 0) ** (d1 / 2 - 1)).sum()
+    total = part(half) + other(half)
+    below = lambda t: (part(t**0.5) if t <= 0.5 else total - other((1 - t) ** 0.5)) / total
+    lo, hi = 0.0, 1.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if below(mid) < q else (lo, mid)
+    return float(d2 * lo / (d1 * max(1 - lo, 1e-300)))
+
+
+def trimmed_mean(v, share):
+    """Mean of each row without `share` of its values at either end."""
+    n = v.shape[1]
+    cut_off = int(np.floor(n * share))
+    return np.sort(v, axis=1)[:, cut_off:n - cut_off].mean(axis=1)
+
+
+# Shares trimmed off squared deviations by replicates, and what makes their mean a variance again.
+TRIMS = ((3, 1 / 3, 2.04), (23, 1 / 4, 1.86), (1 << 30, 1 / 8, 1.51))
+REPLACE_FROM, TELL_FROM = 7, 3
+
+
+def cells_of(x):
+    """Cell number of every sample: samples of one design row are replicates; and how many replicates each sample has."""
+    _, code, size = np.unique(np.round(x, 12), axis=0, return_inverse=True, return_counts=True)
+    code = code.reshape(-1)
+    return code, size[code]
+
+
+def robust_dispersion(norm, code, size):
+    """Moment dispersion from trimmed variances within replicates (over all samples where no cell has three), at least 0.04."""
+    groups = [np.flatnonzero(code == c) for c in np.unique(code[size >= TELL_FROM])] or [np.arange(norm.shape[1])]
+    spread = []
+    for g in groups:
+        share, scale = next((t, c) for most, t, c in TRIMS if len(g) <= most)
+        middle = trimmed_mean(norm[:, g], share)
+        spread.append(scale * trimmed_mean((norm[:, g] - middle[:, None]) ** 2, 1 / 8 if len(groups) == 1 and len(g) == norm.shape[1] else share))
+    mean = np.maximum(norm.mean(axis=1), 1e-12)
+    return np.maximum((np.max(spread, axis=0) - mean) / mean**2, 0.04)
+
+
+def cooks_distances(y, x, mu, cov, off, alpha, code, size):
+    """Cook's distance of every count: its squared Pearson residual under the robust dispersion, weighed by its leverage."""
+    w = mu / (1 + alpha[:, None] * mu)
+    lever = np.clip(w * np.einsum("ni,bij,nj->bn", x, cov, x, optimize=True), 0, 1 - 1e-9)
+    robust = robust_dispersion(y / np.exp(off), code, size)
+    pearson = (y - mu) ** 2 / (mu + robust[:, None] * mu**2)
+    return pearson / x.shape[1] * lever / (1 - lever) ** 2
 
 
 def gene_dispersions(rows: DataFrame, n: int, use, x, log_s) -> DataFrame:
@@ -99,16 +180,15 @@ def gene_dispersions(rows: DataFrame, n: int, use, x, log_s) -> DataFrame:
     use, x, log_s = np.asarray(use), np.asarray(x, float), np.asarray(log_s, float)
 
     def kernel(batches):
-        for part, full in _blocks(batches, n):
-            y = full[:, use]
+        for part, y, off in _blocks(batches, n, use, log_s):
             live = y.sum(axis=1) > 0
             if not live.any():
                 continue
-            y = y[live]
-            norm = y / np.exp(log_s)
+            y, off = y[live], off[live]
+            norm = y / np.exp(off)
             mean, var = norm.mean(axis=1), norm.var(axis=1, ddof=1)
-            start = np.clip((var - mean * np.mean(np.exp(-log_s))) / mean ** 2, MIN_DISP * 10, 10.0)
-            _, mu, _ = irls(y, x, log_s, start)
+            start = np.clip((var - mean * np.exp(-off).mean(axis=1)) / mean ** 2, MIN_DISP * 10, 10.0)
+            _, mu, _ = irls(y, x, off, start)
             yield pd.DataFrame({"feature_id": part["feature_id"].to_numpy()[live], "base_mean": mean, "disp": best_dispersion(y, x, mu)})
 
     return rows.mapInPandas(kernel, "feature_id string, base_mean double, disp double")
@@ -164,35 +244,67 @@ def _design(layer, meta, group_col, contrasts, covariates, block):
     return _group_design(meta, group_col, levels, covariates, block, [(lab, [w.get(lv, 0.0) for lv in levels]) for lab, w in contrasts])
 
 
-def _wald(rows: DataFrame, disp: DataFrame, n: int, model, log_s, shrink, reduced=None) -> DataFrame:
-    """Final dispersions, coefficients and Wald (or likelihood-ratio) statistics per contrast."""
+def _wald(rows: DataFrame, disp: DataFrame, n: int, model, log_s, shrink, reduced=None, outliers: bool = True) -> DataFrame:
+    """Final dispersions, coefficients and Wald (or likelihood-ratio) statistics per contrast.
+
+    With `outliers`, counts whose Cook's distance passes the 0.99 quantile of F are replaced by their row's trimmed mean where seven or more
+    replicates stand behind it, and the row is fitted again; a row whose outlier has three to six replicates, and fewer than three larger
+    counts, gets no statistic. `n_replaced` and `outlier` tell which rows these are.
+    """
     use, x, contrasts = model.rows, model.x, model.contrasts
     log_s = np.asarray(log_s, float)
     joined = rows.join(disp, "feature_id")
+    code, size = cells_of(x)
+    bound = f_quantile(0.99, x.shape[1], len(x) - x.shape[1])
+
+    def dispersions(y, off, gene, mean):
+        if shrink is None:
+            return np.maximum(gene, MIN_DISP)
+        fit = shrink["trend"][0] + shrink["trend"][1] / mean
+        _, mu, _ = irls(y, x, off, np.maximum(gene, MIN_DISP))
+        mapped = best_dispersion(y, x, mu, np.log(fit), shrink["prior_var"])
+        return np.maximum(np.where(np.log(gene) > np.log(fit) + shrink["bound"], gene, mapped), MIN_DISP)
 
     def kernel(batches):
-        for part, full in _blocks(batches, n):
-            y = full[:, use]
+        for part, y, off in _blocks(batches, n, use, log_s):
             gene, mean = part["disp"].to_numpy(float), part["base_mean"].to_numpy(float)
-            alpha = gene
-            if shrink is not None:
-                fit = shrink["trend"][0] + shrink["trend"][1] / mean
-                _, mu, _ = irls(y, x, log_s, np.maximum(gene, MIN_DISP))
-                mapped = best_dispersion(y, x, mu, np.log(fit), shrink["prior_var"])
-                alpha = np.where(np.log(gene) > np.log(fit) + shrink["bound"], gene, mapped)
-            alpha = np.maximum(alpha, MIN_DISP)
-            beta, mu, cov = irls(y, x, log_s, alpha)
+            alpha = dispersions(y, off, gene, mean)
+            beta, mu, cov = irls(y, x, off, alpha)
+            told, replaced = np.zeros(len(y), dtype=bool), np.zeros(len(y), dtype=np.int64)
+            if outliers and len(x) > x.shape[1] and (size >= TELL_FROM).any():
+                far = (cooks_distances(y, x, mu, cov, off, alpha, code, size) > bound) & (size >= TELL_FROM)
+                swap = far & (size >= REPLACE_FROM)
+                larger = (y[:, None, :] > np.where(far & ~swap, y, np.inf).min(axis=1)[:, None, None]).sum(axis=2)[:, 0]
+                told = (far & ~swap).any(axis=1) & (larger < 3)
+                again = np.flatnonzero(swap.any(axis=1))
+                if len(again):
+                    norm = y[again] / np.exp(off[again])
+                    calm = np.where(swap[again], np.floor(trimmed_mean(norm, 0.2)[:, None] * np.exp(off[again])), y[again])
+                    y = y.copy()
+                    y[again] = calm
+                    replaced[again] = swap[again].sum(axis=1)
+                    live = calm.sum(axis=1) > 0
+                    told[again[~live]] = True
+                    some = again[live]
+                    if len(some):
+                        y2, off2 = y[some], off[some]
+                        mean2 = (y2 / np.exp(off2)).mean(axis=1)
+                        _, mu2, _ = irls(y2, x, off2, np.maximum(gene[some], MIN_DISP))
+                        alpha[some] = dispersions(y2, off2, best_dispersion(y2, x, mu2), mean2)
+                        beta[some], mu[some], cov[some] = irls(y2, x, off2, alpha[some])
             lrt = np.full(len(y), np.nan)
             if reduced is not None:
-                _, mu0, _ = irls(y, reduced, log_s, alpha)
+                _, mu0, _ = irls(y, reduced, off, alpha)
                 lrt = np.maximum(2 * (log_lik(y, mu, alpha) - log_lik(y, mu0, alpha)), 0.0)
             for label, w in contrasts:
                 est = beta @ w
                 se = np.sqrt(np.einsum("i,bij,j->b", w, cov, w))
-                yield pd.DataFrame({"feature_id": part["feature_id"], "comparison": label, "effect": est / LN2, "statistic": est / se,
-                                    "lrt": lrt, "base_mean": mean, "dispersion": alpha})
+                yield pd.DataFrame({"feature_id": part["feature_id"], "comparison": label, "effect": est / LN2, "statistic": np.where(told, np.nan, est / se),
+                                    "lrt": np.where(told, np.nan, lrt), "base_mean": mean, "dispersion": alpha, "n_replaced": replaced, "outlier": told})
 
-    return joined.mapInPandas(kernel, "feature_id string, comparison string, effect double, statistic double, lrt double, base_mean double, dispersion double")
+    out = joined.mapInPandas(kernel, "feature_id string, comparison string, effect double, statistic double, lrt double, base_mean double, "
+                                     "dispersion double, n_replaced long, outlier boolean")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("statistic", "lrt")})
 
 
 def _rejections(j: DataFrame, alpha: float, method: str) -> DataFrame:
@@ -235,9 +347,15 @@ def independent_filter(stats: DataFrame, alpha: float = 0.1, points: int = 50, m
     return adjust_p(kept, ["comparison"], "p_kept", method=method, few=True).drop("p_kept", "cuts", "last", "theta")
 
 
-def _prepare(layer: Layer, model, meta, index, factors: pd.Series):
+def _prepare(layer: Layer, model, meta, index, factors: pd.Series, relative: DataFrame | None = None):
+    """Rows of counts, with an array of offsets each where `relative` lengths are given, their dispersions and the samples' log factors."""
     log_s = np.log(factors.loc[meta.index].to_numpy(float))[model.rows]
-    rows = cut(feature_rows(layer.cells, index), "count-rows")
+    rows = feature_rows(layer.cells, index)
+    if relative is not None:
+        own = feature_rows(relative.withColumnRenamed("rel", "value"), index).withColumnsRenamed({"k": "ok", "v": "ov"})
+        none = F.array().cast("array<int>"), F.array().cast("array<double>")
+        rows = rows.join(own, "feature_id", "left").select("feature_id", "k", "v", F.coalesce(F.col("ok").cast("array<int>"), none[0]).alias("ok"), F.coalesce("ov", none[1]).alias("ov"))
+    rows = cut(rows, "count-rows")
     disp = cut(gene_dispersions(rows, len(meta), model.rows, model.x, log_s), "dispersions")
     return rows, disp, log_s
 
@@ -260,62 +378,78 @@ def _size_series(layer: Layer, factors: str) -> tuple[pd.Series, str]:
     return lib / np.exp(np.log(lib).mean()), "deseq2_library"
 
 
-def run_nb_wald(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH", filtering: bool = True, factors: str = "ratio") -> DataFrame:
-    """Group contrasts with shrunken dispersions."""
+def run_nb_wald(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH", filtering: bool = True, factors: str = "ratio",
+                lengths: DataFrame | None = None, outliers: bool = True) -> DataFrame:
+    """Group contrasts with shrunken dispersions. `lengths` (feature_id, sample_id, length) become offsets of the cells."""
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     model = _design(layer, meta, group_col, contrasts, covariates, block)
-    return _finish_wald(layer, meta, index, model, [c for c, _ in contrasts], "group", "log2FC", "group", filtering, adjust, factors)
+    return _finish_wald(layer, meta, index, model, [c for c, _ in contrasts], "group", "log2FC", "group", filtering, adjust, factors, lengths, outliers)
 
 
-def run_nb_continuous(layer: Layer, column: str, covariates=None, adjust="BH", filtering: bool = True, factors: str = "ratio") -> DataFrame:
+def run_nb_continuous(layer: Layer, column: str, covariates=None, adjust="BH", filtering: bool = True, factors: str = "ratio",
+                      lengths: DataFrame | None = None, outliers: bool = True) -> DataFrame:
     """log2 fold change per unit of a numeric column."""
     meta, index = sample_frame(layer)
-    return _finish_wald(layer, meta, index, continuous_model(meta, column, covariates), [column], "continuous_linear", "log2FC per unit", "continuous", filtering, adjust, factors)
+    return _finish_wald(layer, meta, index, continuous_model(meta, column, covariates), [column], "continuous_linear", "log2FC per unit", "continuous", filtering, adjust, factors, lengths, outliers)
 
 
-def _finish_wald(layer, meta, index, model, labels, analysis, effect_type, direction, filtering, adjust, factors):
-    sizes, method = _size_series(layer, factors)
-    rows, disp, log_s = _prepare(layer, model, meta, index, sizes)
+def _relative(lengths: DataFrame | None) -> DataFrame | None:
+    return None if lengths is None else cut(relative_lengths(lengths), "relative-lengths")
+
+
+def _shrinkage(disp: DataFrame, model):
+    """Trend and prior of the shrinkage; where no trend can be fitted, a warning and the gene-wise dispersions as they are."""
     shrink = shrunken_dispersions(disp, len(model.rows) - model.x.shape[1])
-    stats = _wald(rows, disp, len(meta), model, log_s, shrink).withColumn("p_value", normal_two_sided(F.col("statistic")))
+    if shrink is None:
+        warnings.warn("no dispersion trend can be fitted; every feature keeps its own dispersion", stacklevel=3)
+    return shrink
+
+
+def _finish_wald(layer, meta, index, model, labels, analysis, effect_type, direction, filtering, adjust, factors, lengths, outliers):
+    relative = _relative(lengths)
+    sizes, method = _size_series(per_length(layer, relative), factors)
+    rows, disp, log_s = _prepare(layer, model, meta, index, sizes, relative)
+    shrink = _shrinkage(disp, model)
+    stats = _wald(rows, disp, len(meta), model, log_s, shrink, None, outliers).withColumn("p_value", normal_two_sided(F.col("statistic")))
     stats = cut(stats.drop("lrt").withColumn("signed_stat", F.col("statistic")), "wald")
     stats = independent_filter(stats, method=adjust) if filtering else adjust_p(stats, ["comparison"], method=adjust, few=True, written=True)
     return standard(pad_untested(layer, stats, labels), layer, method, analysis, effect_type, "wald", direction)
 
 
-def run_nb_anova(layer: Layer, groups: list[str], group_col=None, covariates=None, adjust="BH", factors: str = "ratio") -> DataFrame:
+def run_nb_anova(layer: Layer, groups: list[str], group_col=None, covariates=None, adjust="BH", factors: str = "ratio",
+                 lengths: DataFrame | None = None, outliers: bool = True) -> DataFrame:
     """Full model against the model without groups, chi-square on groups - 1."""
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     q = len(groups) - 1
     model = _design(layer, meta, group_col, [("anova", {g: (1.0 if i == 1 else -1.0 if i == 0 else 0.0) for i, g in enumerate(groups)})], covariates, None)
-    sizes, method = _size_series(layer, factors)
-    rows, disp, log_s = _prepare(layer, model, meta, index, sizes)
-    shrink = shrunken_dispersions(disp, len(model.rows) - model.x.shape[1])
+    relative = _relative(lengths)
+    sizes, method = _size_series(per_length(layer, relative), factors)
+    rows, disp, log_s = _prepare(layer, model, meta, index, sizes, relative)
+    shrink = _shrinkage(disp, model)
     reduced = np.column_stack([np.ones(len(model.rows)), model.x[:, q + 1:]])
-    stats = _wald(rows, disp, len(meta), model, log_s, shrink, reduced)
+    stats = _wald(rows, disp, len(meta), model, log_s, shrink, reduced, outliers)
     stats = stats.withColumn("statistic", F.col("lrt")).withColumns({"effect": F.col("lrt"), "p_value": chisq_upper(F.col("lrt"), F.lit(float(q)))}).drop("lrt")
     out = adjust_p(pad_untested(layer, stats, ["anova"]), ["comparison"], method=adjust, few=True)
     return standard(out, layer, method, "anova", "LRT", "LRT", "none")
 
 
-def _ql(layer, meta, index, model, q, labels, factors, analysis, effect_type, direction, adjust, reduced_of):
-    rows, disp, log_s = _prepare(layer, model, meta, index, factors)
+def _ql(layer, meta, index, model, q, labels, factors, analysis, effect_type, direction, adjust, reduced_of, relative=None):
+    rows, disp, log_s = _prepare(layer, model, meta, index, factors, relative)
     trend = dispersion_trend(disp)
     use, x = model.rows, model.x
     n = len(meta)
 
     def kernel(batches):
-        for part, full in _blocks(batches, n):
-            y = full[:, use]
+        for part, y, off in _blocks(batches, n, use, log_s):
             mean = part["base_mean"].to_numpy(float)
             alpha = part["disp"].to_numpy(float) if trend is None else trend[0] + trend[1] / mean
             alpha = np.maximum(alpha, MIN_DISP)
-            beta, mu, _ = irls(y, x, log_s, alpha)
+            beta, mu, _ = irls(y, x, off, alpha)
             dev = deviance(y, mu, alpha)
             for label, w in model.contrasts:
-                _, mu0, _ = irls(y, reduced_of(w), log_s, alpha)
+                _, mu0, _ = irls(y, reduced_of(w), off, alpha)
                 yield pd.DataFrame({
                     "feature_id": part["feature_id"], "comparison": label, "n": float(len(use)), "rank": float(x.shape[1]), "rss": np.maximum(dev, 1e-12),
                     "tss": np.nan, "mean": mean, "est": beta @ w / LN2, "quad": np.maximum(deviance(y, mu0, alpha) - dev, 0.0)})
@@ -345,25 +479,25 @@ def _null_space(w):
     return np.linalg.svd(w)[2][1:].T
 
 
-def run_ql(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH") -> DataFrame:
+def run_ql(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH", lengths: DataFrame | None = None) -> DataFrame:
     """Filter, TMM, trended dispersion, quasi-likelihood F per contrast. Filtered features stay untested."""
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     model = _design(layer, meta, group_col, contrasts, covariates, block)
-    small = _filtered(layer, group_col)
-    return _ql(_as_full(layer, small), meta, index, model, 1, [c for c, _ in contrasts], _tmm_series(small), "group", "log2FC", "group", adjust,
-               lambda w, x=model.x: x @ _null_space(w))
+    small, relative = _filtered(layer, group_col), _relative(lengths)
+    return _ql(_as_full(layer, small), meta, index, model, 1, [c for c, _ in contrasts], _tmm_series(per_length(small, relative)), "group", "log2FC", "group", adjust,
+               lambda w, x=model.x: x @ _null_space(w), relative)
 
 
-def run_ql_anova(layer: Layer, groups: list[str], group_col=None, covariates=None, adjust="BH") -> DataFrame:
+def run_ql_anova(layer: Layer, groups: list[str], group_col=None, covariates=None, adjust="BH", lengths: DataFrame | None = None) -> DataFrame:
     """All group coefficients at once."""
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     q = len(groups) - 1
     model = _design(layer, meta, group_col, [("anova", {g: (1.0 if i == 1 else -1.0 if i == 0 else 0.0) for i, g in enumerate(groups)})], covariates, None)
-    small = _filtered(layer, group_col)
+    small, relative = _filtered(layer, group_col), _relative(lengths)
     reduced = np.column_stack([np.ones(len(model.rows)), model.x[:, q + 1:]])
-    return _ql(_as_full(layer, small), meta, index, model, q, ["anova"], _tmm_series(small), "anova", "F", "none", adjust, lambda w: reduced)
+    return _ql(_as_full(layer, small), meta, index, model, q, ["anova"], _tmm_series(per_length(small, relative)), "anova", "F", "none", adjust, lambda w: reduced, relative)
 
 
 def _filtered(layer: Layer, group_col: str) -> Layer:
