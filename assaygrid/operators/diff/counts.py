@@ -20,6 +20,7 @@ from assaygrid.functions.ordering import adjust_p, cumulative, exact_quantiles,
 from assaygrid.functions.tails import chisq_upper, f_upper, log_gamma, normal_two_sided, trigamma
 from assaygrid.model import Layer
 from assaygrid.operators.cells import expressed_features, keep_features
+from assaygrid.operators.diff.design import supported_features
 from assaygrid.operators.diff.kernel import feature_rows
 from assaygrid.operators.diff.linear import _group_design, continuous_model, moderate, sample_frame
 from assaygrid.operators.diff.results import pad_untested, standard
@@ -379,11 +380,17 @@ def _size_series(layer: Layer, factors: str) -> tuple[pd.Series, str]:
 
 
 def run_nb_wald(layer: Layer, contrasts, group_col=None, covariates=None, block=None, adjust="BH", filtering: bool = True, factors: str = "ratio",
-                lengths: DataFrame | None = None, outliers: bool = True) -> DataFrame:
-    """Group contrasts with shrunken dispersions. `lengths` (feature_id, sample_id, length) become offsets of the cells."""
+                lengths: DataFrame | None = None, outliers: bool = True, prefilter: bool = False) -> DataFrame:
+    """Group contrasts with shrunken dispersions. `lengths` (feature_id, sample_id, length) become offsets of the cells.
+
+    With `prefilter` features without enough reads in as many samples as the design needs stay untested, unless fewer than two would be left.
+    """
     group_col = group_col or layer.group_col
     meta, index = sample_frame(layer)
     model = _design(layer, meta, group_col, contrasts, covariates, block)
+    if prefilter:
+        kept = cut(supported_features(layer, model.x).select("feature_id"), "supported")
+        layer = _as_full(layer, keep_features(layer, kept)) if kept.limit(2).count() == 2 else layer
     return _finish_wald(layer, meta, index, model, [c for c, _ in contrasts], "group", "log2FC", "group", filtering, adjust, factors, lengths, outliers)
 
 

@@ -75,3 +75,27 @@ def design_problems(layer: Layer, comparisons=(), group_col=None, covariates=(),
     meta, _ = sample_frame(layer)
     rows = list_problems(meta, group_col, list(comparisons), list(covariates), block, column)
     return layer.samples.sparkSession.createDataFrame(rows, "problem string, item string")
+
+
+def needed_samples(x: np.ndarray) -> int:
+    """In how many samples a feature needs reads: one over the largest leverage of the design, rounded up.
+
+    That is the size of the smallest group in a design of groups, and what stands in for it with covariates or a numeric variable.
+    """
+    x = np.asarray(x, float)
+    if not x.size:
+        return 1
+    q, r = np.linalg.qr(x)
+    full = np.abs(np.diag(r)) > 1e-9 * max(1.0, np.abs(r).max())
+    if not full.all():
+        u, s, _ = np.linalg.svd(x, full_matrices=False)
+        q = u[:, s > 1e-9 * s.max()]
+    top = float((q * q).sum(axis=1).max())
+    return int(np.ceil(1 / top - 1e-9)) if top > 0 else 1
+
+
+def supported_features(layer, x: np.ndarray, min_reads: float = 10.0):
+    """Features with `min_reads` reads in as many samples as the design needs."""
+    from assaygrid.operators.cells import read_support
+
+    return read_support(layer, needed_samples(x), min_reads)
