@@ -99,3 +99,25 @@ def supported_features(layer, x: np.ndarray, min_reads: float = 10.0):
     from assaygrid.operators.cells import read_support
 
     return read_support(layer, needed_samples(x), min_reads)
+
+
+def pairing_problems(layer: Layer, pair_col: str, groups: list[str] | None = None, group_col: str | None = None, control: str | None = None) -> DataFrame:
+    """Blocks that do not fit a paired run, as rows (the pair column, n, n_groups, problem); none if all fit.
+
+    Without `groups` (a numeric variable) a block needs two samples. With them it needs samples of two of the groups and none twice; with a `control` one
+    of them must be the control's, so that with one case group a block is exactly a pair. Samples without a block or outside the groups do not count.
+    """
+    from pyspark.sql import functions as F
+
+    group_col = group_col or layer.group_col
+    rows = layer.samples.where(F.col(pair_col).isNotNull())
+    if groups is None:
+        few = rows.groupBy(pair_col).agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("n_groups")).where("n < 2")
+        return few.withColumn("problem", F.lit("fewer than two samples"))
+    if control is not None and control not in groups:
+        raise ValueError("the control must be one of the groups")
+    g = F.col(group_col)
+    held = F.lit(True) if control is None else F.max((g == control).cast("int")) == 1
+    counted = rows.where(g.isin(groups)).groupBy(pair_col).agg(F.count("*").alias("n"), F.count_distinct(group_col).alias("n_groups"), held.alias("held"))
+    problem = F.when(F.col("n") > F.col("n_groups"), "a group stands twice").when(F.col("n_groups") < 2, "only one group").when(~F.col("held"), "no control")
+    return counted.withColumn("problem", problem).where("problem is not null").select(pair_col, "n", "n_groups", "problem")

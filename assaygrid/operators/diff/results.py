@@ -106,3 +106,22 @@ def thin_points(df: DataFrame, keep: Column, grid=(250, 150), per_cell: int = 1,
     w = W.partitionBy("_cx", "_cy").orderBy("feature_id")
     rest = d.where("not _keep").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_cell).drop("_r")
     return d.where("_keep").unionByName(rest).drop("_b", "_keep", "_cx", "_cy")
+
+
+def shared_hits(df: DataFrame, hit: Column) -> DataFrame:
+    """(feature_id, comparison) of the hits that are hits of another comparison too."""
+    h = df.where(hit).select("feature_id", "comparison").distinct()
+    more = h.groupBy("feature_id").agg(F.count("*").alias("k")).where("k > 1")
+    return h.join(more, "feature_id", "left_semi")
+
+
+def contrast_of_means(layer: Layer, contrasts: list[tuple[str, dict]], group_col: str | None = None) -> DataFrame:
+    """(feature_id, comparison, effect), weighted sums of group means; a feature without a mean in one of a contrast's groups has no row."""
+    group_col = group_col or layer.group_col
+    rows = [(label, level, float(w), sum(x != 0 for x in weights.values())) for label, weights in contrasts for level, w in weights.items() if w]
+    weights = layer.cells.sparkSession.createDataFrame(rows, "comparison string, _level string, _weight double, _need int")
+    means = layer.cells.join(layer.per_sample(layer.samples.select("sample_id", F.col(group_col).alias("_level"))), "sample_id").groupBy(
+        "feature_id", "_level").agg(F.avg("value").alias("_mean"))
+    return means.join(F.broadcast(weights), "_level").groupBy("feature_id", "comparison").agg(
+        F.sum(F.col("_mean") * F.col("_weight")).alias("effect"), F.count("*").alias("_n"), F.first("_need").alias("_need")).where(
+        "_n = _need").drop("_n", "_need")

@@ -65,9 +65,7 @@ pp AS (SELECT *, {t_tail_whole('statistic', 'df')} AS p_value FROM tt), res AS (
 query("d3_ttest_paired", f"WITH {_PAIR} SELECT feature_id, feature_symbol, comparison, {r('effect', 6)} AS effect, {r('statistic', 6)} AS statistic, {r('p_value', 6)} AS p_value, {r('adj_p_value', 6)} AS adj_p_value, {r('base_mean', 6)} AS base_mean, CASE WHEN effect > 0 THEN 'up' WHEN effect < 0 THEN 'down' ELSE 'ns' END AS direction FROM res", 6)(
     lambda s, d: ttest.run_ttest(N.analysis_scale(TT.flagged(s, d)), [("R", "A")], pair_col="donor").select(*TEST_COLS))
 query("p15_pairing_problems", f"WITH {TT.FLAGGED_SQL} SELECT donor, count(*) AS n, count(DISTINCT grp) AS n_groups FROM samples WHERE grp IN ('A', 'R') GROUP BY 1 HAVING count(*) FILTER (grp = 'A') <> 1 OR count(*) FILTER (grp = 'R') <> 1")(
-    lambda s, d: TT.flagged(s, d).samples.where("grp in ('A', 'R')").groupBy("donor").agg(
-        F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"), F.sum((F.col("grp") == "A").cast("int")).alias("a"), F.sum((F.col("grp") == "R").cast("int")).alias("b")
-    ).where("a <> 1 or b <> 1").drop("a", "b"))
+    lambda s, d: DS.pairing_problems(TT.flagged(s, d), "donor", ["A", "R"], control="A").drop("problem"))
 query("p14_design_problems", f"""WITH {TT.PRICES_SQL}, two AS (SELECT * FROM samples WHERE grp IN ('ASIA', 'AFRICA'))
 SELECT 'absent level' AS problem, 'ATLANTIS' AS item WHERE NOT EXISTS (SELECT 1 FROM samples WHERE grp = 'ATLANTIS')
 UNION ALL SELECT 'same case and control', 'EUROPE'
@@ -131,9 +129,7 @@ query("d20_contrast_effects", f"""WITH {FX.PLANTED_SQL}, {_CM} SELECT f.feature_
     lambda s, d: linear.run_moderated(_planted(s, d), [("mix", {"ASIA": 0.5, "EUROPE": 0.5, "AFRICA": -1})]).select("feature_id", "comparison", "effect"))
 query("j19_contrast_of_means", f"""WITH {FX.PLANTED_SQL}, {_CM}, w AS (SELECT * FROM (VALUES ('mix', 'ASIA', 0.5::DOUBLE), ('mix', 'EUROPE', 0.5::DOUBLE), ('mix', 'AFRICA', -1.0::DOUBLE), ('ASIA_vs_EUROPE', 'ASIA', 1.0::DOUBLE), ('ASIA_vs_EUROPE', 'EUROPE', -1.0::DOUBLE)) t(comparison, grp, wt))
 SELECT feature_id, comparison, {r('sum(m * wt)')} AS effect FROM cmn JOIN w USING (grp) GROUP BY 1, 2 HAVING count(*) = (CASE comparison WHEN 'mix' THEN 3 ELSE 2 END)""")(
-    lambda s, d: (lambda y, w: y.cells.join(y.per_sample(y.samples.select("sample_id", "grp")), "sample_id").groupBy("feature_id", "grp").agg(F.avg("value").alias("m")).join(
-        F.broadcast(w), "grp").groupBy("feature_id", "comparison").agg(F.sum(F.col("m") * F.col("wt")).alias("effect"), F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").drop("n", "need"))(
-        _planted(s, d), s.createDataFrame([("mix", "ASIA", 0.5, 3), ("mix", "EUROPE", 0.5, 3), ("mix", "AFRICA", -1.0, 3), ("ASIA_vs_EUROPE", "ASIA", 1.0, 2), ("ASIA_vs_EUROPE", "EUROPE", -1.0, 2)], "comparison string, grp string, wt double, need int")))
+    lambda s, d: results.contrast_of_means(_planted(s, d), [("mix", {"ASIA": 0.5, "EUROPE": 0.5, "AFRICA": -1.0}), ("ASIA_vs_EUROPE", {"ASIA": 1.0, "EUROPE": -1.0})]))
 query("d8_moderated_continuous", f"""WITH RECURSIVE {TT.VECTORS_SQL}, xy AS (SELECT feature_id, value y, age x FROM cells JOIN samples USING (sample_id)), {_SP},
 fit AS (SELECT *, n - 2 AS df FROM sp), {moderated('fit', 'mod')}, pp AS (SELECT *, b / sqrt(s2_post / sxx) AS statistic, rho AS effect, my AS base_mean, 'age' AS comparison FROM mod),
 p2 AS (SELECT *, {t_tail_any('statistic', 'df_total')} AS p_value FROM pp), res AS ({bh('p_value', '', 'p2')}) SELECT feature_id, comparison, {_STD_SQL} FROM res""", 6)(
@@ -200,7 +196,7 @@ query("a10_contrast_summary", f"""WITH {D}, h AS (SELECT *, {_SIG} AS hit FROM d
 SELECT comparison, sum((hit AND effect > 0)::INT)::BIGINT AS n_up, sum((hit AND effect < 0)::INT)::BIGINT AS n_down, sum(hit::INT)::BIGINT AS n_hits, count(p_value) AS n_tested, sum((hit AND coalesce(k, 0) > 1)::INT)::BIGINT AS n_shared FROM h LEFT JOIN ni USING (feature_id) GROUP BY 1""")(
     lambda s, d: results.contrast_summary(FX.diff(s, d), mask()))
 query("j15_shared_hits", f"WITH {D} SELECT feature_id, comparison FROM diff a WHERE {_SIG} AND EXISTS (SELECT 1 FROM diff b WHERE b.feature_id = a.feature_id AND b.comparison <> a.comparison AND coalesce(b.p_value < 0.05 AND abs(b.effect) >= 1, false))")(
-    lambda s, d: (lambda h: h.join(h.groupBy("feature_id").agg(F.count_distinct("comparison").alias("k")).where("k > 1"), "feature_id", "left_semi"))(FX.diff(s, d).where(mask()).select("feature_id", "comparison")))
+    lambda s, d: results.shared_hits(FX.diff(s, d), mask()))
 query("a11_hit_combinations", f"""WITH {D}, c AS (SELECT feature_id, string_agg(comparison, ' & ' ORDER BY comparison) AS combination, count(*)::INT AS n_comparisons FROM diff WHERE {_SIG} GROUP BY 1), z AS (SELECT combination, n_comparisons, count(*) AS n_features FROM c GROUP BY 1, 2)
 SELECT *, (SELECT count(*) FROM z) AS n_combinations FROM z ORDER BY n_features DESC, combination LIMIT 20""")(
     lambda s, d: results.hit_combinations(FX.diff(s, d), mask()))
