@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaygrid.model import Layer
+from assaygrid.session import cut
 
 # Samples whose ids travel together when absent cells are listed.
 SAMPLES_PER_BLOCK = 50_000
@@ -185,13 +186,18 @@ def melt(wide: DataFrame, id_col: str, value_cols: list[str], samples_in_rows: b
 def unique_labels(df: DataFrame, col: str, order: list[str], out: str = "label") -> DataFrame:
     """Repeats of an id become id_1, id_2, ...; a blank id becomes '._missing'.
 
-    Only ids that occur more than once carry more than one row into a window.
+    Rows are cut into ranges of (id, order), written once, and numbered inside their range, behind what earlier ranges hold of the same id. So an id that
+    most rows bear, the blank one for instance, is numbered by many tasks. `order` tells the rows of an id apart.
     """
     filled = F.coalesce(F.nullif(F.trim(F.col(col)), F.lit("")), F.lit("._missing"))
-    n = F.row_number().over(W.partitionBy("label_base").orderBy(*order))
-    return df.withColumn("label_base", filled).withColumn(
-        out, F.when(n == 1, F.col("label_base")).otherwise(F.concat_ws("_", F.col("label_base"), (n - 1).cast("string")))
-    ).drop("label_base")
+    ranges = cut(df.withColumn("_base", filled).repartitionByRange(F.col("_base"), *order).withColumn("_range", F.spark_partition_id()), "labels")
+    earlier = W.partitionBy("_base").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    held = ranges.groupBy("_base", "_range").agg(F.count("*").alias("_n")).select(
+        "_base", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    n = F.row_number().over(W.partitionBy("_base", "_range").orderBy(*order)) + F.col("_before")
+    numbered = ranges.join(held, ["_base", "_range"]).withColumn("_nth", n)
+    return numbered.withColumn(out, F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", (F.col("_nth") - 1).cast("string")))).select(
+        *[c for c in df.columns if c != out], out)
 
 
 def z_by(col: str, keys: list[str]) -> Column:
