@@ -49,8 +49,21 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _release_at_exit() -> None:
+    """Delete what this process has written and not released, where its session still runs."""
+    for spark in {id(x[0]): x[0] for x in _WRITTEN}.values():
+        try:
+            if spark.sparkContext._jsc is not None:
+                release(spark)
+        except Exception:  # the session or its JVM has ended, so nothing can be reached any more
+            continue
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for a table written between stages."""
+    """A fresh path below the shared folder for a table written between stages; what is not released is deleted when the process ends."""
+    if not _WRITTEN:
+        atexit.unregister(_release_at_exit)
+        atexit.register(_release_at_exit)
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     return path
