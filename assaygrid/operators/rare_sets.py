@@ -51,7 +51,7 @@ def swapped(rng, sets, n: int):
     return out
 
 
-def multilevel(a: np.ndarray, k: int, targets: np.ndarray, rng, size: int = 101, eps: float = 1e-10, moves: float = 1.0) -> np.ndarray:
+def multilevel(a: np.ndarray, k: int, targets: np.ndarray, rng, size: int = 101, eps: float = 1e-10, moves: float = 0.5) -> np.ndarray:
     """P(score >= target | score >= 0) of random sets of k places for each target >= 0, at least `eps`.
 
     Every level moves each set until swaps have replaced its members `moves` times on average, in at most forty times as many tries.
