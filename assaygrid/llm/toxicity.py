@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import column
+from assaygrid.llm.common import column, tidy
 from assaygrid.llm.mixing import draw
 from assaygrid.llm.quality import held_out
 from assaygrid.session import cut
@@ -45,7 +45,7 @@ class Lexicon:
     remembered, so reading a word costs one look-up a letter, and nearly every word dies early.
     """
 
-    def __init__(self, terms: dict, stems: dict, exact_only=frozenset(), remember: int = 200_000):
+    def __init__(self, terms: dict, stems: dict, exact_only=frozenset(), remember: int = 30_000):
         self.terms, self.stems, self.exact_only = terms, stems, exact_only
         self.lengths = sorted({len(s) for s in stems})
         self.remember = remember
@@ -172,7 +172,7 @@ def hits(lexicon: Lexicon, known: dict, texts: list):
                     plain(w) in REPORTING for w in before)
                 factor = QUOTED if quoted else ADDRESSED if any(plain(w) in ADDRESS for w in (*before, *after)) else 1.0
                 found.append((hit[0] * factor, hit[1]))
-        if len(known) > 500_000:
+        if len(known) > 150_000:
             known.clear()
         yield len(tokens), found
 
@@ -339,6 +339,9 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, thr
                     numbers.append(len(found))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())],
                                                  ["doc_id", "score", "hits"])
+        del own
+        known.clear()
+        tidy()
 
     pair = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     out = pair.mapInArrow(run, "doc_id long, score double, hits long")
