@@ -30,6 +30,9 @@ def with_key_table(df: DataFrame, table: DataFrame, keys: list[str], few: bool)
 def cumulative(df: DataFrame, keys: list[str], col: str, few: bool = False) -> DataFrame:
     """Distinct (keys, col) with `ties`, `below` (rows with a smaller value), `total` and `bucket`.
 
+    The cuts are written before use: a sketch depends on the order in which its parts arrive, and every
+    branch of a plan that reads the buckets must place a value in the same one.
+
     `few` says the keys are samples or named comparisons, whose number was checked or is set by
     the caller.
     """
@@ -38,11 +41,11 @@ def cumulative(df: DataFrame, keys: list[str], col: str, few: bool = False) -> D
         F.sum("ties").alias("total"), F.count("*").alias("n_distinct"),
         F.percentile_approx(col, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"),
     )
-    cuts = cuts.select(
+    cuts = cut(cuts.select(
         *keys, "total",
         F.when(F.col("n_distinct") >= SPLIT_FROM, F.col("cuts"))
         .otherwise(F.slice("cuts", 1, 0)).alias("cuts"),
-    )
+    ), "cuts")
     placed = with_key_table(ties, cuts, keys, few).withColumn(
         "bucket", F.size(F.filter("cuts", lambda c: c < F.col(col)))
     ).drop("cuts")

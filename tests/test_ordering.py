@@ -83,3 +83,16 @@ def test_ranks_and_quantiles(spark, split):
 def test_quantile_without_keys(spark):
     pdf, df = frame(spark, 3)
     assert O.exact_quantiles(df, [], "x", [0.3], ["q"]).first()["q"] == pytest.approx(np.nanquantile(pdf.x, 0.3))
+
+
+@pytest.mark.parametrize("method", ["BH", "hochberg", "holm"])
+def test_adjustment_when_sketch_differs_at_each_reading(spark, monkeypatch, method):
+    """On a cluster the parts of a sketch arrive in any order, so every evaluation may give other cuts."""
+    real = F.percentile_approx
+    noisy = lambda *a: F.transform(real(*a), lambda c: c + F.java_method(F.lit("java.lang.Math"), F.lit("random")).cast("double") * 0.02)
+    monkeypatch.setattr(O, "SPLIT_FROM", 5)
+    monkeypatch.setattr(O.F, "percentile_approx", noisy)
+    pdf = pd.DataFrame({"id": range(2000), "p_value": np.random.default_rng(5).random(2000).round(4)})
+    got = O.adjust_p(spark.createDataFrame(pdf).withColumn("k", F.lit("a")), ["k"], method=method, few=True).toPandas().sort_values("id")
+    want = bh(pdf["p_value"].to_numpy()) if method == "BH" else step(pdf["p_value"].to_numpy(), method)
+    np.testing.assert_allclose(got["adj_p_value"], want, rtol=1e-12)
