@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from assaygrid.session import cut
 
 BUCKETS = 128
+# Cuts passed at a time when a value's bucket is looked up.
+STRIDE = 12
 # Families with fewer distinct values than this stay in one bucket.
 SPLIT_FROM = 200_000
 
@@ -46,9 +48,7 @@ def cumulative(df: DataFrame, keys: list[str], col: str, few: bool = False) -> D
         F.when(F.col("n_distinct") >= SPLIT_FROM, F.col("cuts"))
         .otherwise(F.slice("cuts", 1, 0)).alias("cuts"),
     ), "cuts")
-    placed = with_key_table(ties, cuts, keys, few).withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c < F.col(col)))
-    ).drop("cuts")
+    placed = with_key_table(ties, cuts, keys, few).withColumn("bucket", _cuts_below(F.col("cuts"), F.col(col))).drop("cuts")
     before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, "bucket").agg(F.sum("ties").alias("in_bucket")).select(
         *keys, "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset")
@@ -60,6 +60,15 @@ def cumulative(df: DataFrame, keys: list[str], col: str, few: bool = False) -> D
     )
 
 
+def _cuts_below(cuts: Column, x: Column) -> Column:
+    """Number of the sorted cuts below x: whole strides of STRIDE cuts first, then inside one stride."""
+    below = lambda c: c < x
+    strides = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(BUCKETS // STRIDE)), lambda i: F.get(cuts, i * STRIDE - 1)), below))
+    count = strides * STRIDE + F.size(F.filter(F.slice(cuts, strides * STRIDE + 1, F.lit(STRIDE)), below))
+    # Never NULL, and said so: else joins on the bucket look it up once more for every row below the aggregate.
+    return F.coalesce(count, F.lit(0))
+
+
 def _attach(df: DataFrame, per_value: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Join per-value results back onto rows; rows with a NULL value keep NULL."""
     return df.join(per_value, [*keys, col], "left")

@@ -96,3 +96,29 @@ def test_adjustment_when_sketch_differs_at_each_reading(spark, monkeypatch, meth
     got = O.adjust_p(spark.createDataFrame(pdf).withColumn("k", F.lit("a")), ["k"], method=method, few=True).toPandas().sort_values("id")
     want = bh(pdf["p_value"].to_numpy()) if method == "BH" else step(pdf["p_value"].to_numpy(), method)
     np.testing.assert_allclose(got["adj_p_value"], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 1, 11, 12, 13, 127])
+def test_bucket_lookup_passes_strides(spark, n):
+    """Cuts below a value, repeated cuts included, and never NULL."""
+    cuts = sorted(float(x // 2) for x in range(n))
+    values = [-1.0, 0.0, 0.5, 5.0, 6.0, 40.5, 63.0, 64.0, 99.0]
+    df = spark.createDataFrame([(v, cuts) for v in values], "x double, cuts array<double>").select("x", O._cuts_below(F.col("cuts"), F.col("x")).alias("b"))
+    assert not df.schema["b"].nullable
+    assert {r.x: r.b for r in df.collect()} == {v: sum(c < v for c in cuts) for v in values}
+
+
+def test_bandwidth_rows_stay_where_they_are(spark):
+    """Few groups: their rows are not dealt by group, which would put each group into one task."""
+    from assaygrid.operators.qc import bandwidths
+
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("value"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = bandwidths(df, ["k"])
+        joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        assert sum("SortMergeJoin" in x for x in joins) <= 1 < sum("BroadcastHashJoin" in x for x in joins)
+        assert {r.k: r.n for r in out.collect()} == {0: 500, 1: 500}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
