@@ -16,6 +16,7 @@ from assaygrid.operators import cells as C
 from assaygrid.operators import gram as G
 from assaygrid.operators import impute as I
 from assaygrid.operators.normalize import analysis_scale
+from assaygrid.session import cut
 
 # Fixed values of the leave-one-out test.
 LOO_MIN_SPREAD = 0.17
@@ -220,7 +221,9 @@ def density_curves(df: DataFrame, keys: list[str], points: int = 512) -> DataFra
 
     Every value shares its weight of one between the two grid points around it, in one aggregate of at most `points` rows a group; the Gaussian kernel
     then runs over these bins. Groups with one value, or none that differ, have no bandwidth and density NULL. `keys` name few groups.
+    The values are read several times, so they are written once first.
     """
+    df = cut(df.select(*keys, "value"), "density")
     ends = df.agg(F.min("value").alias("low"), F.max("value").alias("high")).select(F.struct("low", "high")).scalar()
     step = (F.col("_e.high") - F.col("_e.low")) / F.lit(float(points - 1))
     spot = F.when(step > 0, (F.col("value") - F.col("_e.low")) / step).otherwise(F.lit(0.0))
@@ -247,10 +250,10 @@ def observed_imputed_density(observed: DataFrame, filled: DataFrame, points: int
 
 
 def bandwidths(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Silverman's bandwidth of each group's values from exact quartiles."""
+    """Silverman's bandwidth of each group's values from exact quartiles. `keys` name few groups, so a group's rows are dealt to no single task."""
     from assaygrid.functions.ordering import exact_quantiles
 
-    q = exact_quantiles(df, keys, "value", [0.25, 0.75], ["q1", "q3"])
+    q = exact_quantiles(df, keys, "value", [0.25, 0.75], ["q1", "q3"], few=True)
     sd = df.groupBy(*keys).agg(F.stddev_samp("value").alias("sd"))
     iqr = (F.col("q3") - F.col("q1")) / 1.34
     low = F.least(F.col("sd"), F.when(iqr > 0, iqr).otherwise(F.col("sd")))
