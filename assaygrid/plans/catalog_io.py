@@ -15,6 +15,8 @@ from assaygrid.sources import layers as SL
 from assaygrid.sources import profile as PR
 
 NATIONS = [f"N{i}" for i in range(25)]
+# Parts whose rows share one text file.
+ROWS_PER_FILE = 50_000
 
 
 def _wide(s, d):
@@ -52,11 +54,16 @@ def _comma_file(s, d):
     w = _wide(s, d)
     num = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.translate(F.format_string("%.2f", F.col(c) / 8), ".", ","))
     line = F.concat_ws(";", "gene", *[num(c) for c in NATIONS])
-    first = [f"# note {i}" for i in range(30)] + [";".join(["gene", *NATIONS]), ";".join(["#part", *["1,5"] * len(NATIONS)])]
-    head = s.createDataFrame(list(enumerate(first)), "i long, value string")
-    rows = head.unionByName(w.select(F.lit(1_000_000).cast("long").alias("i"), line.alias("value")))
+    first = [f"# note {i}" for i in range(30)] + [";".join(["gene", *NATIONS])]
+    last = ";".join(["#part", *["1,5"] * len(NATIONS)])
+    # Every file of the folder starts with the comments and the header, as an export in parts does, so rows are written by many tasks.
+    parts = max(1, -(-TT.table(s, d, "part").count() // ROWS_PER_FILE))
+    head = s.createDataFrame(list(enumerate(first)), "i long, value string").select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "i", "value")
+    odd = s.createDataFrame([(0, len(first), last)], "p int, i long, value string")
+    rows = w.select(F.pmod(F.xxhash64("gene"), F.lit(parts)).cast("int").alias("p"), F.lit(1_000_000).cast("long").alias("i"), line.alias("value"))
     path = scratch_path(s, "comma")
-    rows.repartitionByRange(1, "i").sortWithinPartitions("i").select("value").write.text(path)
+    head.unionByName(odd).unionByName(rows).repartition(parts, "p").sortWithinPartitions("p", "i").select("value").write.text(path)
     return path
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaygrid.model import Layer, Project, make_layer
 from assaygrid.operators.cells import melt
+from assaygrid.session import cut
 from assaygrid.sources import profile as P
 from assaygrid.sources.delimited import read_table, sniff
 
@@ -32,9 +33,10 @@ def read_reported(spark: SparkSession, path: str, omics_type: str, assay_type: s
                   transpose: bool | None = None) -> tuple[Layer, DataFrame]:
     """The layer and a report (action, name, detail) of what the import skipped, renamed, read otherwise or left out."""
     layout = sniff(spark, path)
-    text = P.sample_columns(read_table(spark, path, layout))
+    # Lines are parsed and numbers cleaned once; styles, summaries, units and cells read the written tables.
+    text = cut(P.sample_columns(read_table(spark, path, layout)), "import-text")
     styles = {r.column_name: r.style for r in P.column_styles(text, layout.decimal_comma).collect()}
-    numbers = P.numeric_columns(text, layout.decimal_comma, styles)
+    numbers = cut(P.numeric_columns(text, layout.decimal_comma, styles), "import-numbers")
     whole = P.drop_summaries(numbers)
     wide = P.one_unit(whole)
     flip = transpose if transpose is not None else P.orientation(wide)[0] == "samples_in_rows"
