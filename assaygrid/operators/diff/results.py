@@ -11,10 +11,21 @@ from assaygrid.model import DIFF_COLUMNS, Layer, conform
 
 
 def pad_untested(layer: Layer, stats: DataFrame, comparisons: list[str]) -> DataFrame:
-    """One row per feature and comparison, NULL statistics where nothing could be tested."""
-    base = layer.features.select("feature_id", "feature_symbol", "feature_type").withColumn(
-        "comparison", F.explode(F.array(*[F.lit(c) for c in comparisons])))
-    return base.join(stats, ["feature_id", "comparison"], "left")
+    """One row per feature and comparison, NULL statistics where nothing could be tested.
+
+    A feature's rows are packed for the join, so that statistics already placed by feature are not shuffled again;
+    the list of comparisons bounds them.
+    """
+    values = [f for f in stats.schema.fields if f.name not in ("feature_id", "comparison")]
+    packed = stats.where(F.col("comparison").isin(comparisons)).groupBy("feature_id").agg(
+        F.collect_list(F.struct("comparison", *[F.col(f.name) for f in values])).alias("_rows"))
+    wanted = F.array(*[F.lit(c) for c in comparisons])
+    untested = F.transform(
+        F.array_except(wanted, F.coalesce(F.col("_rows.comparison"), F.slice(wanted, 1, 0))),
+        lambda c: F.struct(c.alias("comparison"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in values]))
+    rows = layer.features.select("feature_id", "feature_symbol", "feature_type").join(packed, "feature_id", "left")
+    return rows.select("feature_id", "feature_symbol", "feature_type", F.inline(F.coalesce(F.concat("_rows", untested), untested))).select(
+        "feature_id", "comparison", "feature_symbol", "feature_type", *[f.name for f in values])
 
 
 def standard(df: DataFrame, layer: Layer, method: str, analysis: str, effect_type: str, statistic_type: str,

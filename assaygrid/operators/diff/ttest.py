@@ -23,9 +23,13 @@ def sides(spark, comparisons: list[tuple[str, str]]) -> DataFrame:
 
 
 def group_moments(layer: Layer, group_col: str, comparisons) -> DataFrame:
-    """Per (feature, comparison): n, mean and variance of either side."""
+    """Per (feature, comparison): n, mean and variance of either side.
+
+    Cells move once, to their feature, and both groupings stay there; the sample axis bounds a feature's cells.
+    """
     labels = layer.per_sample(layer.samples.select("sample_id", F.col(group_col).alias("grp")))
-    m = layer.cells.join(labels, "sample_id").groupBy("feature_id", "grp").agg(
+    cells = layer.cells.join(labels, "sample_id").select("feature_id", "grp", "value").repartition("feature_id")
+    m = cells.groupBy("feature_id", "grp").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
     s = m.join(sides(layer.cells.sparkSession, comparisons), "grp")
     pick = lambda c, case: F.max(F.when(F.col("is_case") == case, F.col(c)))
@@ -89,7 +93,7 @@ def run_ttest(layer: Layer, comparisons, group_col: str | None = None, pair_col:
     """D2-D4 with p-values, adjustment per comparison and the standard columns."""
     group_col = group_col or layer.group_col
     stats = paired(layer, group_col, pair_col, comparisons) if pair_col else unpaired(layer, group_col, comparisons, var_equal)
-    stats = stats.withColumn("p_value", t_two_sided(F.col("statistic"), F.col("df")))
     full = pad_untested(layer, stats, [contrast_label(a, b) for a, b in comparisons])
+    full = full.withColumn("p_value", t_two_sided(F.col("statistic"), F.col("df")))
     full = adjust_p(full.withColumn("signed_stat", F.col("statistic")), ["comparison"], method=adjust, few=True)
     return standard(full, layer, "ttest", "group", "mean_diff", "t", "group")
