@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaygrid.functions.ordering import exact_quantiles
@@ -90,8 +91,10 @@ def censored_normal(layer: Layer, seed: int = 1234, tune: float = 1.0) -> DataFr
         "feature_id", "sample_id", F.coalesce(F.col("m") + F.col("s") * tune * F.col("q"), F.lit(0.0)).alias("value"))
 
 
-# Candidates compared with a block of targets at a time; the result does not depend on it.
-NEIGHBOUR_TILE = 1024
+# Rows of a leaf, least rows and most cells of a bucket in the search for neighbours; the result does not depend on them.
+NEIGHBOUR_TILE = 128
+NEIGHBOUR_ROWS = 2048
+NEIGHBOUR_CELLS = 2_000_000
 
 
 def _fill(rows: DataFrame, ids: list[str], n: int, fill) -> DataFrame:
@@ -122,95 +125,271 @@ def nearest(layer: Layer, k: int = 10) -> DataFrame:
 
     The distance is the mean squared difference over samples seen in both; equal distances go by
     feature id. Features with more than half of their values missing, features without any, and
-    cells whose neighbours have no value take the sample's mean. Every feature with values is
-    compared with every target: targets are dealt into blocks, candidates stream past each block
-    in tiles, and only k rows per target are kept.
+    cells whose neighbours have no value take the sample's mean.
+
+    The search is exact. Rows are dealt into buckets by ranges of their values; a target first meets
+    its own bucket and then the buckets whose box can hold a row as near as the k nearest so far,
+    with its limit. In a bucket, leaves are passed over by their boxes likewise. Equal rows are
+    searched for once, and only the k + 1 first of them can be neighbours of any.
     """
     ids, index = sample_index(layer)
     n = len(ids)
-    rows = cut(feature_rows(layer.cells, index), "neighbour-rows")
-    is_target = (F.size("k") * 2 >= n) & (F.size("k") < n)
-    targets = rows.where(is_target)
-    column_means = layer.cells.groupBy("sample_id").agg(F.avg("value").alias("value"))
-    plain = absent_cells(layer).join(targets.select("feature_id"), "feature_id", "left_anti").join(
-        layer.per_sample(column_means), "sample_id", "left").select("feature_id", "sample_id", F.coalesce("value", F.lit(0.0)).alias("value"))
-    n_targets = targets.count()
-    if not n_targets:
-        return plain
-    center = {r.sample_id: r.value for r in column_means.collect()}
-    center = np.array([center.get(i, 0.0) for i in ids])
-    wide = layer.cells.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n_targets // max(64, min(512, n_targets // (2 * wide)))))
-    home = F.pmod(F.xxhash64("feature_id"), F.lit(blocks))
-    dealt = targets.select(home.alias("t"), F.lit(0).alias("kind"), "feature_id", "k", "v").unionByName(
-        rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("t"), F.lit(1).alias("kind"), "feature_id", "k", "v"))
-    kernel = _neighbour_kernel(np.array(ids), center, k, NEIGHBOUR_TILE)
-    near = dealt.repartition("t").sortWithinPartitions("t", "kind", "feature_id").mapInPandas(
-        kernel, "feature_id string, sample_id string, value double")
-    return plain.unionByName(near)
-
-
-def _neighbour_kernel(names, center, k, tile):
-    n = len(names)
-
-    def finish(own, x, seen, best):
-        at, where, value = [], [], []
-        for i, name in enumerate(own):
-            gaps = np.flatnonzero(~seen[i])
-            have = np.array([b[2][gaps] for b in best[i]]).reshape(len(best[i]), len(gaps))
-            count = (~np.isnan(have)).sum(axis=0)
-            fill = np.where(count > 0, np.nansum(have, axis=0) / np.maximum(count, 1), center[gaps])
-            at += [name] * len(gaps)
-            where.append(names[gaps])
-            value.append(fill)
-        return pd.DataFrame({"feature_id": at, "sample_id": np.concatenate(where), "value": np.concatenate(value)})
-
-    def meet(own, x, seen, best, some):
-        """Offer a tile of candidates to every target of the block."""
-        raw = _dense(some, "k", "v", n)
-        other = ~np.isnan(raw)
-        y, m, mo = np.where(other, raw, 0.0), seen.astype(float), other.astype(float)
-        both = m @ mo.T
-        rough = (x * x) @ mo.T + m @ (y * y).T - 2 * x @ y.T
-        # Products round differently from tile to tile: they only choose whom to compare term by term.
-        slack = 1e-9 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] + 1)
-        labels = some["feature_id"].to_numpy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            floor = np.where(both > 0, (rough - slack) / both, np.inf)
-            roof = np.where(both > 0, (rough + slack) / both, np.inf)
-        for i, name in enumerate(own):
-            line = best[i][-1][0] if len(best[i]) == k else np.inf
-            if len(labels) > k:
-                line = min(line, np.partition(roof[i], k)[k])
-            close = [j for j in np.flatnonzero((floor[i] <= line) & (both[i] > 0)) if labels[j] != name]
-            if close:
-                gap = np.where(seen[i] & other[close], x[i] - y[close], 0.0)
-                exact = (gap * gap).sum(axis=1) / both[i][close]
-                best[i] = sorted([*best[i], *((d, labels[j], raw[j]) for d, j in zip(exact.tolist(), close))], key=lambda b: b[:2])[:k]
+    pairs = F.array_sort(F.arrays_zip("k", "v"))
+    rows = cut(feature_rows(layer.cells, index).withColumn("e", pairs).select("feature_id", F.col("e.k").alias("k"), F.col("e.v").alias("v")), "neighbour-rows")
+    targets = rows.where((F.size("k") * 2 >= n) & (F.size("k") < n))
+    column_means = layer.cells.groupBy("sample_id").agg(F.avg("value").alias("mean"))
+    asked = cut(targets.groupBy("k", "v").agg(F.min("feature_id").alias("name")), "neighbour-targets")
+    first = W.partitionBy("k", "v").orderBy("feature_id")
+    others = cut(rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth"), "neighbour-others")
+    near = _neighbours(asked, others, n, k + 1)
+    nth = lambda key: F.row_number().over(W.partitionBy(key).orderBy("d", "other"))
+    top = near.withColumn("nth", nth("name")).where(F.col("nth") <= k + 1)
+    own = targets.join(asked, ["k", "v"]).select("feature_id", "name").join(top, "name").where("other <> feature_id").withColumn("nth", nth("feature_id")).where(F.col("nth") <= k)
+    means = own.select("feature_id", F.explode(F.arrays_zip("at", "x")).alias("e")).where(~F.isnan("e.x")).groupBy("feature_id", F.col("e.at").alias("idx")).agg(
+        F.avg("e.x").alias("near")).join(index, "idx").select("feature_id", "sample_id", "near")
+    return absent_cells(layer).join(means, ["feature_id", "sample_id"], "left").join(layer.per_sample(column_means), "sample_id", "left").select(
+        "feature_id", "sample_id", F.coalesce("near", "mean", F.lit(0.0)).alias("value"))
+
+
+def _neighbours(asked: DataFrame, others: DataFrame, n: int, k: int) -> DataFrame:
+    """(name, d, other, at, x): at least the k nearest of `others` to each row asked, with their values where that row has none."""
+    total = others.count()
+    wide = others.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, min(total // NEIGHBOUR_ROWS, max(2 * wide, -(-total * n // NEIGHBOUR_CELLS))))
+    # Where the ranges are cut decides only how well rows are spread.
+    some = others.where(F.pmod(F.xxhash64("feature_id"), F.lit(max(1, total // 16384))) == 0).select("k", "v").toPandas()
+    tree = _ranges(_dense(some, "k", "v", n), buckets)
+
+    def place(batches):
+        for b in batches:
+            yield b.assign(t=_placed(tree, _dense(b, "k", "v", n)))
+
+    bare = "feature_id string, k array<int>, v array<double>, t int"
+    dealt = cut(others.mapInPandas(place, bare).select("t", F.lit(0).alias("kind"), "feature_id", "k", "v", F.lit(None).cast("double").alias("limit")), "neighbour-buckets")
+    home = asked.select(F.col("name").alias("feature_id"), "k", "v").mapInPandas(place, bare).select(
+        "t", F.lit(1).alias("kind"), "feature_id", "k", "v", F.lit(float("inf")).alias("limit"))
+    found = "name string, d double, other string, at array<int>, x array<double>"
+
+    def meet(asking):
+        return dealt.unionByName(asking).repartitionById(buckets, "t").sortWithinPartitions("t", "kind").mapInPandas(_neighbour_kernel(n, k, NEIGHBOUR_TILE), found)
+
+    near = cut(meet(home), "neighbours")
+    if buckets == 1:
+        return near
+    sides = dealt.select("t", F.explode(F.arrays_zip("k", "v")).alias("e")).groupBy("t", F.col("e.k").alias("k")).agg(
+        F.min("e.v").alias("lo"), F.max("e.v").alias("hi"), F.count("*").alias("c")).toPandas()
+    sizes = dealt.groupBy("t").count().toPandas().set_index("t")["count"].reindex(range(buckets), fill_value=0).to_numpy()
+    lo, hi, seen = np.zeros((buckets, n)), np.zeros((buckets, n)), np.zeros((buckets, n), dtype=np.int64)
+    lo[sides.t, sides.k], hi[sides.t, sides.k], seen[sides.t, sides.k] = sides.lo, sides.hi, sides.c
+    box = _box(lo, hi, seen == sizes[:, None], seen > 0)
+
+    def send(batches):
+        for b in batches:
+            for i in range(0, len(b), 4096):
+                part = b.iloc[i:i + 4096]
+                limit = part["limit"].to_numpy(float)
+                far = _floors(_dense(part, "k", "v", n), box) <= limit[:, None]
+                far[np.arange(len(part)), part["t"].to_numpy()] = False
+                who, t = np.nonzero(far)
+                yield part.iloc[who].assign(t=t.astype(np.int32))
+
+    limits = near.groupBy("name").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("limit"))
+    again = home.drop("limit", "kind").join(limits, F.col("feature_id") == F.col("name"), "left").select(
+        "feature_id", "k", "v", "t", F.coalesce("limit", F.lit(float("inf"))).alias("limit")).mapInPandas(send, bare + ", limit double")
+    return near.unionByName(cut(meet(again.select("t", F.lit(1).alias("kind"), "feature_id", "k", "v", "limit")), "neighbours"))
+
 
+def _side(x, least):
+    """(column, value) that halves rows `x` (NaN = absent): rows below the value or absent there go left; None if the rows are equal.
+
+    Where `least` rows or more lack a column and as many have it, it is that which parts them.
+    """
+    absent = np.isnan(x)
+    gone = absent.sum(axis=0)
+    fewer = np.minimum(gone, len(x) - gone)
+    j = int(fewer.argmax())
+    if fewer[j] >= least:
+        return j, -np.inf
+    low, high = np.where(absent, np.inf, x).min(axis=0), np.where(absent, -np.inf, x).max(axis=0)
+    have = np.maximum(len(x) - gone, 1)
+    middle = np.where(absent, 0.0, x).sum(axis=0) / have
+    spread = np.where(high > low, (np.where(absent, 0.0, x - middle) ** 2).sum(axis=0) / have, -1.0)
+    j = int(spread.argmax())
+    if spread[j] < 0:
+        j = int(fewer.argmax())
+        return (j, -np.inf) if fewer[j] else None
+    own = x[~absent[:, j], j]
+    value = np.median(own)
+    return j, float(value if value > low[j] else own[own > low[j]].min())
+
+
+def _left(x, j, value):
+    with np.errstate(invalid="ignore"):
+        return ~(x[:, j] >= value) if np.isfinite(value) else np.isnan(x[:, j])
+
+
+def _ranges(x, parts: int):
+    """Nested (column, value, left, right) with the numbers 0 to parts - 1 as its ends."""
+    def grow(x, first, parts):
+        side = _side(x, max(1, len(x) // 4)) if parts > 1 and len(x) > 1 else None
+        if side is None:
+            return first
+        left = _left(x, *side)
+        half = parts // 2
+        return (*side, grow(x[left], first, half), grow(x[~left], first + half, parts - half))
+
+    return grow(x, 0, parts)
+
+
+def _placed(tree, x):
+    out = np.zeros(len(x), dtype=np.int32)
+
+    def walk(node, at):
+        if not isinstance(node, tuple):
+            out[at] = node
+        elif len(at):
+            left = _left(x[at], node[0], node[1])
+            walk(node[2], at[left])
+            walk(node[3], at[~left])
+
+    walk(tree, np.arange(len(x)))
+    return out
+
+
+def _box(lo, hi, all_have, some_have):
+    """Bounds a column that all rows of a box have, and 1 where some have it."""
+    return np.where(all_have, lo, -np.inf), np.where(all_have, hi, np.inf), some_have.astype(float)
+
+
+def _floors(raw, box):
+    """Least possible distance of every row to the rows of every box; infinite where nothing is shared.
+
+    The mean over shared columns is at least the sum over those that all rows of the box have, over the most columns that can be shared.
+    """
+    lo, hi, some = box
+    total = np.zeros((len(raw), len(lo)))
+    for s in range(raw.shape[1]):
+        if np.isfinite(lo[:, s]).any():
+            own = raw[:, s, None]
+            gap = np.fmax(np.fmax(lo[:, s] - own, own - hi[:, s]), 0.0)
+            total += gap * gap
+    both = (~np.isnan(raw)).astype(float) @ some.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(both > 0, total * (1 - 1e-12) / both, np.inf)
+
+
+class _Leaves:
+    """Rows in leaves of at most `leaf` rows (equal rows stay together), searched exactly."""
+
+    def __init__(self, labels, raw, leaf):
+        parts, stack = [], [np.arange(len(raw))] if len(raw) else []
+        while stack:
+            at = stack.pop()
+            side = _side(raw[at], max(1, leaf // 8)) if len(at) > leaf else None
+            if side is None:
+                parts.append(at)
+            else:
+                left = _left(raw[at], *side)
+                stack += [at[left], at[~left]]
+        at = np.concatenate(parts) if parts else np.arange(0)
+        self.ends = np.cumsum([0] + [len(p) for p in parts])
+        self.labels, self.raw = labels[at], raw[at]
+        self.have = ~np.isnan(self.raw)
+        self.y = np.where(self.have, self.raw, 0.0)
+        self.place = np.empty(len(at), dtype=np.int64)
+        self.place[np.argsort(self.labels)] = np.arange(len(at))
+        self.norm = (self.y * self.y).sum(axis=1)
+        self.factors = np.concatenate([self.have.astype(float), self.y * self.y, self.y], axis=1).T.copy()
+        if parts:
+            cuts = self.ends[:-1]
+            self.box = _box(np.minimum.reduceat(self.y, cuts), np.maximum.reduceat(self.y, cuts), np.logical_and.reduceat(self.have, cuts), np.logical_or.reduceat(self.have, cuts))
+        self.compared = 0
+
+    def nearest(self, raw, k, limit):
+        """(target, distance, row) of the k nearest rows within `limit` to each row of `raw`, by target, distance and label."""
+        m = len(raw)
+        none = np.zeros(0, dtype=np.int64)
+        if not len(self.labels):
+            return none, np.zeros(0), none
+        seen = ~np.isnan(raw)
+        x = np.where(seen, raw, 0.0)
+        own = (x * x).sum(axis=1)
+        limit = limit.copy()
+        best, rows = np.full((m, k), np.inf), np.full((m, k), -1)
+
+        def offer(who, a, b):
+            self.compared += len(who) * (b - a)
+            r = limit[who]
+            open_ = ~np.isfinite(r)
+            r = np.where(open_, 0.0, r)[:, None]
+            # Products only choose whom to compare term by term: sum of squares - limit * shared columns, with room for rounding.
+            over = np.concatenate([x[who] ** 2 - r * seen[who], seen[who], -2 * x[who]], axis=1) @ self.factors[:, a:b]
+            room = 1e-9 * (own[who, None] + r * raw.shape[1] + self.norm[None, a:b].max())
+            i, j = np.nonzero((over <= room) | open_[:, None])
+            i, j = who[i], j + a
+            both = seen[i] & self.have[j]
+            count = both.sum(axis=1)
+            gap = np.where(both, x[i] - self.y[j], 0.0)
+            d = (gap * gap).sum(axis=1) / np.maximum(count, 1)
+            fits = (count > 0) & (d <= limit[i])
+            i, j, d = i[fits], j[fits], d[fits]
+            if not len(i):
+                return
+            again = np.unique(i)
+            i, d, j = np.concatenate([i, np.repeat(again, k)]), np.concatenate([d, best[again].reshape(-1)]), np.concatenate([j, rows[again].reshape(-1)])
+            i, d, j = i[j >= 0], d[j >= 0], j[j >= 0]
+            order = np.lexsort((self.place[j], d, i))
+            i, d, j = i[order], d[order], j[order]
+            start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            nth = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            keep = nth < k
+            best[again], rows[again] = np.inf, -1
+            best[i[keep], nth[keep]], rows[i[keep], nth[keep]] = d[keep], j[keep]
+            limit[again] = np.minimum(limit[again], best[again, k - 1])
+
+        def visit(leaf, who):
+            a, b = self.ends[leaf], self.ends[leaf + 1]
+            for lo in range(a, b, 4096):
+                step = max(1, (1 << 19) // (min(b, lo + 4096) - lo))
+                for w in range(0, len(who), step):
+                    offer(who[w:w + step], lo, min(b, lo + 4096))
+
+        floors = _floors(raw, self.box)
+        home = floors.argmin(axis=1)
+        order = np.argsort(home, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+            some = some[floors[some, home[some]] <= limit[some]]
+            if len(some):
+                visit(home[some[0]], some)
+        floors[np.arange(m), home] = np.inf
+        for leaf in np.flatnonzero((floors <= np.where(np.isfinite(limit), limit, 1e308)[:, None]).any(axis=0)):
+            some = np.flatnonzero((floors[:, leaf] <= limit) & np.isfinite(floors[:, leaf]))
+            if len(some):
+                visit(leaf, some)
+        i, nth = np.nonzero(rows >= 0)
+        return i, best[i, nth], rows[i, nth]
+
+
+def _neighbour_kernel(n, k, leaf):
     def kernel(batches):
-        block, own, parts = None, None, []
-        x = seen = best = None
+        bucket, parts, leaves = None, [], None
         for b in batches:
             for (t, kind), some in b.groupby(["t", "kind"], sort=False):
-                if t != block:
-                    if block is not None and own is not None:
-                        yield finish(own, x, seen, best)
-                    block, own, parts = t, None, []
+                if t != bucket:
+                    bucket, parts, leaves = t, [], None
                 if kind == 0:
-                    parts.append(some)
+                    parts.append((some["feature_id"].to_numpy(), _dense(some, "k", "v", n)))
+                    continue
+                if leaves is None:
+                    leaves = _Leaves(np.concatenate([p[0] for p in parts] or [np.zeros(0, object)]), np.concatenate([p[1] for p in parts] or [np.zeros((0, n))]), leaf)
+                    parts = []
+                raw, names = _dense(some, "k", "v", n), some["feature_id"].to_numpy()
+                i, d, j = leaves.nearest(raw, k, some["limit"].to_numpy(float))
+                if not len(i):
                     continue
-                if own is None:
-                    if not parts:
-                        continue
-                    mine = pd.concat(parts)
-                    raw = _dense(mine, "k", "v", n)
-                    seen = ~np.isnan(raw)
-                    x, own, best = np.where(seen, raw, 0.0), mine["feature_id"].to_numpy(), [[] for _ in range(len(mine))]
-                for lo in range(0, len(some), tile):
-                    meet(own, x, seen, best, some.iloc[lo:lo + tile])
-        if own is not None:
-            yield finish(own, x, seen, best)
+                gaps = [np.flatnonzero(np.isnan(r)).astype(np.int32) for r in raw]
+                at = [gaps[x] for x in i]
+                yield pd.DataFrame({"name": names[i], "d": d, "other": leaves.labels[j], "at": at, "x": [leaves.raw[y, g] for y, g in zip(j, at)]})
 
     return kernel
 
