@@ -30,6 +30,8 @@ def log_gamma(x):
         acc = acc + c / (z + i)
     t = z + 7.5
     out = 0.5 * np.log(2 * np.pi) + (z + 0.5) * np.log(t) - t + np.log(acc)
+    if not small.any():
+        return out
     with np.errstate(divide="ignore", invalid="ignore"):
         reflected = np.log(np.pi / np.abs(np.sin(np.pi * x))) - out
     return np.where(small, reflected, out)

@@ -134,3 +134,21 @@ def test_f_quantiles_and_dispersion_fallback(spark):
     with pytest.warns(UserWarning, match="dispersion trend"):
         r = counts.run_nb_wald(layer, C, filtering=False).toPandas()
     assert len(r) == 40 and (r.p_value.astype(float) > 0.9).all()
+
+
+def test_gamma_functions_of_positive_counts_only(monkeypatch):
+    """A sparse layer's dispersions cost as much as its counts above zero, and are those of the plain likelihood."""
+    from assaygrid.functions.tails import log_gamma
+
+    rng = np.random.default_rng(4)
+    y = rng.poisson(0.2, size=(60, 80)).astype(float)
+    y[0] = 0.0
+    mu, x, alpha = rng.uniform(0.1, 3, y.shape), np.ones((80, 1)), rng.uniform(0.01, 2, 60)
+    a = 1 / alpha[:, None]
+    plain = (log_gamma(y + a) - log_gamma(a + 0 * y) - log_gamma(y + 1.0) - a * np.log1p(alpha[:, None] * mu)
+             + y * (np.log(alpha[:, None] * mu) - np.log1p(alpha[:, None] * mu))).sum(axis=1)
+    assert np.allclose(counts.log_lik(y, mu, alpha), plain, rtol=1e-12)
+    sizes = []
+    monkeypatch.setattr(counts, "log_gamma", lambda v: sizes.append(np.size(v)) or log_gamma(v))
+    counts.best_dispersion(y, x, mu)
+    assert sum(sizes) <= 60 * ((y > 0).sum() + len(y))
