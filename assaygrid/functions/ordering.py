@@ -158,7 +158,8 @@ def order_stats(df: DataFrame, keys: list[str], col: str, wanted: list[tuple[flo
     `wanted` holds (fraction, rank) pairs: `rank` is a 0-based rank as a column expression over
     the group size `n`, `fraction` the approximate place of that rank in [0, 1]. A sketch brackets
     each rank, one scan counts the rows below and inside the bracket, and only rows of the segment
-    holding the rank are ordered. Output: keys, n and array `os` of (value, below, ties).
+    holding the rank are ordered. `df` is read three times and must give the same values each time, so a
+    caller writes averages and the like first. Output: keys, n and array `os` of (value, below, ties).
     """
     eps = 0.002
     probs = sorted({min(max(f + s, 0.0), 1.0) for f, _ in wanted for s in (-eps, eps)})

@@ -41,9 +41,12 @@ def min_det(layer: Layer, q: float = 0.01) -> DataFrame:
 
 
 def typical_spread(layer: Layer) -> DataFrame:
-    """Median standard deviation of features seen in more than half of the samples; NULL below two."""
-    sds = layer.cells.groupBy("feature_id").agg(F.count("*").alias("n"), F.stddev_samp("value").alias("sd")).where(
-        F.col("n") > 0.5 * layer.n_samples()).select("sd")
+    """Median standard deviation of features seen in more than half of the samples; NULL below two.
+
+    The deviations are written first: their last bits depend on the order in which parts arrive, and the median reads them several times.
+    """
+    sds = cut(layer.cells.groupBy("feature_id").agg(F.count("*").alias("n"), F.stddev_samp("value").alias("sd")).where(
+        F.col("n") > 0.5 * layer.n_samples()).select("sd"), "spreads")
     k = sds.agg(F.count("*")).scalar()
     med = exact_quantiles(sds, [], "sd", [0.5], ["spread"])
     return med.select(F.when(k >= 2, F.col("spread")).alias("spread"))

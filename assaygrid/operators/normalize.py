@@ -104,10 +104,13 @@ def tmm_factors(layer: Layer, trim_ratio: float = 0.3, trim_sum: float = 0.05, c
 
 
 def size_factors(layer: Layer) -> DataFrame:
-    """Median of the ratios to the geometric mean over features without a zero."""
+    """Median of the ratios to the geometric mean over features without a zero.
+
+    The means are written first, for the last bits of an average may differ when it is read again.
+    """
     logs = layer.cells.where("value > 0").select("feature_id", "sample_id", F.log("value").alias("lv"))
-    full = logs.groupBy("feature_id").agg(F.avg("lv").alias("lg"), F.count("*").alias("n")).where(
-        F.col("n") == layer.n_samples())
+    full = cut(logs.groupBy("feature_id").agg(F.avg("lv").alias("lg"), F.count("*").alias("n")).where(
+        F.col("n") == layer.n_samples()), "log-means")
     ratios = logs.join(full, "feature_id").select("sample_id", (F.col("lv") - F.col("lg")).alias("d"))
     return exact_quantiles(ratios, ["sample_id"], "d", [0.5], ["med"], layer.few_samples()).select(
         "sample_id", F.exp("med").alias("size_factor"))

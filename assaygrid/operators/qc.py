@@ -210,9 +210,9 @@ def replay(layer: Layer, record: QcRecord, check: bool = False) -> Layer:
 
 
 def observed_imputed_curves(observed: DataFrame, filled: DataFrame) -> DataFrame:
-    """Q24: quantile sketches (1,001 points) of observed and imputed values."""
+    """Q24: quantile sketches (1,001 points) of observed and imputed values, which are read several times and so written once first."""
     tag = lambda df, s: df.select(F.lit(s).alias("source"), "value")
-    both = tag(observed, "observed").unionByName(tag(filled, "imputed"))
+    both = cut(tag(observed, "observed").unionByName(tag(filled, "imputed")), "curves")
     return spread_quantiles(both, ["source"], "value", 1001, few=True)
 
 
