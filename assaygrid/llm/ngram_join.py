@@ -3,8 +3,8 @@
 Shingles are hashed into the segments of a size band. Two sets whose difference is at most H agree on
 one of H + 1 segments; a segment allowed one difference counts for two. So each set is indexed
 under hashes of its segments and, where the cost model gives a segment one difference, under its
-one-deletion neighbourhood. Sets that share a hash are candidates; whole candidate groups are then
-verified exactly, in blocks.
+one-deletion neighbourhood. Sets that share a hash are candidates. Candidate groups too large for one
+block are cut up by prefixes of rare shingles; groups are then verified exactly and whole, in blocks.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ from assaygrid.session import cut
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
-# A hash with up to FEW keys gives all their pairs. Kinds of rows on the way there: a key, a key of many, a link of a star.
-FEW, MANY, STAR = 16, 1, 2
+# A hash with up to FEW keys gives all their pairs.
+FEW = 16
+# Hashes are shuffled by their first bits, so many that unlike ones seldom meet. A reduce task gets at most about so many.
+HASH_BITS, TASK_HASHES = 46, 2_000_000
 # A candidate group is verified in blocks of at most this many sets and about this many shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
+# Bits that hold which ids are wanted (4 MB), and shingles of the sample that tells which of them are frequent in large groups.
+WANTED_BITS, ORDER_SHINGLES = 1 << 25, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -221,6 +225,22 @@ def _pair(docs, id_col, text_col):
     return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` whose id may be one of `ids` (doc_id), and the others, which surely are not.
+
+    A bitmap of fixed size tells them apart, so texts that no join needs stay out of its shuffle. With more ids than bits it only keeps out fewer.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS)) + 1
+    bits = ids.select(spot(F.col("doc_id")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    mine = spot(column(docs, id_col).cast("long"))
+    at = F.bitmap_bit_position(mine)
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = docs.join(F.broadcast(bits), F.bitmap_bucket_number(mine) == F.col("__part"), "left")
+    return marked.where(hit).drop("__part", "__bits"), marked.where(~hit).drop("__part", "__bits")
+
+
 def common_shingles(docs: DataFrame, documents: int, words: int, id_col: str, text_col: str, sample: int = 16_000, share: float = 0.002):
     """Sorted hashes of shingles that stand in a share of a sample of the documents (eight of them at least).
 
@@ -255,52 +275,78 @@ def common_shingles(docs: DataFrame, documents: int, words: int, id_col: str, te
     return np.sort(found.view(np.uint64))
 
 
-def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str, text_col: str, common=None) -> DataFrame:
+def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str, text_col: str, common=None, hashes: int = 0) -> DataFrame:
     """(a, b, star), set keys that stand under one hash.
 
     Up to FEW keys under a hash come as all their pairs. More come as a star, every key with one of
     them, so a hash gives at most FEW rows a key. A task that holds more than FEW keys of a hash sends on one
-    of them and the star of the others, so very frequent hashes reach the shuffle once a task.
+    of them and the star of the others, so very frequent hashes reach the shuffle once a task. About `hashes` are expected.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["sig", "a", "b", "kind"]
+
+    def hashed(batch):
+        for doc, t in zip(batch.column(0), batch.column(1)):
+            if doc.is_valid:
+                s = shingle_set(t.as_py(), words)
+                if len(s):
+                    yield set_key(s)[0], signatures(s, plan, sent.value)
+
+    return shared_hashes(_pair(docs, id_col, text_col), hashed, hashes)
+
+
+def shared_hashes(rows: DataFrame, hashed, hashes: int) -> DataFrame:
+    """(a, b, star) of keys that share a hash; `hashed` yields (key, its hashes) of a record batch of `rows`, about `hashes` in all.
+
+    Hashes travel packed, a row for every reduce task from about a million of them: the differences of the sorted hashes and their keys.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), hashes // TASK_HASHES + 1)
+    names = ["task", "gaps", "keys", "many", "star"]
+    kinds = "task int, gaps binary, keys binary, many binary, star binary"
+
+    def place(x):
+        """The reduce task of a hash: tasks hold ranges of them."""
+        import numpy as np
+
+        return ((x >> np.uint64(HASH_BITS - 32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
 
     def emit(batches):
         import numpy as np
         import pyarrow as pa
 
         def pool(sig, key):
-            sig, key = _distinct(np.concatenate(sig), np.concatenate(key))
-            new = np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0
-            first = np.flatnonzero(new)
+            sig, key = _distinct(np.concatenate(sig) >> np.uint64(64 - HASH_BITS), np.concatenate(key))
+            first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
             counts = np.diff(np.append(first, len(sig)))
             many = np.repeat(counts > FEW, counts)
             lead = np.repeat(key[first], counts)
             link = many & (key != lead)
-            go = ~link
-            kind = np.concatenate((many[go].astype(np.int8), np.full(int(link.sum()), STAR, np.int8)))
-            where = np.concatenate((sig[go].view(np.int64), mix(key[link].view(np.uint64)).view(np.int64)))
-            return pa.RecordBatch.from_arrays([
-                pa.array(where), pa.array(np.concatenate((key[go], key[link]))),
-                pa.array(np.concatenate((np.zeros(int(go.sum()), np.int64), lead[link]))), pa.array(kind)], names)
+            x, y = _distinct(key[link], lead[link])
+            to = place(mix(x.view(np.uint64)) >> np.uint64(64 - HASH_BITS))
+            order = np.argsort(to, kind="stable")
+            star, star_ends = np.stack((x, y), axis=1)[order], np.searchsorted(to[order], np.arange(tasks + 1))
+            sig, key, many = sig[~link], key[~link], many[~link]
+            ends = np.searchsorted(place(sig), np.arange(tasks + 1))
+            out = []
+            for k in range(tasks):
+                i, j, u, v = ends[k], ends[k + 1], star_ends[k], star_ends[k + 1]
+                if i == j and u == v:
+                    continue
+                gaps = np.diff(sig[i:j], prepend=np.uint64(0))
+                out.append((k, packed_gaps(gaps), key[i:j].tobytes(), np.flatnonzero(many[i:j]).astype("<u4").tobytes(), star[u:v].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names)
 
         sig, key, held = [], [], 0
         for batch in batches:
-            for doc, t in zip(batch.column(0), batch.column(1)):
-                if not doc.is_valid:
-                    continue
-                s = shingle_set(t.as_py(), words)
-                if not len(s):
-                    continue
-                x = signatures(s, plan, sent.value)
+            for k, x in hashed(batch):
                 sig.append(x)
-                key.append(np.full(len(x), set_key(s)[0], dtype=np.int64))
+                key.append(np.full(len(x), k, dtype=np.int64))
                 held += len(x)
                 if held > 1_000_000:
-                    yield pool(sig, key)
+                    yield from pool(sig, key)
                     sig, key, held = [], [], 0
         if sig:
-            yield pool(sig, key)
+            yield from pool(sig, key)
         sig, key = [], []
         tidy()
 
@@ -311,11 +357,11 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
         def out(a, b, star):
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.broadcast_to(star, a.shape))], ["a", "b", "star"])
 
-        def bucket(sig, key, kind):
+        def bucket(sig, key, flag):
             """Pairs and stars of whole buckets."""
             first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
             counts = np.diff(np.append(first, len(sig)))
-            many = np.repeat((counts > FEW) | (np.maximum.reduceat(kind, first) == MANY), counts)
+            many = np.repeat((counts > FEW) | np.logical_or.reduceat(flag, first), counts)
             lead = np.repeat(key[first], counts)
             star = many & (key != lead)
             yield _distinct(key[star], lead[star]), True
@@ -326,42 +372,51 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
                     break
                 yield _distinct(np.maximum(fk[d:][same], fk[:-d][same]), np.minimum(fk[d:][same], fk[:-d][same])), False
 
-        rest = None  # the rows of the last bucket, which the next batch may go on with; a long one is cut to its star's centre
+        sig, key, flag, links = [], [], [], []
         for batch in batches:
-            sig, a, b, kind = (batch.column(i).to_numpy() for i in range(4))
-            link = kind == STAR
-            if link.any():
-                x, y = _distinct(a[link], b[link])
+            for gaps, keys, many, star in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                key.append(np.frombuffer(keys, np.int64))
+                sig.append(unpacked_gaps(gaps, len(key[-1])))
+                flag.append(np.zeros(len(key[-1]), dtype=bool))
+                flag[-1][np.frombuffer(many, "<u4")] = True
+                links.append(np.frombuffer(star, np.int64).reshape(-1, 2))
+        if links:
+            x, y = _distinct(*np.concatenate(links).T)
+            if len(x):
                 yield out(x, y, True)
-            now = sig[~link], a[~link], kind[~link]
-            if rest is not None:
-                now = tuple(np.concatenate(p) for p in zip(rest, now))
-            if not len(now[0]):
-                continue
-            cut_at = np.searchsorted(now[0], now[0][-1])
-            done, rest = [p[:cut_at] for p in now], [p[cut_at:] for p in now]
-            if len(rest[0]) > FEW:
-                x, y = _distinct(rest[1][1:], np.repeat(rest[1][:1], len(rest[1]) - 1))
-                yield out(x[x != y], y[x != y], True)
-                rest = rest[0][:1], rest[1][:1], np.full(1, MANY, rest[2].dtype)
-            if len(done[0]):
-                for (x, y), star in bucket(*done):
+            sig, key, flag = np.concatenate(sig), np.concatenate(key), np.concatenate(flag)
+            order = np.lexsort((key, sig))
+            if len(order):
+                for (x, y), star in bucket(sig[order], key[order], flag[order]):
                     if len(x):
                         yield out(x, y, star)
-        if rest is not None and len(rest[0]):
-            for (x, y), star in bucket(*rest):
-                if len(x):
-                    yield out(x, y, star)
+        sig = key = flag = links = order = None
         tidy()
 
-    found = _pair(docs, id_col, text_col).mapInArrow(emit, "sig long, a long, b long, kind byte")
-    return found.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(join, "a long, b long, star boolean").distinct()
+    return rows.mapInArrow(emit, kinds).repartitionById(tasks, "task").mapInArrow(join, "a long, b long, star boolean").distinct()
+
+
+def packed_gaps(gaps) -> bytes:
+    """The first gap in eight bytes, the others in four each, or all in eight where one is too long for that."""
+    import numpy as np
+
+    if (gaps[1:] >> np.uint64(32)).any():
+        return gaps.astype("<u8").tobytes() + b"8"
+    return gaps[:1].astype("<u8").tobytes() + gaps[1:].astype("<u4").tobytes() + b"4"
+
+
+def unpacked_gaps(raw: bytes, n: int):
+    """The `n` sorted hashes whose gaps were packed."""
+    import numpy as np
 
+    if raw[-1:] == b"8":
+        return np.cumsum(np.frombuffer(raw, "<u8", n), dtype=np.uint64)
+    gaps = np.concatenate((np.frombuffer(raw, "<u8", min(n, 1)), np.frombuffer(raw[8:-1], "<u4").astype(np.uint64)))
+    return np.cumsum(gaps, dtype=np.uint64)
 
-def possible_links(near: DataFrame, seen: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): the stars, and those pairs whose sizes and sketches do not rule a link out."""
-    marks = cut(seen.groupBy("k1").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "jaccard-sketches")
 
+def possible_links(near: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the stars, and those pairs whose sizes and sketches do not rule a link out; `marks` is (k1, n, s), a size and a sketch a key."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -432,16 +487,14 @@ def linked(sets, halves, num: int, den: int):
     return out
 
 
-def verified_links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b), document ids of links that connect every linked pair of a candidate group.
-
-    `members` is (doc_id, k1, k2, n_shingles, root), a document for each set. A group is dealt into blocks; each
-    task verifies a block or two blocks against each other, and returns no more links than sets.
-    """
-    sizes = cut(members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles")).where("sets > 1").select(
+def sizes_in_blocks(members: DataFrame) -> DataFrame:
+    """(root, blocks) of the groups of two sets or more."""
+    return cut(members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles")).where("sets > 1").select(
         "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")), "jaccard-groups")
-    placed = cut(members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("k2"), F.col("blocks")).cast("int")), "jaccard-members")
 
+
+def sets_of(docs: DataFrame, placed: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, root, k1, blocks, block, shingles): the sets of `placed` (doc_id, root, k1, k2, blocks, block), made of their documents' texts again."""
     def again(batches):
         import pyarrow as pa
 
@@ -452,14 +505,89 @@ def verified_links(docs: DataFrame, members: DataFrame, words: int, num: int, de
                 s = shingle_set(t.as_py(), words)
                 # Another document may bear the same id; only the set in question goes on.
                 if set_key(s) == (k1[i], k2[i]):
-                    rows.append((ids[i], roots[i], blocks[i], block[i], s.tobytes()))
+                    rows.append((ids[i], roots[i], k1[i], blocks[i], block[i], s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                                                 ["doc_id", "root", "blocks", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                                                 ["doc_id", "root", "k1", "blocks", "block", "shingles"])
+        tidy()
 
-    texts = _pair(docs, id_col, text_col)
+    texts = _pair(split_by_ids(docs, placed, id_col)[0], id_col, text_col)
     joined = texts.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "root", "k1", "k2", "blocks", "block", "text")
-    sets = joined.mapInArrow(again, "doc_id long, root long, blocks int, block int, shingles binary")
+    return joined.mapInArrow(again, "doc_id long, root long, k1 long, blocks int, block int, shingles binary")
+
+
+def rare_prefix(s, frequent, times, num: int, den: int):
+    """The first shingles of `s` from rare to frequent, so many that any set with Jaccard >= num / den has one of its own first ones among them.
+
+    `frequent` holds sorted hashes, `times` how often each was seen; others count as never seen. Whatever they hold, all sets take their
+    shingles in one order, so none of two linked sets can have its common shingles all behind its prefix.
+    """
+    import numpy as np
+
+    rank = np.zeros(len(s), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        rank = np.where(frequent[at] == s, times[at], 0)
+    return s[np.lexsort((s, rank))[:len(s) - -(-num * len(s) // den) + 1]]
+
+
+def regrouped(docs: DataFrame, large: DataFrame, marks: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """`large` (doc_id, k1, k2, n_shingles, root) with its groups cut up into those whose sets hang together by rare shingles; sets alone go.
+
+    Unlike sets that share passages form groups which grow with the corpus, and verifying these whole is quadratic. Linked sets share
+    a shingle of their rare prefixes, so they stay together; a set gives a row for about a fifth of its shingles (Jaccard 0.8).
+    """
+    import numpy as np
+
+    placed = large.select("doc_id", "root", "k1", "k2", F.lit(1).alias("blocks"), F.lit(0).alias("block"))
+    total = large.agg(F.sum("n_shingles")).first()[0]
+    part = min(1_000_000, ORDER_SHINGLES * 1_000_000 // total + 1)
+
+    def count(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, dtype=np.uint64))
+                n += len(held[-1])
+            if n > 1_000_000:
+                h, c = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+                held, n = [], 0
+        if held:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+        held = []
+        tidy()
+
+    # Only the plan depends on the counts: whichever shingles they name, no link is lost.
+    drawn = placed.where(F.pmod(F.xxhash64("k2", F.lit(1)), F.lit(1_000_000)) < part)
+    counts = sets_of(docs, drawn, words, id_col, text_col).select("shingles").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = counts.where("n > 2").toArrow()
+    frequent, times = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy()
+    order = np.argsort(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], times[order]))
+
+    def hashed(batch):
+        frequent, times = sent.value
+        for root, k, x in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
+            own = mix(np.array([root], np.int64).view(np.uint64))
+            yield k, mix(rare_prefix(np.frombuffer(x, dtype=np.uint64), frequent, times, num, den) ^ own)
+
+    near = cut(shared_hashes(sets_of(docs, placed, words, id_col, text_col).select("root", "k1", "shingles"), hashed, total), "jaccard-prefixes")
+    groups = components(possible_links(near, marks, num, den))
+    return large.drop("root").join(groups, large["k1"] == groups["v"]).select("doc_id", "k1", "k2", "n_shingles", "root")
+
+
+def verified_links(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b), document ids of links that connect every linked pair of a candidate group.
+
+    `members` is (doc_id, k1, k2, n_shingles, root), a document for each set. A group is dealt into blocks; each
+    task verifies a block or two blocks against each other, and returns no more links than sets.
+    """
+    placed = cut(members.join(sizes_in_blocks(members), "root").withColumn("block", F.pmod(F.xxhash64("k2"), F.col("blocks")).cast("int")), "jaccard-members")
+    sets = sets_of(docs, placed, words, id_col, text_col)
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("doc_id", "root", "block", "shingles", others).select(
         "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "shingles")
@@ -494,14 +622,20 @@ def jaccard_components(
     are one document for links: their sets' links join. No rows, no result; other columns are ignored.
     """
     seen = cut(identified(docs, words, id_col, text_col), "jaccard-sets")
-    longest = seen.agg(F.max("n_shingles")).first()[0] or 0
+    longest, shingles = (x or 0 for x in seen.agg(F.max("n_shingles"), F.sum("n_shingles")).first())
     full = seen.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "jaccard-classes")
     common = common_shingles(docs, seen.count(), words, id_col, text_col)
-    near = cut(candidate_links(docs, words, bands(longest, num, den, crowd, alike), id_col, text_col, common), "jaccard-candidates")
-    groups = cut(components(possible_links(near, full, num, den)), "jaccard-groups")
-    members = classes.join(groups, classes["k1"] == groups["v"]).select(
-        F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles", "root")
+    near = cut(candidate_links(docs, words, bands(longest, num, den, crowd, alike), id_col, text_col, common, shingles // 2), "jaccard-candidates")
+    marks = cut(full.groupBy("k1").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "jaccard-sketches")
+    groups = components(possible_links(near, marks, num, den))
+    members = cut(classes.join(groups, classes["k1"] == groups["v"]).select(
+        F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles", "root"), "jaccard-grouped")
+    many = sizes_in_blocks(members).where("blocks > 1").select("root")
+    large = cut(members.join(many, "root").select(*members.columns), "jaccard-large")
+    if large.count():
+        again = regrouped(docs, large, marks, words, num, den, id_col, text_col)
+        members = cut(members.join(many, "root", "left_anti").unionByName(again), "jaccard-regrouped")
     links = verified_links(docs, members, words, num, den, id_col, text_col)
     # An id with several texts ties its sets together.
     twice = full.groupBy("doc_id", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -518,5 +652,7 @@ def jaccard_components(
 def keep_one_of_group(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those linked to a smaller id, all columns unchanged. Rows with a null id stay, repeated ids together."""
     found = jaccard_components(docs, words, num, den, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), column(docs, id_col) == F.col("__gone"), "left_anti")
+    gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    some, rest = split_by_ids(docs, gone, id_col)
+    gone = gone.select(F.col("doc_id").alias("__gone"))
+    return rest.union(some.join(gone.hint("shuffle_hash"), column(some, id_col) == F.col("__gone"), "left_anti"))
