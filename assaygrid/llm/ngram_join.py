@@ -24,12 +24,12 @@ MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
 # A hash with up to FEW keys gives all their pairs.
 FEW = 16
-# Hashes are shuffled by their first bits, so many that unlike ones seldom meet. A reduce task gets at most about so many.
-HASH_BITS, TASK_HASHES = 46, 2_000_000
+# Hashes are shuffled by their first bits, so many that unlike ones seldom meet. A reduce task gets about so many, in rows of so many at most.
+HASH_BITS, TASK_HASHES, ROW_HASHES = 46, 1_000_000, 4096
 # A candidate group is verified in blocks of at most this many sets and about this many shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
-# Bits that hold which ids are wanted (4 MB), and shingles of the sample that tells which of them are frequent in large groups.
-WANTED_BITS, ORDER_SHINGLES = 1 << 25, 8_000_000
+# Bits that hold which ids are wanted (2 MB), and shingles of the sample that tells which of them are frequent in large groups.
+WANTED_BITS, ORDER_SHINGLES = 1 << 24, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -230,15 +230,14 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFram
 
     A bitmap of fixed size tells them apart, so texts that no join needs stay out of its shuffle. With more ids than bits it only keeps out fewer.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS)) + 1
-    bits = ids.select(spot(F.col("doc_id")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
+    word, bit = lambda s: F.shiftright(s, 6), lambda s: s.bitwiseAND(F.lit(63)).cast("int")
+    bits = ids.select(spot(F.col("doc_id")).alias("s")).groupBy(word(F.col("s")).alias("__word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("s")))).alias("__bits"))
     mine = spot(column(docs, id_col).cast("long"))
-    at = F.bitmap_bit_position(mine)
-    byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    marked = docs.join(F.broadcast(bits), F.bitmap_bucket_number(mine) == F.col("__part"), "left")
-    return marked.where(hit).drop("__part", "__bits"), marked.where(~hit).drop("__part", "__bits")
+    hit = F.coalesce(F.getbit("__bits", bit(mine)) == 1, F.lit(False))
+    marked = docs.join(F.broadcast(bits), word(mine) == F.col("__word"), "left")
+    return marked.where(hit).drop("__word", "__bits"), marked.where(~hit).drop("__word", "__bits")
 
 
 def common_shingles(docs: DataFrame, documents: int, words: int, id_col: str, text_col: str, sample: int = 16_000, share: float = 0.002):
@@ -297,7 +296,7 @@ def candidate_links(docs: DataFrame, words: int, plan: list[Band], id_col: str,
 def shared_hashes(rows: DataFrame, hashed, hashes: int) -> DataFrame:
     """(a, b, star) of keys that share a hash; `hashed` yields (key, its hashes) of a record batch of `rows`, about `hashes` in all.
 
-    Hashes travel packed, a row for every reduce task from about a million of them: the differences of the sorted hashes and their keys.
+    Hashes travel packed, from about a million of them a few rows for every reduce task: the differences of the sorted hashes and their keys.
     """
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), hashes // TASK_HASHES + 1)
     names = ["task", "gaps", "keys", "many", "star"]
@@ -329,10 +328,9 @@ def shared_hashes(rows: DataFrame, hashed, hashes: int) -> DataFrame:
             out = []
             for k in range(tasks):
                 i, j, u, v = ends[k], ends[k + 1], star_ends[k], star_ends[k + 1]
-                if i == j and u == v:
-                    continue
-                gaps = np.diff(sig[i:j], prepend=np.uint64(0))
-                out.append((k, packed_gaps(gaps), key[i:j].tobytes(), np.flatnonzero(many[i:j]).astype("<u4").tobytes(), star[u:v].tobytes()))
+                for a in range(0, max(j - i, v - u), ROW_HASHES):
+                    x, y = (slice(min(p + a, q), min(p + a + ROW_HASHES, q)) for p, q in ((i, j), (u, v)))
+                    out.append((k, packed_gaps(np.diff(sig[x], prepend=np.uint64(0))), key[x].tobytes(), np.flatnonzero(many[x]).astype("<u4").tobytes(), star[y].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names)
 

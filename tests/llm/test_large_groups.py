@@ -59,7 +59,7 @@ def test_rare_prefixes_of_linked_sets_meet(num, den):
     assert hit > 300
 
 
-@pytest.mark.parametrize("bits", [1 << 25, 64])
+@pytest.mark.parametrize("bits", [1 << 24, 64])
 def test_split_by_ids(spark, monkeypatch, bits):
     """Wanted ids are all on the first side, null ids and repeated ones included in one of the two."""
     monkeypatch.setattr(ngram_join, "WANTED_BITS", bits)
