@@ -491,8 +491,14 @@ def sizes_in_blocks(members: DataFrame) -> DataFrame:
         "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")), "jaccard-groups")
 
 
+def texts_of(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`placed` with the texts of its ids (doc_id)."""
+    texts = _pair(split_by_ids(docs, placed, id_col)[0], id_col, text_col)
+    return texts.join(placed.hint("shuffle_hash"), "doc_id")
+
+
 def sets_of(docs: DataFrame, placed: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, root, k1, blocks, block, shingles): the sets of `placed` (doc_id, root, k1, k2, blocks, block), made of their documents' texts again."""
+    """(doc_id, root, blocks, block, shingles): the sets of `placed` (doc_id, root, k1, k2, blocks, block), made of their documents' texts again."""
     def again(batches):
         import pyarrow as pa
 
@@ -503,15 +509,14 @@ def sets_of(docs: DataFrame, placed: DataFrame, words: int, id_col: str, text_co
                 s = shingle_set(t.as_py(), words)
                 # Another document may bear the same id; only the set in question goes on.
                 if set_key(s) == (k1[i], k2[i]):
-                    rows.append((ids[i], roots[i], k1[i], blocks[i], block[i], s.tobytes()))
+                    rows.append((ids[i], roots[i], blocks[i], block[i], s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                                                 ["doc_id", "root", "k1", "blocks", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                                                 ["doc_id", "root", "blocks", "block", "shingles"])
         tidy()
 
-    texts = _pair(split_by_ids(docs, placed, id_col)[0], id_col, text_col)
-    joined = texts.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "root", "k1", "k2", "blocks", "block", "text")
-    return joined.mapInArrow(again, "doc_id long, root long, k1 long, blocks int, block int, shingles binary")
+    joined = texts_of(docs, placed, id_col, text_col).select("doc_id", "root", "k1", "k2", "blocks", "block", "text")
+    return joined.mapInArrow(again, "doc_id long, root long, blocks int, block int, shingles binary")
 
 
 def rare_prefix(s, frequent, times, num: int, den: int):
@@ -537,18 +542,25 @@ def regrouped(docs: DataFrame, large: DataFrame, marks: DataFrame, words: int, n
     """
     import numpy as np
 
-    placed = large.select("doc_id", "root", "k1", "k2", F.lit(1).alias("blocks"), F.lit(0).alias("block"))
+    placed = large.select("doc_id", "root", "k1", "k2")
     total = large.agg(F.sum("n_shingles")).first()[0]
     part = min(1_000_000, ORDER_SHINGLES * 1_000_000 // total + 1)
 
+    def own_sets(batch):
+        """(root, k1, set) of the rows (root, k1, k2, text) whose text makes the set in question, made here: a second task function would take workers of its own."""
+        for root, k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            s = shingle_set(text, words)
+            if set_key(s) == (k1, k2):
+                yield root, k1, s
+
     def count(batches):
         import pyarrow as pa
 
         held, n = [], 0
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                held.append(np.frombuffer(x, dtype=np.uint64))
-                n += len(held[-1])
+            for _, _, s in own_sets(batch):
+                held.append(s)
+                n += len(s)
             if n > 1_000_000:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
@@ -561,7 +573,8 @@ def regrouped(docs: DataFrame, large: DataFrame, marks: DataFrame, words: int, n
 
     # Only the plan depends on the counts: whichever shingles they name, no link is lost.
     drawn = placed.where(F.pmod(F.xxhash64("k2", F.lit(1)), F.lit(1_000_000)) < part)
-    counts = sets_of(docs, drawn, words, id_col, text_col).select("shingles").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    names = ["root", "k1", "k2", "text"]
+    counts = texts_of(docs, drawn, id_col, text_col).select(*names).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = counts.where("n > 2").toArrow()
     frequent, times = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy()
     order = np.argsort(frequent)
@@ -569,11 +582,11 @@ def regrouped(docs: DataFrame, large: DataFrame, marks: DataFrame, words: int, n
 
     def hashed(batch):
         frequent, times = sent.value
-        for root, k, x in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
+        for root, k, s in own_sets(batch):
             own = mix(np.array([root], np.int64).view(np.uint64))
-            yield k, mix(rare_prefix(np.frombuffer(x, dtype=np.uint64), frequent, times, num, den) ^ own)
+            yield k, mix(rare_prefix(s, frequent, times, num, den) ^ own)
 
-    near = cut(shared_hashes(sets_of(docs, placed, words, id_col, text_col).select("root", "k1", "shingles"), hashed, total), "jaccard-prefixes")
+    near = cut(shared_hashes(texts_of(docs, placed, id_col, text_col).select(*names), hashed, total), "jaccard-prefixes")
     groups = components(possible_links(near, marks, num, den))
     return large.drop("root").join(groups, large["k1"] == groups["v"]).select("doc_id", "k1", "k2", "n_shingles", "root")
 
